@@ -49,7 +49,7 @@ def normalise_output(col) -> Column:
 
 def strip_dynamic_env(col) -> Column:
     """Drop lines that contain ``OLDPWD=`` or ``_=`` anywhere."""
-    lines = split_lines(_c(col))
+    lines = splitlines(_c(col))
     keep = F.filter(lines, lambda ln: ~(ln.contains("OLDPWD=") | ln.contains("_=")))
     return F.array_join(keep, "\n")
 

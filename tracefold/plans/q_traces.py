@@ -10,6 +10,7 @@ from tracefold.operators import redundancy as R
 from tracefold.operators.scoring import score_traces
 from tracefold.plans import fixtures as V
 from tracefold.plans import sqlfrag as Q
+from tracefold.plans.fmt import r6
 from tracefold.plans.registry import register
 
 
@@ -35,13 +36,13 @@ def q_normalise_output(spark, sf):
 @register("indel_similarity")  # whole texts: LCS is too slow for SQL; golden-tested
 def q_indel_similarity(spark, sf):
     p = V.pairs(spark, sf)
-    return p.select("conv_id", "turn", F.round(indel_similarity("pred", "ref"), 6).alias("sim"))
+    return p.select("conv_id", "turn", r6(indel_similarity("pred", "ref")).alias("sim"))
 
 
 @register("pairwise_run_similarity")
 def q_pairwise(spark, sf):
     r = R.pairwise_run_similarity(V.runs(spark, sf), key="k")
-    return r.select("k", "run_i", "run_j", F.round("sim", 6).alias("sim"))
+    return r.select("k", "run_i", "run_j", r6("sim").alias("sim"))
 
 
 @register("noise_threshold")
@@ -49,7 +50,7 @@ def q_noise(spark, sf):
     b = R.noise_threshold(V.runs(spark, sf), key="k")
     return b.select("k", F.col("n_runs").cast("bigint").alias("n_runs"),
                     F.col("n_pairs").cast("bigint").alias("n_pairs"),
-                    F.round("beta0", 6).alias("beta0"), F.round("beta", 6).alias("beta"))
+                    r6("beta0").alias("beta0"), r6("beta").alias("beta"))
 
 
 def _chain(spark, sf):
@@ -65,8 +66,8 @@ def _chain(spark, sf):
 @register("variant_vs_reference")
 def q_variant_vs_reference(spark, sf):
     c = _chain(spark, sf)
-    return c.select("k", "run_no", "code_match", F.round("sim", 6).alias("sim"),
-                    F.round("beta", 6).alias("beta"), "redundant")
+    return c.select("k", "run_no", "code_match", r6("sim").alias("sim"),
+                    r6("beta").alias("beta"), "redundant")
 
 
 @register("output_redundancy")
@@ -74,7 +75,7 @@ def q_output_redundancy(spark, sf):
     o = R.output_redundancy(_chain(spark, sf), key="k")
     return o.select("k", F.col("n_args").cast("bigint").alias("n_args"),
                     F.col("n_redundant").cast("bigint").alias("n_redundant"),
-                    F.round("output_redundancy_score", 6).alias("output_redundancy_score"))
+                    r6("output_redundancy_score").alias("output_redundancy_score"))
 
 
 def scored_traces(spark, sf, out_scores=None):
@@ -91,10 +92,10 @@ def scored_traces(spark, sf, out_scores=None):
     t = t.withColumn("context_redundancy_score", F.lit(0.6)).withColumn("context_key", F.lit("none"))
     s = score_traces(t, margin=0.5, local_horizon=13, mode="final")
     return s.select("seq", F.col("n_args").cast("bigint").alias("n_args"), "exit_score",
-                    F.round("output_redundancy_score", 6).alias("output_redundancy_score"),
-                    F.round("context_redundancy_score", 6).alias("context_redundancy_score"),
-                    F.round("redundancy_score", 6).alias("redundancy_score"), "context_key",
-                    F.round("reward", 6).alias("reward"))
+                    r6("output_redundancy_score").alias("output_redundancy_score"),
+                    r6("context_redundancy_score").alias("context_redundancy_score"),
+                    r6("redundancy_score").alias("redundancy_score"), "context_key",
+                    r6("reward").alias("reward"))
 
 
 @register("score_traces", V.with_views(f"""

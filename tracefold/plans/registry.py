@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql)
+        from tracefold.plans.fmt import sql_r6
+        REGISTRY[name] = Query(name, fn, sql_r6(sql) if sql else None)
         return fn
     return deco
