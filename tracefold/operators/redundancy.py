@@ -183,8 +183,12 @@ def context_line_delta(df: DataFrame, keys: list[str], before: str, after: str)
     """Lines removed (-) and added (+) between two snapshots, with
     multiplicity (bag difference both ways), as rows."""
     from tracefold.functions.text import splitlines
-    b = df.select(*keys, F.explode(splitlines(before)).alias("line")).withColumn("side", F.lit(-1))
-    a = df.select(*keys, F.explode(splitlines(after)).alias("line")).withColumn("side", F.lit(1))
+    # outer generators + explicit filter: no inferred size() predicate that
+    # would split the text a second time below the join
+    b = df.select(*keys, F.explode_outer(splitlines(before)).alias("line")).where(F.col("line").isNotNull()) \
+          .withColumn("side", F.lit(-1))
+    a = df.select(*keys, F.explode_outer(splitlines(after)).alias("line")).where(F.col("line").isNotNull()) \
+          .withColumn("side", F.lit(1))
     c = b.unionByName(a).groupBy(*keys, "line").agg(
         F.sum(F.when(F.col("side") < 0, 1).otherwise(0)).alias("nb"),
         F.sum(F.when(F.col("side") > 0, 1).otherwise(0)).alias("na"))
