@@ -51,10 +51,14 @@ def memo_lookup(requests: DataFrame, results: DataFrame, key: str, req_id: str,
 
 
 def pairwise_run_similarity(runs: DataFrame, key: str = "k", run: str = "run_no",
-                            text: str = "output",
+                            text: str = "output", noise_runs: int | None = None,
                             sim: Similarity = indel_similarity) -> DataFrame:
     """All i<j pairs of normalised outputs among the repeat runs of one
-    command (the repeat count is a fixed, small configuration value)."""
+    command.  ``noise_runs`` is the configured repeat count (the reference
+    executes a command exactly that many times), which bounds the pairs
+    per command to noise_runs * (noise_runs - 1) / 2."""
+    if noise_runs is not None:
+        runs = runs.where(F.col(run) <= noise_runs)
     r = runs.select(key, run, normalise_output(text).alias("norm"))
     a, b = r.alias("a"), r.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}"))
@@ -66,11 +70,14 @@ def pairwise_run_similarity(runs: DataFrame, key: str = "k", run: str = "run_no"
 
 def noise_threshold(runs: DataFrame, key: str = "k", run: str = "run_no",
                     text: str = "output", k: float = 1.0, margin: float = 0.05,
-                    floor: float = 0.2, sim: Similarity = indel_similarity) -> DataFrame:
-    """beta0 = max(floor, mean - k * sample std) over pair similarities
-    (std 0 for one pair; fewer than two runs -> 1.0);
+                    floor: float = 0.2, noise_runs: int = 7,
+                    sim: Similarity = indel_similarity) -> DataFrame:
+    """beta0 = max(floor, mean - k * sample std) over the pair similarities
+    of the ``noise_runs`` repeat runs of a command (the reference executes
+    exactly that many; std 0 for one pair; fewer than two runs -> 1.0);
     beta = max(floor, beta0 - margin)."""
-    pairs = pairwise_run_similarity(runs, key, run, text, sim)
+    pairs = pairwise_run_similarity(runs, key, run, text, noise_runs, sim)
+    runs = runs.where(F.col(run) <= noise_runs)
     stats = pairs.groupBy(key).agg(F.count("*").alias("n_pairs"), F.avg("sim").alias("mean_sim"),
                                    F.stddev_samp("sim").alias("std_sim"))
     keys = runs.groupBy(key).agg(F.count("*").alias("n_runs"))

@@ -41,7 +41,7 @@ def q_indel_similarity(spark, sf):
 
 @register("pairwise_run_similarity")
 def q_pairwise(spark, sf):
-    r = R.pairwise_run_similarity(V.runs(spark, sf), key="k")
+    r = R.pairwise_run_similarity(V.runs(spark, sf), key="k", noise_runs=7)
     return r.select("k", "run_i", "run_j", r6("sim").alias("sim"))
 
 
