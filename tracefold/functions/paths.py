@@ -59,8 +59,8 @@ def resolve_path(spec, cwd) -> Column:
     return F.when(F.coalesce(spec, F.lit("")) == "", cwd).otherwise(_render(folded))
 
 
-IDENTITY = F.struct(F.lit(False).alias("abs"), F.lit(0).alias("pops"),
-                    F.array().cast(STR_ARR).alias("parts"))
+def identity_fn() -> Column:
+    return F.struct(F.lit(False).alias("abs"), F.lit(0).alias("pops"), F.array().cast(STR_ARR).alias("parts"))
 
 
 def cd_function(cmd) -> Column:
@@ -86,7 +86,7 @@ def cd_function(cmd) -> Column:
 
     fn = F.aggregate(_pieces(path), init, step)
     is_cd = (F.element_at(toks, 1) == "cd") & (F.coalesce(spec, F.lit("")) != "")
-    return F.when(is_cd, fn).otherwise(IDENTITY)
+    return F.when(is_cd, fn).otherwise(identity_fn())
 
 
 def compose(f: Column, g: Column) -> Column:

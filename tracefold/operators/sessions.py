@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.paths import FN_TYPE, IDENTITY, apply_fn, cd_function, compose
+from tracefold.functions.paths import FN_TYPE, apply_fn, cd_function, compose, identity_fn
 from tracefold.operators.numbering import global_rank
 
 
 def _prefix(arr_col: str, fn_field: str):
     """Inclusive prefix compositions of an ordered array of structs."""
-    init = F.struct(IDENTITY.alias("cur"), F.array().cast(f"array<{FN_TYPE}>").alias("out"))
+    init = F.struct(identity_fn().alias("cur"), F.array().cast(f"array<{FN_TYPE}>").alias("out"))
     return F.aggregate(
         arr_col, init,
         lambda acc, x: F.struct(compose(acc["cur"], x[fn_field]).alias("cur"),
@@ -55,8 +55,8 @@ def cwd_track(cmds: DataFrame, session: str, order: str, cmd: str, start_cwd: st
           .join(w_prev, [session, "_blk", "_rk"], "left")
           .join(prev, [session, "_blk"], "left"))
     start = F.lit(start_cwd)
-    inc = F.coalesce(F.col("_in"), IDENTITY)
-    before = F.coalesce(F.col("_excl_row"), IDENTITY)
+    inc = F.coalesce(F.col("_in"), identity_fn())
+    before = F.coalesce(F.col("_excl_row"), identity_fn())
     return r.select(session, order, cmd,
                     apply_fn(compose(inc, before), start).alias("cwd_before"),
                     apply_fn(compose(inc, F.col("_incl_row")), start).alias("cwd_after"))
