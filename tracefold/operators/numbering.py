@@ -95,7 +95,7 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
     (n/B entries).  Weights are rebased per block, so no gamma^t under-
     or overflow however long the group is.
     """
-    B = block or block_size(gamma)
+    B = min(block, block_size(gamma)) if block else block_size(gamma)  # never beyond the safe size
     g = F.lit(float(gamma))
     d = (df.withColumn("_blk", F.floor(F.col(t) / B).cast("long"))
            .withColumn("_e", (F.col(t) - F.col("_blk") * B).cast("double"))
