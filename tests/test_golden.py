@@ -200,3 +200,22 @@ def test_bleu_method4_hand_worked(spark):
     p = [2 / 4, 1 / 3, (1 / (2 * 5 / math.log(4))) / 2, (1 / (4 * 5 / math.log(4))) / 1]
     exp = math.exp(1 - 5 / 4) * math.exp(sum(0.25 * math.log(x) for x in p))
     assert got == pytest.approx(exp)
+
+
+def test_derive_commands_tiny_grammar(spark):
+    from tracefold.operators.derive import derive_commands
+    g = spark.createDataFrame([
+        ("[Input]", 0, "[ls]"), ("[Input]", 1, "[cat]"),
+        ("[ls]", 0, "ls [lsOptions]"), ("[cat]", 0, "cat [File]"),
+        ("[lsOptions]", 0, "-l"), ("[lsOptions]", 1, "-a"), ("[lsOptions]", 2, "-n [SmallNumber]"),
+    ], "nonterminal string, ordinal int, production string")
+    rep = spark.createDataFrame([("[lsOptions]",)], "nonterminal string")
+    req = spark.range(200).select(F.col("id"), F.lit(3).alias("seed"))
+    a = derive_commands(g, req, rep, max_args=3).collect()
+    b = derive_commands(g, req, rep, max_args=3).collect()
+    assert sorted(a) == sorted(b)                      # seeded: deterministic
+    for r in a:
+        assert not re.search(r"\[[a-zA-Z0-9]+\]", r.command)
+        assert r.n_args <= 3 and not r.truncated
+        assert re.fullmatch(r"ls( (-l|-a|-n [1-9]))*|cat \w{1,8}", r.command), r.command
+    assert {r.command.split(" ")[0] for r in a} == {"ls", "cat"}

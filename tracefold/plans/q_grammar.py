@@ -336,3 +336,12 @@ SELECT s.seq AS id, coalesce(d.text, '') AS text FROM (SELECT DISTINCT seq FROM
                                      dict(traces=V.SQL["traces"], **_encode_sql())))
 def q_decode(spark, sf):
     return VO.decode_ids(_encoded(spark, sf), "ids", _vocab(spark, sf), key="id")
+
+
+@register("derive_commands")  # random synthesis over a data-sized grammar: rows-only + golden tests
+def q_derive(spark, sf):
+    from tracefold.operators.derive import derive_commands
+    from tracefold.session import cut_lineage
+    g = cut_lineage(derived_grammar(spark, sf))
+    req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"))
+    return derive_commands(g, req, _repeats(spark, g), max_args=10)
