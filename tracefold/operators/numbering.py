@@ -20,10 +20,17 @@ def _parts(df: DataFrame) -> int:
 
 
 def _sorted(df: DataFrame, order: list, n: int | None = None) -> DataFrame:
+    """Range-partitioned, sorted rows tagged with partition id and position.
+
+    Partition ids and positions are nondeterministic expressions, and the
+    counting pass and the numbering pass must see identical tags, so the
+    tagged rows are materialised once (reliable checkpoint in the shared
+    folder; survives executor loss)."""
+    from tracefold.session import cut_lineage
     n = n or _parts(df)
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return (s.withColumn("_pid", F.spark_partition_id())
-             .withColumn("_mid", F.monotonically_increasing_id()))
+    return cut_lineage(s.withColumn("_pid", F.spark_partition_id())
+                        .withColumn("_mid", F.monotonically_increasing_id()))
 
 
 def global_rank(df: DataFrame, order: list, out: str = "rn", group: list | None = None) -> DataFrame:
@@ -122,3 +129,77 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
     r = d.join(carries, group + ["_blk"], "left")
     return (r.withColumn(out, F.pow(g, -F.col("_e")) * (F.col("_suffix") + F.coalesce("_carry", F.lit(0.0))))
              .drop("_blk", "_e", "_w", "_suffix", "_carry"))
+
+
+def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str = "sum",
+                 out: str = "scan") -> DataFrame:
+    """Inclusive running ``op`` ('sum', or 'max' ignoring nulls and carrying
+    the last maximum forward) of ``value`` within each group, in ``order``.
+
+    No per-group window: rows are range-partitioned on (group, order), so
+    a hot group spans many partitions; each partition is scanned in Arrow
+    batches (mapInPandas, no further shuffle); a group that continues from
+    earlier partitions gets the carry of those partitions, computed from
+    one summary row per partition (a bounded table)."""
+    import numpy as np
+    import pandas as pd
+
+    keys = [F.col(c) for c in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    s = _sorted(df, keys)
+    vtype = T.DoubleType() if op == "max" else s.schema[value].dataType
+
+    def combine(a, b):
+        return np.fmax(a, b) if op == "max" else a + b
+
+    def scan(batches):
+        cur, carry = None, None
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(_run=pd.Series([], dtype="float64"))
+                continue
+            gk = pdf[group].astype(str).agg("\x1f".join, axis=1) if len(group) > 1 else pdf[group[0]].astype(str)
+            v = pdf[value].astype("float64")
+            if op == "max":
+                run = v.groupby(gk.values, sort=False).cummax()
+                run = run.groupby(gk.values, sort=False).ffill()
+            else:
+                run = v.fillna(0).groupby(gk.values, sort=False).cumsum()
+            if cur is not None:
+                same = (gk == cur).values
+                run = run.where(~same, combine(run, carry)) if op == "sum" else \
+                    pd.Series(np.where(same, np.fmax(run.values, carry if carry is not None else np.nan),
+                                       run.values), index=run.index)
+            cur, carry = gk.iloc[-1], run.iloc[-1]
+            yield pdf.assign(_run=run.values)
+
+    schema = T.StructType(list(s.schema.fields) + [T.StructField("_run", T.DoubleType())])
+    from tracefold.session import cut_lineage
+    scanned = cut_lineage(s.mapInPandas(scan, schema))  # summary and fix-up read the same scan
+    gstruct = F.struct(*[F.col(c) for c in group])
+    summ = scanned.groupBy("_pid").agg(F.min_by(gstruct, "_mid").alias("gf"), F.max_by(gstruct, "_mid").alias("gl"),
+                                       F.max_by("_run", "_mid").alias("vl"))
+    rows = sorted(summ.collect(), key=lambda r: r["_pid"])  # one row per partition
+    carries, acc_g, acc_v = [], None, None
+    for r in rows:
+        carries.append((r["_pid"], acc_v if acc_g == r["gf"] else None))
+        if acc_g == r["gl"] and r["gf"] == r["gl"]:  # the whole partition continues the chain
+            if acc_v is None:
+                acc_v = r["vl"]
+            elif r["vl"] is not None:
+                acc_v = float(combine(acc_v, r["vl"]))
+        else:
+            acc_g, acc_v = r["gl"], r["vl"]
+    spark = df.sparkSession
+    cdf = spark.createDataFrame([(p, c) for p, c in carries], "_pid int, _carry double")
+    firsts = spark.createDataFrame([(r["_pid"], r["gf"]) for r in rows],
+                                   T.StructType([T.StructField("_pid", T.IntegerType()),
+                                                 T.StructField("_gf", summ.schema["gf"].dataType)]))
+    j = scanned.join(F.broadcast(cdf), "_pid", "left").join(F.broadcast(firsts), "_pid", "left")
+    first_grp = gstruct == F.col("_gf")
+    if op == "max":
+        fixed = F.when(first_grp & F.col("_carry").isNotNull(),
+                       F.greatest(F.coalesce("_run", "_carry"), F.col("_carry"))).otherwise(F.col("_run"))
+    else:
+        fixed = F.when(first_grp & F.col("_carry").isNotNull(), F.col("_run") + F.col("_carry")).otherwise(F.col("_run"))
+    res = j.withColumn(out, fixed.cast(vtype))
+    return res.drop("_pid", "_mid", "_run", "_carry", "_gf")

@@ -37,13 +37,16 @@ def intermediate_reward(steps: DataFrame, key: str, pos: str, out_col: str, ctx_
     and remembers 0; else delta = score - previous remembered score (0
     before the first), but 1.0 when delta is 0 and score is 1.
     reward = delta / (local_horizon + 1)."""
-    from pyspark.sql import Window
     ok = F.col(code_col) == 0
     remembered = F.when(ok, F.greatest(F.col(out_col), F.col(ctx_col))).otherwise(F.lit(0.0))
-    w = Window.partitionBy(key).orderBy(pos)
     s = steps.withColumn("step_score", remembered)
-    prev = F.coalesce(F.lag("step_score").over(w), F.lit(0.0))
+    # previous position's score by an equi-join on (key, pos + 1): positions
+    # are dense, and no per-key window holds a whole trace in one task
+    prv = s.select(key, (F.col(pos) + 1).alias(pos), F.col("step_score").alias("_prev"))
+    s = s.join(prv, [key, pos], "left")
+    prev = F.coalesce(F.col("_prev"), F.lit(0.0))
     delta = F.col("step_score") - prev
     delta = F.when(~ok, F.lit(0.0)).when((delta == 0) & (F.col("step_score") == 1.0), F.lit(1.0)) \
              .otherwise(delta)
-    return s.withColumn("delta", delta).withColumn("reward", F.col("delta") / F.lit(float(local_horizon + 1)))
+    return s.withColumn("delta", delta).withColumn("reward", F.col("delta") / F.lit(float(local_horizon + 1))) \
+            .drop("_prev")

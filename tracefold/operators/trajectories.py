@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.text import human_format
-from tracefold.operators.numbering import global_rank, prefix_sum, reverse_discounted_sum
+from tracefold.operators.numbering import global_rank, grouped_scan, prefix_sum, reverse_discounted_sum
 
 
 def discounted_return(steps: DataFrame, gamma: float = 0.99, episode: str = "episode_id",
@@ -39,8 +39,11 @@ def attribute_rewards(events: DataFrame, episode: str, seq: str, is_decision: st
     it in the same episode (as-of by sequence number).  Returns one row
     per decision with its summed reward; a reward with no earlier
     decision is reported with a null decision."""
-    w = Window.partitionBy(episode).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_dec", F.last(F.when(F.col(is_decision), F.col(seq)), ignorenulls=True).over(w))
+    # latest decision at or before each row = running max of decision seqs
+    # (grouped scan: no per-episode window, a long episode spans partitions)
+    e = events.withColumn("_dval", F.when(F.col(is_decision), F.col(seq)))
+    e = grouped_scan(e, [episode], [seq], "_dval", op="max", out="_dec") \
+        .withColumn("_dec", F.col("_dec").cast(events.schema[seq].dataType))
     decisions = e.where(F.col(is_decision)).select(episode, F.col(seq).alias("decision_seq"))
     got = (e.where(~F.col(is_decision)).groupBy(episode, F.col("_dec").alias("decision_seq"))
             .agg(F.sum(reward).alias("reward"), F.count("*").alias("n_rewards")))
@@ -80,10 +83,11 @@ def position_limits(steps: DataFrame, episode: str, t: str, new_cmd: str,
     position inside it; truncated when position >= local_horizon + 1 - 4;
     over the command limit when cmd_no > max(1, global) + 1 (the start
     'cd' counts)."""
-    w = Window.partitionBy(episode).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.withColumn("cmd_no", F.sum(F.col(new_cmd).cast("int")).over(w) + 1)
-    wc = Window.partitionBy(episode, "cmd_no").orderBy(t)
-    s = s.withColumn("arg_pos", F.row_number().over(wc) - 1)
+    s = grouped_scan(steps.withColumn("_nc", F.col(new_cmd).cast("long")), [episode], [t], "_nc",
+                     op="sum", out="cmd_no").withColumn("cmd_no", F.col("cmd_no") + 1).drop("_nc")
+    # position inside the command: t is dense, so t - first t of the command
+    first = s.groupBy(episode, "cmd_no").agg(F.min(t).alias("_t0"))
+    s = s.join(first, [episode, "cmd_no"]).withColumn("arg_pos", F.col(t) - F.col("_t0")).drop("_t0")
     return (s.withColumn("truncated", F.col("arg_pos") >= local_horizon + 1 - 4)
              .withColumn("over_cmd_limit", F.col("cmd_no") > max(1, global_horizon) + 1))
 

@@ -14,12 +14,14 @@ from tracefold.sources.tables import table
 
 
 def steps(spark: SparkSession, sf: str) -> DataFrame:
+    from tracefold.operators.numbering import global_rank
     ev = table(spark, sf, "events")
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("double")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # per-user numbering without a per-user window (a user may hold a third of all events)
+    ev = global_rank(ev, ["ts", "event_id"], out="_rn", group=["user_id"])
     return ev.select(
         F.col("user_id").alias("episode_id"),
-        (F.row_number().over(w) - 1).cast("bigint").alias("t"),
+        (F.col("_rn") - 1).cast("bigint").alias("t"),
         "event_id",
         F.col("event_type").alias("head"),
         (F.col("value") / 100).alias("reward"),
@@ -49,16 +51,17 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
+    from tracefold.operators.numbering import global_rank
     d = table(spark, sf, "documents").alias("d")
     lab = table(spark, sf, "labels").alias("l")
-    w = Window.partitionBy("d.lang", "d.source").orderBy("d.doc_id")
     x = d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
         F.concat(F.col("d.lang"), F.lit("/"), F.col("d.source")).alias("k"),
-        F.row_number().over(w).alias("run_no"),
+        F.col("d.doc_id").alias("_doc"),
         F.col("d.text").alias("output"),
         F.coalesce(F.col("l.toxic"), F.lit(0)).alias("exit_code"),
     )
-    return x
+    x = global_rank(x, ["_doc"], out="run_no", group=["k"])  # no per-key window
+    return x.select("k", F.col("run_no").cast("bigint").alias("run_no"), "output", "exit_code")
 
 
 def cmds(spark: SparkSession, sf: str) -> DataFrame:
