@@ -141,7 +141,7 @@ def q_clean_exec(spark, sf):
 @register("validate_actions", """
 SELECT conv_id, turn, CASE WHEN ex = 1 AND ng = 1 THEN 'exec_and_new_global'
   WHEN ex = 1 AND length(text) > 0 THEN 'exec_with_text' WHEN length(text) > 128 THEN 'text_too_long' END AS error,
-  CASE WHEN (ex = 1 AND ng = 1) OR (ex = 1 AND length(text) > 0) OR length(text) > 128 THEN -10.0 ELSE 0.0 END AS penalty
+  CAST(CASE WHEN (ex = 1 AND ng = 1) OR (ex = 1 AND length(text) > 0) OR length(text) > 128 THEN -10.0 ELSE 0.0 END AS DOUBLE) AS penalty
 FROM (SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS ex,
              CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END AS ng FROM conversations)""")
 def q_validate_actions(spark, sf):

@@ -99,7 +99,7 @@ def scored_traces(spark, sf, out_scores=None):
 
 
 @register("score_traces", V.with_views(f"""
-SELECT seq, n_args, CASE WHEN ok THEN 1.0 ELSE -1.0 END AS exit_score,
+SELECT seq, n_args, CAST(CASE WHEN ok THEN 1.0 ELSE -1.0 END AS DOUBLE) AS exit_score,
   round(o, 6) AS output_redundancy_score, round(c, 6) AS context_redundancy_score,
   round(greatest(o, c), 6) AS redundancy_score, 'none' AS context_key,
   round(n_args / 14.0 * (greatest(o, c) - 0.5) + CASE WHEN ok THEN 0.0 ELSE -1.0 END, 6) AS reward

@@ -80,3 +80,29 @@ def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast when the side is proven small, otherwise leave the
     strategy to the planner (sort-merge / shuffled hash with AQE)."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tracefold`` importable in Python workers (UDFs, mapInPandas,
+    applyInPandasWithState): zip the package once per SparkContext and add
+    it with addPyFile, Spark's own code distribution (the zip is code, built
+    on the driver; no data goes through it)."""
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="tracefold-code-"), "tracefold.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
