@@ -158,9 +158,14 @@ def ppo_diagnostics(df: DataFrame, by: list, new_logp: str = "new_logp", old_log
                           + F.col("entropy_loss"))
 
 
-def episode_log(steps: DataFrame, episode: str, t: str, cols: list[str]) -> DataFrame:
+def episode_log(steps: DataFrame, episode: str, t: str, cols: list[str],
+                max_steps: int = 1_000_000) -> DataFrame:
     """One row per episode with its per-step columns as ordered arrays.
-    An episode is bounded by the horizons, so its arrays are too."""
+    An episode is bounded by the horizons; the bound is checked (one
+    aggregate) rather than silently collecting an oversized group."""
+    longest = steps.groupBy(episode).count().agg(F.max("count")).first()[0] or 0
+    if longest > max_steps:
+        raise ValueError(f"episode with {longest} steps exceeds max_steps={max_steps}")
     s = steps.groupBy(episode).agg(
         F.sort_array(F.collect_list(F.struct(F.col(t), *[F.col(c) for c in cols]))).alias("_st"),
         F.count("*").alias("n_actions"))

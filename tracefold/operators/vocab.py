@@ -66,8 +66,12 @@ def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int = 128, k
     reference does); ids truncated to size - 1."""
     w = df.select(key, F.posexplode(words(text)).alias("wpos", "word")).where(F.col("wpos") < size - 1)
     uw = w.select("word").distinct()
+    # substrings longer than the longest vocabulary token can never match:
+    # O(len * max_token) candidates per word instead of O(len^2) (exact)
+    max_tok = vocab.agg(F.max(F.length("token"))).first()[0] or 1
     subs = uw.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")) \
-             .select("word", "i", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("i") + 1)).alias("n"))
+             .select("word", "i", F.explode(F.sequence(
+                 F.lit(1), F.least(F.length("word") - F.col("i") + 1, F.lit(max_tok)))).alias("n"))
     subs = subs.withColumn("token", F.substring("word", F.col("i"), F.col("n")))
     hits = subs.join(vocab.withColumnRenamed("id", "tid"), "token") \
                .groupBy("word").agg(F.collect_list(F.struct("i", "n", "tid")).alias("hits"))

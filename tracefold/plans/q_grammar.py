@@ -56,7 +56,10 @@ def derived_grammar(spark, sf):
         u = u.unionByName(r)
     u = u.groupBy("nonterminal", "production").agg(F.min("first").alias("first"))
     g = global_rank(u, ["first", "production"], out="_o", group=["nonterminal"])
-    return g.select("nonterminal", (F.col("_o") - 1).cast("int").alias("ordinal"), "production")
+    g = g.select("nonterminal", (F.col("_o") - 1).cast("int").alias("ordinal"), "production")
+    # used several times per query (actions, heads, repeats, masks): materialise once
+    from tracefold.session import cut_lineage
+    return cut_lineage(g)
 
 
 def commands(grammar):
@@ -341,7 +344,6 @@ def q_decode(spark, sf):
 @register("derive_commands")  # random synthesis over a data-sized grammar: rows-only + golden tests
 def q_derive(spark, sf):
     from tracefold.operators.derive import derive_commands
-    from tracefold.session import cut_lineage
-    g = cut_lineage(derived_grammar(spark, sf))
+    g = derived_grammar(spark, sf)
     req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"))
     return derive_commands(g, req, _repeats(spark, g), max_args=10)
