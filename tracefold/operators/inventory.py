@@ -172,7 +172,7 @@ def placeholder_candidates(requests: DataFrame, inventory: DataFrame, seed: int
                                     "placeholder string, value string")
     inv = inventory.select("image", F.coalesce("cwd", F.lit("")).alias("cwd"), "placeholder", "value")
     cand = inv.unionByName(strings.select(F.lit("").alias("image"), F.lit("").alias("cwd"), "placeholder", "value"))
-    ranked = global_rank(cand, ["value"], out="_i", group=["image", "cwd", "placeholder"])
+    ranked = global_rank(cand, ["value"], out="_i", group=["image", "cwd", "placeholder"], narrow=False)  # a bag
     counts = cand.groupBy("image", "cwd", "placeholder").agg(F.count("*").alias("_n"))
     ph = F.col("placeholder")
     key_img = F.when(ph.isin(*RANDOM_STRINGS), F.lit("")).otherwise(F.col("image"))

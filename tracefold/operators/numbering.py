@@ -33,12 +33,7 @@ def _sorted(df: DataFrame, order: list, n: int | None = None) -> DataFrame:
                         .withColumn("_mid", F.monotonically_increasing_id()))
 
 
-def global_rank(df: DataFrame, order: list, out: str = "rn", group: list | None = None) -> DataFrame:
-    """1-based row number in ``order`` (make it unique with a tie-break);
-    with ``group``, numbering restarts per group (group cols lead the
-    range key so a group's rows are contiguous)."""
-    group = group or []
-    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+def _rank_rows(df: DataFrame, keys: list, out: str, group: list) -> DataFrame:
     s = _sorted(df, keys)
     counts = s.groupBy("_pid").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -51,6 +46,25 @@ def global_rank(df: DataFrame, order: list, out: str = "rn", group: list | None
     return r.drop("_pid", "_mid", "_off")
 
 
+def global_rank(df: DataFrame, order: list, out: str = "rn", group: list | None = None,
+                narrow: bool = True) -> DataFrame:
+    """1-based row number in ``order`` (column names; make them unique with
+    a tie-break); with ``group``, numbering restarts per group (group cols
+    lead the range key so a group's rows are contiguous).
+
+    ``narrow`` (default): only the key columns are ranked (and
+    checkpointed); the numbers are joined back on the keys, so wide rows
+    (whole texts) are never rewritten and column pruning still reaches the
+    scan.  Keys must then be unique (rows sharing all keys share a number);
+    pass ``narrow=False`` to number duplicate rows individually."""
+    group = list(group or [])
+    keys = group + list(order)
+    if not narrow:
+        return _rank_rows(df, [F.col(k) for k in keys], out, group)
+    ranked = _rank_rows(df.select(*keys).distinct(), [F.col(k) for k in keys], out, group)
+    return df.join(ranked, keys)
+
+
 def prefix_sum(df: DataFrame, order: list, value: str, out: str = "prefix",
                inclusive: bool = False) -> DataFrame:
     """Running sum of ``value`` over the whole table in ``order``; the
@@ -134,7 +148,8 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
 def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str = "sum",
                  out: str = "scan") -> DataFrame:
     """Inclusive running ``op`` ('sum', or 'max' ignoring nulls and carrying
-    the last maximum forward) of ``value`` within each group, in ``order``.
+    the last maximum forward) of ``value`` within each group, in ``order``
+    (column names, unique within a group).
 
     No per-group window: rows are range-partitioned on (group, order), so
     a hot group spans many partitions; each partition is scanned in Arrow
@@ -144,7 +159,9 @@ def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str =
     import numpy as np
     import pandas as pd
 
-    keys = [F.col(c) for c in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    wide = df
+    df = df.select(*group, *order, value)  # scan only the keys and the value; join back at the end
+    keys = [F.col(c) for c in group] + [F.col(o) for o in order]
     s = _sorted(df, keys)
     vtype = T.DoubleType() if op == "max" else s.schema[value].dataType
 
@@ -201,5 +218,5 @@ def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str =
                        F.greatest(F.coalesce("_run", "_carry"), F.col("_carry"))).otherwise(F.col("_run"))
     else:
         fixed = F.when(first_grp & F.col("_carry").isNotNull(), F.col("_run") + F.col("_carry")).otherwise(F.col("_run"))
-    res = j.withColumn(out, fixed.cast(vtype))
-    return res.drop("_pid", "_mid", "_run", "_carry", "_gf")
+    res = j.withColumn(out, fixed.cast(vtype)).select(*group, *order, out)
+    return wide.join(res, [*group, *order])
