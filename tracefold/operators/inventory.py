@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.text import WS_CLASS
+
 from tracefold.operators.actions import words
 from tracefold.operators.numbering import global_rank
-from tracefold.operators.grammar import LOCAL_RANDOM, GLOBAL_RANDOM, NUMBER_RANGES
+from tracefold.operators.grammar import LOCAL_RANDOM, NUMBER_RANGES
 
 # String-valued random terminals.
 RANDOM_STRINGS = {

@@ -252,9 +252,8 @@ def q_mask2_strict(spark, sf):
 # ------------------------------------------------------------------ vocabulary
 
 def _dirs(spark, sf):
-    c = V.cmds(spark, sf)
+    """Working directories: the URL paths of the pages, in first-seen order."""
     p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("dir"))
-    del c
     return p.groupBy("dir").agg(F.min("page_id").alias("ord"))
 
 
