@@ -51,7 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
-    local = tempfile.mkdtemp(prefix="tracefold-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: checkpoints and intermediate "
+                           "tables must survive executor loss, a machine-local folder would not")
+    local = tempfile.mkdtemp(prefix="tracefold-ckpt-")  # local mode (tests) only
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
