@@ -33,12 +33,18 @@ def _first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
 
 
+def dedupe_batch(spark: SparkSession, df: DataFrame, out_dir: str, key: str = "input", order: str = "seq") -> None:
+    """One micro-batch: first row per key, minus keys already written.
+    Running it again on the same batch (a replay) writes nothing."""
+    fresh = _first_per_key(df, key, order).join(_read_keys(spark, out_dir, key), key, "left_anti")
+    fresh.write.mode("append").parquet(out_dir)
+
+
 def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: T.StructType,
                   key: str = "input", order: str = "seq", max_files_per_trigger: int | None = None) -> None:
     """Incremental first-wins dedupe by ``key`` as files arrive."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        fresh = _first_per_key(df, key, order).join(_read_keys(spark, out_dir, key), key, "left_anti")
-        fresh.write.mode("append").parquet(out_dir)
+        dedupe_batch(spark, df, out_dir, key, order)
 
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -48,6 +54,19 @@ def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     q.awaitTermination()
 
 
+def flush_batch(spark: SparkSession, df: DataFrame, out_dir: str, registry: str, key: str = "input",
+                order: str = "seq") -> None:
+    """One flush: drop registered inputs, keep the first of each new one,
+    append traces and register their keys.  A replay writes nothing."""
+    known = _read_keys(spark, registry, key)
+    fresh = _first_per_key(df, key, order).join(known, key, "left_anti")
+    done = _read_keys(spark, out_dir, key)  # replay of a committed batch adds nothing
+    fresh = fresh.join(done, key, "left_anti").persist()
+    fresh.write.mode("append").parquet(out_dir)
+    fresh.select(key).write.mode("append").parquet(registry)
+    fresh.unpersist()
+
+
 def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str, checkpoint: str,
                  schema: T.StructType, key: str = "input", order: str = "seq",
                  max_files_per_trigger: int | None = None) -> None:
@@ -55,13 +74,7 @@ def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str,
     drop inputs already in the registry, keep the first of each new input,
     append the traces, then register their keys."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        known = _read_keys(spark, registry, key)
-        fresh = _first_per_key(df, key, order).join(known, key, "left_anti")
-        done = _read_keys(spark, out_dir, key)  # replay of a committed batch adds nothing
-        fresh = fresh.join(done, key, "left_anti").persist()
-        fresh.write.mode("append").parquet(out_dir)
-        fresh.select(key).write.mode("append").parquet(registry)
-        fresh.unpersist()
+        flush_batch(spark, df, out_dir, registry, key, order)
 
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
