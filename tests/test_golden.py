@@ -120,13 +120,14 @@ def test_cwd_track_multi_block_equals_python(spark):
             cwd = nxt
 
 
+@pytest.mark.parametrize("block", [2, 5])
 @pytest.mark.parametrize("gamma", [0.0, 0.5, 0.99, 1.0])
-def test_discounted_return_multi_block(spark, gamma):
+def test_discounted_return_multi_block(spark, gamma, block):
     rnd = random.Random(5)
     rows = [(e, t, rnd.uniform(-1, 1)) for e in range(3) for t in range(23)]
     df = spark.createDataFrame(rows, "episode_id long, t long, reward double")
     from tracefold.operators.numbering import reverse_discounted_sum
-    got = {(r.episode_id, r.t): r.G for r in reverse_discounted_sum(df, ["episode_id"], "t", "reward", gamma, block=5).collect()}
+    got = {(r.episode_id, r.t): r.G for r in reverse_discounted_sum(df, ["episode_id"], "t", "reward", gamma, block=block).collect()}
     for e in range(3):
         g = 0.0
         for t in reversed(range(23)):

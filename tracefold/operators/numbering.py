@@ -110,12 +110,12 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
     """out_t = sum_{k >= t} gamma^(k-t) * value_k within each group, for a
     dense step index ``t`` (0..n-1).
 
-    Two levels so no group is held by one task: steps are cut into
-    blocks of B (window frames bounded by B); each block's weighted total
-    is carried backwards by a fold over the per-group block summaries
-    (n/B entries).  Weights are rebased per block, so no gamma^t under-
-    or overflow however long the group is.
-    """
+    Steps are cut into blocks of B: inside a block a window frame (at most
+    B rows) gives the rebased suffix sum; the block totals S_b obey the
+    same recurrence with factor gamma^B, so the operator is applied to the
+    block table itself (B times smaller) to get each block's carry
+    gamma^B * G'_{b+1}.  No group is held by one task, no array grows with
+    the group, and weights never under/overflow however long it is."""
     B = min(block, block_size(gamma)) if block else block_size(gamma)  # never beyond the safe size
     g = F.lit(float(gamma))
     d = (df.withColumn("_blk", F.floor(F.col(t) / B).cast("long"))
@@ -124,24 +124,16 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
     wb = Window.partitionBy(*group, "_blk").orderBy(F.col(t).desc()) \
                .rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_suffix", F.sum("_w").over(wb))
-    tot = d.groupBy(*group, "_blk").agg(F.sum("_w").alias("_S"))
-    gB = F.pow(g, F.lit(float(B)))
-    # carry_b = gamma^B * (S_{b+1} + carry_{b+1}); blocks are contiguous (t dense)
-    summ = tot.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_blk", "_S")), asc=False).alias("_bs"))
-    init = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("next"),
-                    F.array().cast("array<struct<_blk:bigint,c:double>>").alias("acc"))
-    folded = F.aggregate(
-        "_bs", init,
-        lambda acc, x: F.struct(
-            (gB * (acc["next"] + acc["c"])).alias("c"),
-            x["_S"].alias("next"),
-            F.concat(acc["acc"], F.array(F.struct(x["_blk"].alias("_blk"),
-                                                  (gB * (acc["next"] + acc["c"])).alias("c")))).alias("acc")))
-    first_fix = F.transform(folded["acc"], lambda y: y)  # acc[0] is the last block: carry 0
-    carries = summ.select(*group, F.explode(first_fix).alias("_cb")).select(
-        *group, F.col("_cb._blk").alias("_blk"), F.col("_cb.c").alias("_carry"))
-    r = d.join(carries, group + ["_blk"], "left")
-    return (r.withColumn(out, F.pow(g, -F.col("_e")) * (F.col("_suffix") + F.coalesce("_carry", F.lit(0.0))))
+    gB = float(gamma) ** B
+    max_blk = d.agg(F.max("_blk")).first()[0] or 0  # one scalar: do later blocks exist at all?
+    if max_blk > 0 and gB > 0.0:
+        tot = d.groupBy(*group, F.col("_blk").alias("_tb")).agg(F.sum("_w").alias("_S"))
+        lvl = reverse_discounted_sum(tot, group, "_tb", "_S", gB, out="_G2", block=block)
+        carry = lvl.select(*group, (F.col("_tb") - 1).alias("_blk"), (F.lit(gB) * F.col("_G2")).alias("_carry"))
+        d = d.join(carry, group + ["_blk"], "left")
+    else:
+        d = d.withColumn("_carry", F.lit(0.0))
+    return (d.withColumn(out, F.pow(g, -F.col("_e")) * (F.col("_suffix") + F.coalesce("_carry", F.lit(0.0))))
              .drop("_blk", "_e", "_w", "_suffix", "_carry"))
 
 
