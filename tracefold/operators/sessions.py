@@ -1,4 +1,4 @@
-"""Working-directory tracking over command sessions (blocked scan)."""
+"""Working-directory tracking over command sessions (recursive blocked scan)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from tracefold.operators.numbering import global_rank
 
 
 def _prefix(arr_col: str, fn_field: str):
-    """Inclusive prefix compositions of an ordered array of structs."""
+    """Inclusive prefix compositions of an ordered (block-sized) array."""
     init = F.struct(identity_fn().alias("cur"), F.array().cast(f"array<{FN_TYPE}>").alias("out"))
     return F.aggregate(
         arr_col, init,
@@ -18,45 +18,46 @@ def _prefix(arr_col: str, fn_field: str):
                                 F.concat(acc["out"], F.array(compose(acc["cur"], x[fn_field]))).alias("out")))
 
 
+def prefix_compose(df: DataFrame, group: list, rank: str, fn: str, block: int = 256) -> DataFrame:
+    """(group, rank, _incl): composition of all directory functions up to
+    and including each row, for a dense 1-based ``rank`` per group.
+
+    Rows are cut into blocks (arrays of at most ``block`` entries are
+    folded); the block totals are composed by the same operator applied to
+    the block table (``block`` times smaller), so no array grows with the
+    group and no group sits in one task."""
+    d = df.select(*group, rank, fn).withColumn("_blk", F.floor((F.col(rank) - 1) / block).cast("long"))
+    per_blk = d.groupBy(*group, "_blk").agg(F.sort_array(F.collect_list(F.struct(F.col(rank).alias("r"),
+                                                                             F.col(fn).alias("f")))).alias("_rows"))
+    per_blk = per_blk.withColumn("_scan", _prefix("_rows", "f"))
+    rows = per_blk.select(*group, "_blk", F.inline(F.arrays_zip(F.col("_rows.r").alias("r"),
+                                                                F.col("_scan.out").alias("inc"))))
+    rows = rows.select(*group, "_blk", F.col("r").alias(rank), F.col("inc").alias("_in_blk"))
+    max_blk = d.agg(F.max("_blk")).first()[0] or 0
+    if max_blk > 0:
+        tots = per_blk.select(*group, (F.col("_blk") + 1).alias("_br"), F.col("_scan.cur").alias("_tf"))
+        up = prefix_compose(tots, group, "_br", "_tf", block)  # composition of blocks 0.._br-1
+        incoming = up.select(*group, F.col("_br").alias("_blk"), F.col("_incl").alias("_pre"))
+        rows = rows.join(incoming, group + ["_blk"], "left")
+    else:
+        rows = rows.withColumn("_pre", F.lit(None).cast(FN_TYPE))
+    pre = F.coalesce(F.col("_pre"), identity_fn())
+    return rows.select(*group, rank, compose(pre, F.col("_in_blk")).alias("_incl"))
+
+
 def cwd_track(cmds: DataFrame, session: str, order: str, cmd: str, start_cwd: str = "/",
-              block: int = 4096) -> DataFrame:
+              block: int = 256) -> DataFrame:
     """cwd before and after every command of every session.
 
-    Commands become directory functions; a session is numbered (range
-    partitioned, so a hot session is split), cut into blocks of
-    ``block`` rows, composed within each block, and the block totals are
-    composed per session (n / block entries) to give each block's
-    incoming directory function."""
+    Commands become directory functions (reset-or-pop-then-append, an
+    associative composition); a session is numbered by a range-partitioned
+    rank (a hot session is split) and scanned by ``prefix_compose``."""
     d = cmds.withColumn("_f", cd_function(F.col(cmd)))
     d = global_rank(d, [order], out="_rk", group=[session])
-    d = d.withColumn("_blk", F.floor((F.col("_rk") - 1) / block).cast("long"))
-    per_blk = d.groupBy(session, "_blk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_rk"), F.col("_f")))).alias("_rows"))
-    per_blk = per_blk.withColumn("_scan", _prefix("_rows", "_f"))
-    per_blk = per_blk.withColumn("_total", F.col("_scan.cur"))
-    # exclusive prefix over block totals, per session (n / block entries)
-    tots = per_blk.groupBy(session).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("_blk"), F.col("_total").alias("_f")))).alias("_bt"))
-    tots = tots.withColumn("_bscan", _prefix("_bt", "_f"))
-    incoming = tots.select(session, F.posexplode(F.arrays_zip(
-        F.col("_bt"), F.col("_bscan.out"))).alias("_i", "_z")).select(
-        session, F.col("_z._bt._blk").alias("_blk"),
-        # composition of all blocks strictly before this one
-        F.col("_i"), F.col("_z.out").alias("_incl"))
-    prev = incoming.select(session, (F.col("_blk") + 1).alias("_blk"), F.col("_incl").alias("_in"))
-    rows = per_blk.select(session, "_blk", F.posexplode(F.arrays_zip(F.col("_rows"), F.col("_scan.out")))
-                          .alias("_j", "_z"))
-    rows = rows.select(session, "_blk", F.col("_z._rows._rk").alias("_rk"),
-                       F.col("_z.out").alias("_incl_row"))
-    w_prev = rows.select(session, "_blk", (F.col("_rk") + 1).alias("_rk"),
-                         F.col("_incl_row").alias("_excl_row"))
-    r = (d.select(session, order, cmd, "_rk", "_blk")
-          .join(rows, [session, "_blk", "_rk"])
-          .join(w_prev, [session, "_blk", "_rk"], "left")
-          .join(prev, [session, "_blk"], "left"))
+    inc = prefix_compose(d, [session], "_rk", "_f", block)
+    prev = inc.select(session, (F.col("_rk") + 1).alias("_rk"), F.col("_incl").alias("_excl"))
+    r = d.select(session, order, cmd, "_rk").join(inc, [session, "_rk"]).join(prev, [session, "_rk"], "left")
     start = F.lit(start_cwd)
-    inc = F.coalesce(F.col("_in"), identity_fn())
-    before = F.coalesce(F.col("_excl_row"), identity_fn())
     return r.select(session, order, cmd,
-                    apply_fn(compose(inc, before), start).alias("cwd_before"),
-                    apply_fn(compose(inc, F.col("_incl_row")), start).alias("cwd_after"))
+                    apply_fn(F.coalesce(F.col("_excl"), identity_fn()), start).alias("cwd_before"),
+                    apply_fn(F.col("_incl"), start).alias("cwd_after"))

@@ -106,7 +106,8 @@ FROM c JOIN walk_rec b ON b.session = c.session AND b.rk = c.rk - 1
 UNION ALL
 SELECT c.session, c.rk, {_CD('c.cmd', 'w.cwd')} FROM walk_rec w JOIN c ON c.session = w.session AND c.rk = w.rk + 1"""}))
 def q_cwd_track(spark, sf):
-    return cwd_track(V.cmds(spark, sf), "session", "ord", "cmd", start_cwd="/", block=16)
+    # small blocks: the oracle check then exercises the multi-level (recursive) scan on real sessions
+    return cwd_track(V.cmds(spark, sf), "session", "ord", "cmd", start_cwd="/", block=8)
 
 
 @register("split_context", V.with_views("""
