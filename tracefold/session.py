@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, app: str = "tracefold",
         .config("spark.driver.memory", os.environ.get("TRACEFOLD_DRIVER_MEM", "16g"))
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
