@@ -42,15 +42,32 @@ def dedupe_batch(spark: SparkSession, df: DataFrame, out_dir: str, key: str = "i
 
 def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: T.StructType,
                   key: str = "input", order: str = "seq", max_files_per_trigger: int | None = None) -> None:
-    """Incremental first-wins dedupe by ``key`` as files arrive."""
-    def batch(df: DataFrame, batch_id: int) -> None:
-        dedupe_batch(spark, df, out_dir, key, order)
+    """Incremental first-wins dedupe by ``key`` as files arrive.
+
+    Keyed streaming state (one "seen" flag per key, in the state store):
+    a micro-batch touches only its own keys, never the keys written so
+    far; the first row of a new key (min ``order`` within the batch) is
+    emitted once.  The checkpointed file sink makes output exactly-once.
+    State grows with the number of distinct keys (no TTL: a key must stay
+    deduplicated forever)."""
+    cols = [f.name for f in schema.fields]
+
+    def first_unseen(k, pdfs, state):
+        if state.exists:
+            for _ in pdfs:  # drain: already emitted in an earlier batch
+                pass
+            return
+        batch = pd.concat(list(pdfs))
+        state.update((True,))
+        yield batch.loc[[batch[order].idxmin()], cols]
 
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (r.json(in_dir).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-          .trigger(availableNow=True).start())
+    out = r.json(in_dir).groupBy(key).applyInPandasWithState(
+        first_unseen, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    q = (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
