@@ -44,10 +44,10 @@ def q_stream_flush(spark, sf):
     t = V.traces(spark, sf).select("seq", "input", "exit_code")
     reg = scratch_path(spark, "flush-registry")
     bad = t.join(table(spark, sf, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("seq")), "seq")
-    bad.select("input").distinct().write.parquet(reg)  # inputs already known before streaming starts
+    bad.select("input").distinct().write.parquet(f"{reg}/flush=seed")  # known before streaming starts
     out, ck = scratch_path(spark, "flush-out"), scratch_path(spark, "flush-ck")
     _run(spark, t, "seq", lambda d: J.stream_flush(spark, d, out, reg, ck, t.schema))
-    return spark.read.parquet(out).select("input", "seq")
+    return spark.read.parquet(out).select("input", "seq")  # all batch=<id> partitions
 
 
 @register("stream_cwd", REGISTRY["cwd_track"].sql)  # must equal the batch fold

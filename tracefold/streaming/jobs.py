@@ -51,15 +51,7 @@ def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     State grows with the number of distinct keys (no TTL: a key must stay
     deduplicated forever)."""
     cols = [f.name for f in schema.fields]
-
-    def first_unseen(k, pdfs, state):
-        if state.exists:
-            for _ in pdfs:  # drain: already emitted in an earlier batch
-                pass
-            return
-        batch = pd.concat(list(pdfs))
-        state.update((True,))
-        yield batch.loc[[batch[order].idxmin()], cols]
+    first_unseen = _first_unseen_fn(order, cols)
 
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
@@ -71,33 +63,46 @@ def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
     q.awaitTermination()
 
 
-def flush_batch(spark: SparkSession, df: DataFrame, out_dir: str, registry: str, key: str = "input",
-                order: str = "seq") -> None:
-    """One flush: drop registered inputs, keep the first of each new one,
-    append traces and register their keys.  A replay writes nothing."""
-    known = _read_keys(spark, registry, key)
-    fresh = _first_per_key(df, key, order).join(known, key, "left_anti")
-    done = _read_keys(spark, out_dir, key)  # replay of a committed batch adds nothing
-    fresh = fresh.join(done, key, "left_anti").persist()
-    fresh.write.mode("append").parquet(out_dir)
-    fresh.select(key).write.mode("append").parquet(registry)
-    fresh.unpersist()
+def _first_unseen_fn(order: str, cols: list[str]):
+    def first_unseen(k, pdfs, state):
+        if state.exists:
+            for _ in pdfs:  # drain: this key was emitted in an earlier batch
+                pass
+            return
+        batch = pd.concat(list(pdfs))
+        state.update((True,))
+        yield batch.loc[[batch[order].idxmin()], cols]
+    return first_unseen
+
+
+def flush_write(df: DataFrame, out_dir: str, registry: str, batch_id: int, key: str = "input") -> None:
+    """Write one flush: the traces and their keys, each into the batch's
+    own partition, overwritten as a whole, so replaying a batch id
+    rewrites the same files instead of appending twice."""
+    df = df.persist()
+    df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+    df.select(key).write.mode("overwrite").parquet(f"{registry.rstrip('/')}/flush={batch_id}")
+    df.unpersist()
 
 
 def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str, checkpoint: str,
                  schema: T.StructType, key: str = "input", order: str = "seq",
                  max_files_per_trigger: int | None = None) -> None:
     """Every micro-batch (bounded by maxFilesPerTrigger, the flush size):
-    drop inputs already in the registry, keep the first of each new input,
-    append the traces, then register their keys."""
-    def batch(df: DataFrame, batch_id: int) -> None:
-        flush_batch(spark, df, out_dir, registry, key, order)
-
+    inputs registered before the query started are dropped by a
+    stream-static anti-join; inputs already seen while streaming are
+    dropped by keyed state; the first row of each new input is flushed
+    together with its registry key (``flush_write``).  Registry layout:
+    ``<registry>/flush=<id>/`` partitions (read with load_registry)."""
+    known = _read_keys(spark, registry, key)
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    q = (r.json(in_dir).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-          .trigger(availableNow=True).start())
+    cols = [f.name for f in schema.fields]
+    fresh = r.json(in_dir).join(known, key, "left_anti").groupBy(key).applyInPandasWithState(
+        _first_unseen_fn(order, cols), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    q = (fresh.writeStream.foreachBatch(lambda df, bid: flush_write(df, out_dir, registry, bid, key))
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
