@@ -238,3 +238,24 @@ def test_stream_batches_replay_safe(spark):
     flush_write(first, out2, reg, 0)  # replay of batch 0 rewrites, never duplicates
     assert [tuple(r) for r in spark.read.parquet(out2).select("input", "seq").collect()] == [("a", 1)]
     assert sorted(r[0] for r in spark.read.parquet(reg).select("input").collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("op", ["sum", "max"])
+def test_grouped_scan_hot_group_spans_partitions(spark, op):
+    """One group holding most rows is split over every range partition; the
+    per-partition carries must stitch the running value back together."""
+    rnd = random.Random(11)
+    rows = [("hot", i, (rnd.randint(0, 50) if rnd.random() < 0.7 else None)) for i in range(900)]
+    rows += [("cold", i, rnd.randint(0, 50)) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, t long, v long")
+    got = {(r.g, r.t): r.s for r in N.grouped_scan(df, ["g"], ["t"], "v", op=op, out="s").collect()}
+    for g in ("hot", "cold"):
+        acc = None
+        for gg, t, v in rows:
+            if gg != g:
+                continue
+            if op == "sum":
+                acc = (acc or 0) + (v or 0)
+            elif v is not None:
+                acc = v if acc is None else max(acc, v)
+            assert got[(g, t)] == (pytest.approx(acc) if acc is not None else None), (g, t)
