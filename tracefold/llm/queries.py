@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import bpe, langid, packing, pii, quality, rules, sharding
+from tracefold.llm import ann, bpe, jaccard, langid, packing, pii, quality, rules, sharding
 from tracefold.llm.common import table
 
 #: One shard is one fetch of a streaming reader.
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.signals(table(spark, sf_dir, "documents"))
 
 
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sharding, op2_bpe, op4_quality_classifier, op6_language_id, op7_packing, op8_pii, op9_quality_rules)}
+    op1_sharding, op2_bpe, op3_jaccard_join, op4_quality_classifier, op6_language_id, op7_packing, op8_pii, op9_quality_rules, op10_vector_search)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE}
