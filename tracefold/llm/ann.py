@@ -160,7 +160,7 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF, bloc
     """query_id, rank, vec_id, score of the k nearest found in a stored index.
     Shards and query blocks meet pairwise, each pair in its own group."""
     blocks = max(1, -(-queries.count() // block_rows))
-    shards = built.select("dim", "shard")
+    shards = built.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -189,7 +189,8 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF, bloc
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=schema)
 
     left = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).join(shards, "dim")
+    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    right = right.join(shards, F.col("dim") == F.col("_dim")).select("vec_id", "embedding", "dim", F.col("_shard").alias("shard"), "block")
     keys = ["dim", "shard", "block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -291,3 +291,20 @@ def join_components(docs: DataFrame) -> DataFrame:
     named = stored(named.join(names, "comp").select("n", "d1", "d2", "component_id"), "jaccard-names")
     out = rows.join(bounded(named), ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_documents(docs: DataFrame) -> DataFrame:
+    """The rows, all columns, of one document of each component: the one whose
+    id names it.  Of repeated rows with that id one stays (the smallest
+    text); rows without an id or without words stay."""
+    named = join_components(docs)
+    gone = stored(named.where("n_shingles > 0 and component_id is not null and doc_id is not null and doc_id <> component_id")
+                  .select("doc_id").distinct(), "jaccard-gone")
+    kept = docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
+    again = stored(named.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1").select("doc_id"), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(bounded(again), "doc_id", "left_semi").select(docs.columns)
+    rest = kept.join(bounded(again), "doc_id", "left_anti").select(docs.columns)
+    pick = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("_r")).select("_r.*")
+    return rest.unionByName(pick.select(docs.columns))

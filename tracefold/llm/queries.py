@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import ann, bpe, jaccard, langid, packing, pii, quality, rules, sharding
+from tracefold.llm import ann, bpe, jaccard, langid, lm, packing, pii, quality, rules, sharding
 from tracefold.llm.common import table
 
 #: One shard is one fetch of a streaming reader.
@@ -29,6 +29,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,6 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_sharding, op2_bpe, op3_jaccard_join, op4_quality_classifier, op6_language_id, op7_packing, op8_pii, op9_quality_rules, op10_vector_search)}
+    op1_sharding, op2_bpe, op3_jaccard_join, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_packing, op8_pii,
+    op9_quality_rules, op10_vector_search)}
 ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE}
