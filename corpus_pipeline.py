@@ -1,32 +1,57 @@
-"""Corpus pipeline: the stages a training corpus passes, in order."""
+"""Corpus pipeline: the stages a training corpus passes, in order.
+
+Each stage works on all that its predecessor kept; its decisions take effect.
+All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import packing, rules
-from tracefold.llm.common import stored
+from tracefold.llm import jaccard, packing, pii, quality, rules
+from tracefold.llm.common import stored, table
 from tracefold.session import ship_package
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ship_package(spark)
+    return quality.keep_documents(docs, table(spark, sf_dir, "labels"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
     ship_package(spark)
     return rules.keep_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies stays."""
+    ship_package(spark)
+    return jaccard.keep_documents(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the name of its kind."""
+    ship_package(spark)
+    return pii.redact_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: a row per piece with its place."""
     ship_package(spark)
     return packing.pack(docs, ids=False)
 
 
-STAGES = [("quality_rules", quality_rules), ("packing", pack)]
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates),
+          ("personal_data", personal_data), ("packing", pack)]
 
 #: Learned stages can't be expressed in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
