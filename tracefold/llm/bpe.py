@@ -33,6 +33,7 @@ from tracefold.llm import flat as fl
 #: Distinct pieces and words kept per Python worker (about 250 MB); beyond it a cache starts anew.
 CACHE_PIECES, CACHE_WORDS = 800_000, 500_000
 _NONE = np.int64(1 << 40)
+_MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 #: Unicode White_Space.
 _PIECES = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -72,7 +73,8 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         key = (left << 32) | right
         order = np.argsort(key, kind="stable")
-        self.keys, self.rank, self.made = key[order], order.astype(np.int64), made[order]
+        self.keys, self.made = key[order], made[order]
+        self.rank = np.append(order.astype(np.int64), _NONE)
         self.special = {t["content"]: t["id"] for t in j.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.token = [""] * size
@@ -92,6 +94,14 @@ class WordBpe:
             self.words: dict[str, bytes] = {}
             self.ready = True
 
+    def _find(self, sym: np.ndarray, wid: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Places of the pairs that begin at ``where`` among the sorted keys,
+        len(keys) for none, and one more of these."""
+        key = (sym[where] << 32) | sym[where + 1]
+        pos = np.searchsorted(self.keys, key)
+        pos[(self.keys[np.minimum(pos, len(self.keys) - 1)] != key) | (wid[where] != wid[where + 1])] = len(self.keys)
+        return np.append(pos, len(self.keys))
+
     # -- merge rounds ------------------------------------------------------
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the words' offsets into it.
@@ -103,16 +113,9 @@ class WordBpe:
         sym[ends - 1] = self.last[raw[ends - 1]]
         wid = np.repeat(np.arange(len(words)), n)
         done_sym, done_wid = [], []
+        at = self._find(sym, wid, np.arange(len(sym) - 1))  # place of each symbol's pair with the next
         while len(sym):
-            rank = np.full(len(sym), _NONE)
-            at = np.zeros(len(sym), np.int64)
-            inside = np.flatnonzero(wid[:-1] == wid[1:])
-            key = (sym[inside] << 32) | sym[inside + 1]
-            pos = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[pos] == key
-            where = inside[hit]
-            rank[where] = self.rank[pos[hit]]
-            at[where] = pos[hit]
+            rank = self.rank[at]
             new = np.ones(len(wid), bool)
             new[1:] = wid[1:] != wid[:-1]
             heads = np.flatnonzero(new)
@@ -132,7 +135,13 @@ class WordBpe:
                 p = p[(p - np.maximum.accumulate(np.where(start, p, 0))) % 2 == 0]
             sym[p] = self.made[at[p]]
             mask[p + 1] = False
-            sym, wid = sym[mask], wid[mask]
+            fresh = np.zeros(len(sym), bool)
+            fresh[p] = True
+            sym, wid, at, fresh = sym[mask], wid[mask], at[mask], fresh[mask]
+            fresh[:-1] |= fresh[1:]  # a merged symbol changes its pair and the one before
+            at[-1:] = len(self.keys)
+            where = np.flatnonzero(fresh[:-1])
+            at[where] = self._find(sym, wid, where)[:-1]
         sym, wid = np.concatenate(done_sym or [np.zeros(0, np.int64)]), np.concatenate(done_wid or [np.zeros(0, np.int64)])
         order = np.argsort(wid, kind="stable")
         return sym[order].astype("<u4"), np.concatenate([[0], np.cumsum(np.bincount(wid, minlength=len(words)))])
@@ -151,28 +160,40 @@ class WordBpe:
         return out
 
     def learn(self, pieces) -> None:
-        """Encode distinct pieces into the cache."""
+        """Encode distinct pieces into the cache.  Letters with nothing or
+        ASCII marks after them need no pattern search."""
         words, cache, simple, mixed = self.words, self.cache, {}, {}
         for p in pieces:
-            if p.isascii() and p.isalpha():
-                simple[p] = p.lower()
+            core = p.rstrip(_MARKS)
+            if core.isalpha() and (p.isascii() or "Σ" not in core and unicodedata.is_normalized("NFC", p)):
+                low = core.lower()
+                if len(core) == len(p):
+                    simple[p] = low
+                    continue
+                ps = [low, p[len(core):]] if "<" not in p and low.isalpha() else self._parts(p)
             else:
                 ps = self._parts(p)
-                if len(ps) == 1 and isinstance(ps[0], str):
-                    simple[p] = ps[0]
-                else:
-                    mixed[p] = ps
-        new = set(simple.values()).difference(words)
-        new.update(w for ps in mixed.values() for w in ps if isinstance(w, str) and w not in words)
+            if len(ps) == 1 and isinstance(ps[0], str):
+                simple[p] = ps[0]
+            else:
+                mixed[p] = ps
+        odd = [p for p, w in simple.items() if not w.isascii() and not w.isalpha()]
+        for p in odd:  # lower-casing gave a mark of its own
+            ps = self._parts(p)
+            if ps != [simple[p]]:
+                del simple[p]
+                mixed[p] = ps
+        new = set(simple.values())
+        new.update(w for ps in mixed.values() for w in ps if isinstance(w, str))
+        new = list(new.difference(words))
         if new:
-            new = list(new)
             ids, off = self.merge([w.encode("utf-8", "surrogatepass") for w in new])
             data, ends = ids.tobytes(), (off * 4).tolist()
             words.update(zip(new, [data[a:b] for a, b in zip(ends, ends[1:])]))
-        for p, w in simple.items():
-            cache[p] = words[w]
+        get = words.__getitem__
+        cache.update(zip(simple, map(get, simple.values())))
         for p, ps in mixed.items():
-            cache[p] = b"".join([words[w] if isinstance(w, str) else int(w).to_bytes(4, "little") for w in ps])
+            cache[p] = b"".join([get(w) if isinstance(w, str) else int(w).to_bytes(4, "little") for w in ps])
 
     def encode_bytes(self, texts: list) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
