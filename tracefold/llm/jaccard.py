@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefold.llm import flat as fl
 from tracefold.llm.common import bounded, stored
@@ -244,8 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
-def join_components(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored rows (doc_id, n, d1, d2) and, for each class of equal sets, its
+    component's name and whether it is the component's first class."""
     docs = docs.select("doc_id", "text")
     rows = stored(digests(docs).withColumn("_row", F.monotonically_increasing_id()), "jaccard-digests")
     nodes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("_row").alias("node"), F.min("doc_id").alias("doc_id")), "jaccard-nodes")
@@ -287,24 +289,49 @@ def join_components(docs: DataFrame) -> DataFrame:
     comp = stored(components(edges.union(verify(met, docs, nodes))), "jaccard-components")
 
     named = joined(nodes, "node", "comp")
-    names = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = stored(named.join(names, "comp").select("n", "d1", "d2", "component_id"), "jaccard-names")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    names = named.groupBy("comp").agg(F.min(first).alias("_f")).select("comp", F.col("_f.doc_id").alias("component_id"), F.col("_f.node").alias("_w"))
+    named = named.join(names, "comp").select("n", "d1", "d2", "component_id", (F.col("node") == F.col("_w")).alias("first"), F.col("doc_id").alias("class_id"))
+    return rows.select("doc_id", "n", "d1", "d2"), stored(named, "jaccard-names")
+
+
+def join_components(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    rows, named = _classes(docs)
     out = rows.join(bounded(named), ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The rows, all columns, of one document of each component: the one whose
-    id names it.  Of repeated rows with that id one stays (the smallest
-    text); rows without an id or without words stay."""
-    named = join_components(docs)
-    gone = stored(named.where("n_shingles > 0 and component_id is not null and doc_id is not null and doc_id <> component_id")
-                  .select("doc_id").distinct(), "jaccard-gone")
-    kept = docs.join(bounded(gone), "doc_id", "left_anti").select(docs.columns)
-    again = stored(named.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("_c")).where("_c > 1").select("doc_id"), "jaccard-again")
+    """The rows, all columns, of one document of each component: the one with
+    its smallest id (a row without id only if none has one).  Of rows that
+    share that id and shingle set one stays; rows without words all stay."""
+    rows, named = _classes(docs)
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):
+        free += "_"
+    n, d1, d2 = free + "n", free + "d1", free + "d2"
+
+    def run(batches):
+        for b in fl.slices(batches):
+            h, off = fl.shingle_sets(*fl.flat(b.column("text")), SHINGLE)
+            x, y = _digest(h, off)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.diff(off), pa.int64()), pa.array(x), pa.array(y)], [*b.schema.names, n, d1, d2])
+
+    known = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in (n, d1, d2)]]))
+    found = rows.join(bounded(named), ["n", "d1", "d2"])
+    found = stored(found.groupBy("doc_id", "n", "d1", "d2").agg(F.count("*").alias("c"), F.first(F.col("first") & F.col("class_id").eqNullSafe(F.col("doc_id"))).alias("stays")), "jaccard-found")
+
+    def same(other: DataFrame):
+        return known["doc_id"].eqNullSafe(other["doc_id"]) & (known[n] == other["n"]) & (known[d1] == other["d1"]) & (known[d2] == other["d2"])
+
+    gone = bounded(found.where("not stays").select("doc_id", "n", "d1", "d2"))
+    again = found.where("stays and c > 1").select("doc_id", "n", "d1", "d2")
     if again.isEmpty():
-        return kept
-    twice = kept.join(bounded(again), "doc_id", "left_semi").select(docs.columns)
-    rest = kept.join(bounded(again), "doc_id", "left_anti").select(docs.columns)
-    pick = twice.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), "text")).alias("_r")).select("_r.*")
-    return rest.unionByName(pick.select(docs.columns))
+        return known.join(gone, same(gone), "left_anti").drop(n, d1, d2)
+    known = known.join(gone, same(gone), "left_anti")
+    again = bounded(again)
+    rest = known.join(again, same(again), "left_anti").drop(n, d1, d2)
+    most = F.struct(F.xxhash64("text"), "text")
+    pick = known.join(again, same(again), "left_semi").groupBy("doc_id", n, d1, d2).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), most).alias("r"))
+    return rest.unionByName(pick.select("r.*"))
