@@ -128,7 +128,7 @@ class Graph:
         var = np.unique(np.searchsorted(starts, clue, "right") - 1) if len(clue) else np.zeros(0, np.int64)
         doc = np.searchsorted(woff, var, "right") - 1
         self.bases: dict[int, list] = {}
-        self.doc, self.start, self.end, self.label, self.features = [], [], [], [], []
+        self.doc, self.word, self.start, self.end, self.label, self.features = [], [], [], [], [], []
         links: list[tuple[int, int, int]] = []
         points = np.concatenate([[0], np.cumsum(code_points(buf), dtype=np.int64)]) if len(var) else None
         seen: dict[tuple[int, str], int] = {}
@@ -145,9 +145,8 @@ class Graph:
             prev = word(v - 1) if v > woff[d] else ""
             nxt = word(v + 1) if v + 1 < woff[d + 1] else ""
             me = len(self.doc)
-            if me and self.doc[-1] == d and last == v - 1:
+            if me and self.word[-1] == v - 1 and self.doc[-1] == d:
                 links.append((me - 1, me, 0))
-            last = v
             if key := word_key(w):
                 if (d, key) in seen and seen[d, key] != me - 1:
                     links.append((seen[d, key], me, 1))
@@ -155,6 +154,7 @@ class Graph:
             lead = len(w) - len(w.lstrip(_OUTER.replace("(", "") if ")" in w else _OUTER))
             tail = len(w) - len(w.rstrip(_OUTER))
             self.doc.append(d)
+            self.word.append(v)
             self.start.append(a + min(lead, b - a))
             self.end.append(b - min(tail, b - a))
             self.label.append(1 + hit[0] if hit else 0)
@@ -245,7 +245,7 @@ def find(texts: pa.Array, model: SkipChain) -> tuple[list, list]:
             if a >= b or any(s < b and a < e for s, _, e in base[d]):
                 continue
             prior = every[d][-1] if len(every[d]) > len(base[d]) else None
-            if prior and prior[1] == k and i and g.doc[i - 1] == d and g.end[i - 1] == prior[2]:
+            if prior and prior[1] == k and g.word[i - 1] == g.word[i] - 1 and g.end[i - 1] == prior[2]:
                 every[d][-1] = (prior[0], k, b)  # the next word of the same entity
             else:
                 every[d].append((a, k, b))
