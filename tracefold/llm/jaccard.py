@@ -12,18 +12,22 @@ scheme.
 
 Cost-based allocation.  Of its indexed segments a set probes with all but
 the g that the most other sets share (error budget -1), so frequent passages
-and lines make no candidates.  The other D + 1 probe with budget 0.  A set
-with D segments or fewer that aren't empty raises all its segments to
+and lines make no candidates.  The other D + 1 probe with budget 0.  If one
+of these still is in a group of more than DEAR rows, the set doesn't probe
+there (others find it), and all such sets meet by segments of one shingle:
+each probes with the least shared shingles, one more than a partner may
+lack, of two components the smaller one's sets only.  The group sizes are true
+counts over all sets.  A set with D segments or fewer that aren't empty raises all its segments to
 budget 1: it also indexes one-deletion neighbourhoods, in which only such
 sets meet (a pair can be missed otherwise only if both are such sets).  If
 even that is too little, it also indexes one signature for the whole scheme.
 
 Candidates are verified exactly on the whole texts.  Sets that are equal are
-one node from the start.  Nodes that share a signature are first compared
-with one hub of the group; groups that fall into one component are settled,
-and only pairs of different components are listed from the rest.  Three
-exact filters go before the texts: sizes, the number of common signatures,
-and the distance of bucket counts, which never exceeds the sets' difference.
+one node from the start.  In HUB_TURNS turns nodes are compared with a hub
+of the largest component of their groups; groups that fall into one
+component are settled, and only pairs of different components are listed
+from the rest.  Two exact filters go before the texts: sizes, and the
+distance of bucket counts, which never exceeds the sets' difference.
 
 Defined results: a null or empty text, or one without words, has no shingle
 and is a component of its own; fewer than five words are one shingle; a
@@ -44,6 +48,8 @@ from tracefold.llm.common import bounded, stored
 
 #: Similarity >= 75/100 and five-word shingles; the formulas below follow from 3/4.
 SHINGLE, BUCKETS, PAIRS_OF_HUB = 5, 96, 400
+#: A set that would probe a group of more rows than this meets others by single shingles.
+DEAR, HUB_TURNS = 24, 5
 _U = np.uint64
 
 
@@ -116,15 +122,20 @@ def _digest(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the shingle set) and the set's digest."""
+    """doc_id, n (size of the shingle set), the set's digest, and how many
+    shingles fall into each of BUCKETS hash buckets."""
     def run(batches):
         for b in fl.slices(batches):
             h, off = fl.shingle_sets(*fl.flat(b.column("text")), SHINGLE)
             d1, d2 = _digest(h, off)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2)], ["doc_id", "n", "d1", "d2"])
+            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            c = np.bincount(doc * BUCKETS + (h % _U(BUCKETS)).astype(np.int64), minlength=(len(off) - 1) * BUCKETS).reshape(-1, BUCKETS)
+            c = np.minimum(c, 65535).astype("<u2")  # a cut count can only bring two sets nearer
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(d1), pa.array(d2), pa.array([x.tobytes() for x in c], pa.binary())],
+                                             ["doc_id", "n", "d1", "d2", "counts"])
 
     src = docs.select("doc_id", "text")
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, d1 long, d2 long")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n long, d1 long, d2 long, counts binary")
 
 
 def _with_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -157,38 +168,21 @@ def index(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return _with_texts(docs, nodes).mapInArrow(run, "sig long, node long, n int, kind byte, tag int")
 
 
-def _sketches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, counts binary): shingles in each of BUCKETS hash buckets."""
-    def run(batches):
-        for b in fl.slices(batches):
-            h, off = fl.shingle_sets(*fl.flat(b.column("text")), SHINGLE)
-            own = _own(b, off, *_digest(h, off))
-            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            c = np.bincount(doc * BUCKETS + (h % _U(BUCKETS)).astype(np.int64), minlength=(len(off) - 1) * BUCKETS).reshape(-1, BUCKETS)
-            c = np.minimum(c, 65535).astype("<u2")  # a cut count can only bring two sets nearer
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(own)), pa.array([c[i].tobytes() for i in own.tolist()], pa.binary())], ["node", "counts"])
-
-    return _with_texts(docs, nodes).mapInArrow(run, "node long, counts binary").dropDuplicates(["node"])
-
-
 def _sizes_fit(a, b):
     return 4 * F.least(a, b) >= 3 * F.greatest(a, b)
 
 
-def _near(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Drop pairs whose bucket counts differ by more than their sets may."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    s = stored(_sketches(docs, nodes.join(bounded(stored(used, "jaccard-used")), "node", "left_semi")), "jaccard-sketches")
-
     def run(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS).astype(np.int32) for c in ("ca", "cb"))
             near = np.abs(x - y).sum(1) <= (b.column("na").to_numpy() + b.column("nb").to_numpy()) // 7
-            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(near))
+            yield b.select(["a", "b"]).filter(pa.array(near))
 
-    both = (pairs.join(s.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
-            .join(s.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb"))
-    return both.mapInArrow(run, "a long, b long, na int, nb int")
+    both = (pairs.join(sketches.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
+            .join(sketches.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -245,6 +239,55 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the signatures that nodes of several components share, and how
+    many rows share them."""
+    w = Window.partitionBy("sig")
+    rows = rows.withColumn("_c", F.count("*").over(w)).withColumn("_lo", F.min("comp").over(w)).withColumn("_hi", F.max("comp").over(w))
+    return rows.where("_lo <> _hi").drop("_lo", "_hi")
+
+
+def _met(probes: DataFrame, rows: DataFrame, also: str) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components on one signature."""
+    p, q = probes.alias("p"), rows.alias("q")
+    first = F.col("p.node") < F.col("q.node")
+    pick = lambda c, name: F.when(first, F.col(f"p.{c}")).otherwise(F.col(f"q.{c}")).alias(name)
+    back = lambda c, name: F.when(first, F.col(f"q.{c}")).otherwise(F.col(f"p.{c}")).alias(name)
+    return (p.join(q, F.col("p.sig") == F.col("q.sig")).where(f"p.comp <> q.comp and {also}").where(_sizes_fit(F.col("p.n"), F.col("q.n")))
+            .select(pick("node", "a"), back("node", "b"), pick("n", "na"), back("n", "nb")).distinct())
+
+
+def _elements(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sig, node, n, comp, big): a row for each shingle of the nodes."""
+    def run(batches):
+        for b in fl.slices(batches, max_bytes=1 << 20):
+            h, off = fl.shingle_sets(*fl.flat(b.column("text")), SHINGLE)
+            for i in _own(b, off, *_digest(h, off)).tolist():
+                x = h[off[i]: off[i + 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), *[pa.repeat(b.column(c)[i], len(x)) for c in ("node", "n", "comp", "big")]], ["sig", "node", "n", "comp", "big"])
+
+    return _with_texts(docs, nodes).mapInArrow(run, "sig long, node long, n long, comp long, big long").withColumn("n", F.col("n").cast("int"))
+
+
+def _named(df: DataFrame, comp: DataFrame, node: str = "node") -> DataFrame:
+    """df with the component of its node (itself without a link)."""
+    c = comp.select(F.col("node").alias(node), F.col("comp").alias("_f"))
+    return df.join(bounded(c), node, "left").withColumn("comp", F.coalesce("_f", F.col(node))).drop("_f")
+
+
+def _hubs(rows: DataFrame, turn: int, most: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of a node and a hub of the largest component of
+    a group; for each node the hubs of most of its groups."""
+    w = Window.partitionBy("sig")
+    size = F.count("*").over(Window.partitionBy("sig", "comp"))
+    chance = F.xxhash64("node", "sig", F.lit(turn)) if turn else F.xxhash64("node")  # later turns: another hub in each group
+    rows = rows.withColumn("_s", size).withColumn("_h", F.max(F.struct("_s", "comp", chance.alias("x"), "node", "n")).over(w))
+    met = rows.where("comp <> _h.comp").where(_sizes_fit(F.col("n"), F.col("_h.n"))).groupBy("node", "n", F.col("_h.node").alias("hub"), F.col("_h.n").alias("hub_n")).count()
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
+    met = met.withColumn("_r", best).where(F.col("_r") <= most)
+    return met.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stored rows (doc_id, n, d1, d2) and, for each class of equal sets, its
     component's name and whether it is the component's first class."""
@@ -252,43 +295,51 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(digests(docs).withColumn("_row", F.monotonically_increasing_id()), "jaccard-digests")
     nodes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("_row").alias("node"), F.min("doc_id").alias("doc_id")), "jaccard-nodes")
     w = Window.partitionBy("sig")
-    shared = (index(docs, nodes).withColumn("_c", F.count("*").over(w)).withColumn("hub", F.min(F.struct("node", "n")).over(w)).where("_c > 1")
-              .select("sig", "node", "n", "kind", "tag", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    shared = stored(shared, "jaccard-shared")
-    star = shared.where("node <> hub").where(_sizes_fit(F.col("n"), F.col("hub_n")))
-    star = stored(star.groupBy("hub", "node", "n", "hub_n").agg(F.count("*").alias("_c")), "jaccard-stars")
-    first = star.groupBy("node").agg(F.max(F.struct("_c", (-F.col("hub")).alias("h"), "n", "hub_n")).alias("s")).select(
-        (-F.col("s.h")).alias("a"), F.col("node").alias("b"), F.col("s.hub_n").alias("na"), F.col("s.n").alias("nb"))
-    edges = stored(verify(first, docs, nodes), "jaccard-edges")
-    comp = stored(components(edges), "jaccard-components")
-
-    def joined(df: DataFrame, node: str, out: str) -> DataFrame:
-        c = comp.select(F.col("node").alias(node), F.col("comp").alias("_f"))
-        return df.join(bounded(c), node, "left").withColumn(out, F.coalesce("_f", F.col(node))).drop("_f")
-
-    # stars whose ends are still apart (the first hub of a node was not always a link)
-    apart = joined(joined(star, "node", "ca"), "hub", "cb").where("ca <> cb").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
-    asked = first.select("a", "b")
-    apart = stored(_near(apart.join(asked, ["a", "b"], "left_anti"), docs, nodes), "jaccard-apart")
-    edges = stored(edges.union(verify(apart, docs, nodes)), "jaccard-edges")
-    comp = stored(components(edges), "jaccard-components")
-
-    # every pair of different components in a group, but for the g most shared segments of each side
-    open_ = joined(shared, "node", "comp").withColumn("_c", F.count("*").over(w))
-    open_ = open_.withColumn("_lo", F.min("comp").over(w)).withColumn("_hi", F.max("comp").over(w)).where("_lo <> _hi")
-    spare = F.floor(F.col("tag") / 2000)
-    order = Window.partitionBy("node", "tag").orderBy(F.desc("_c"), "sig")
-    open_ = stored(open_.withColumn("probe", F.row_number().over(order) > spare).select("sig", "node", "n", "kind", "tag", "comp", "probe"), "jaccard-open")
-    p, q = open_.where("probe").alias("p"), open_.alias("q")
-    met = (p.join(q, F.col("p.sig") == F.col("q.sig")).where("p.comp <> q.comp and not (p.kind = 2 and q.kind = 2)").where(_sizes_fit(F.col("p.n"), F.col("q.n")))
-           .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"),
-                   F.when(F.col("p.node") < F.col("q.node"), F.col("p.n")).otherwise(F.col("q.n")).alias("na"),
-                   F.when(F.col("p.node") < F.col("q.node"), F.col("q.n")).otherwise(F.col("p.n")).alias("nb")).distinct())
-    met = met.join(apart.select("a", "b"), ["a", "b"], "left_anti").join(asked, ["a", "b"], "left_anti")
-    met = stored(_near(stored(met, "jaccard-met"), docs, nodes), "jaccard-near")
-    comp = stored(components(edges.union(verify(met, docs, nodes))), "jaccard-components")
-
-    named = joined(nodes, "node", "comp")
+    shared = stored(index(docs, nodes).withColumn("_c", F.count("*").over(w)).where("_c > 1").drop("_c"), "jaccard-shared")
+    used = shared.select("node").distinct()
+    sketches = stored(rows.select(F.col("_row").alias("node"), "counts").join(bounded(stored(used, "jaccard-used")), "node", "left_semi"), "jaccard-sketches")
+    open_ = shared.withColumn("comp", F.col("node"))
+    edges, asked, comp = None, None, None
+    for turn in range(HUB_TURNS):
+        met = _hubs(open_, turn, 1 if turn == 0 else 4)
+        new = met.select("a", "b", "na", "nb") if asked is None else met.join(asked, [F.least(met["a"], met["b"]) == asked["x"], F.greatest(met["a"], met["b"]) == asked["y"]], "left_anti")
+        near = stored(_near(stored(new, "jaccard-hubs"), sketches), "jaccard-near")
+        linked = stored(verify(near, docs, nodes), "jaccard-edges")
+        pairs = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        asked = pairs if asked is None else asked.union(pairs)
+        edges = linked if edges is None else edges.union(linked)
+        comp = stored(components(edges), "jaccard-components")
+        open_ = stored(_open(_named(open_.drop("comp", "_c"), comp)), "jaccard-open")
+        if linked.isEmpty():
+            break
+
+    # groups that still hold several components: each node probes with all but its most shared segments
+    own = Window.partitionBy("node", "tag")
+    rank = F.row_number().over(own.orderBy(F.desc("_c"), "sig"))
+    open_ = open_.withColumn("probe", rank > F.floor(F.col("tag") / 2000))
+    open_ = stored(open_.withColumn("dear", F.max(F.when(F.col("probe"), F.col("_c"))).over(own) > DEAR), "jaccard-open")
+    met = _met(open_.where("probe and not dear"), open_, "not (p.kind = 2 and q.kind = 2)")
+
+    # nodes that would probe groups over DEAR (mostly frequent passages) meet by single shingles, least shared
+    # first; of two components the smaller one's nodes look for the larger one's
+    dear = stored(open_.where("dear").select("node", "comp").distinct(), "jaccard-dear")
+    size = comp.groupBy("comp").agg(F.count("*").alias("_b"))
+    dear = dear.join(bounded(stored(size, "jaccard-sizes")), "comp", "left").withColumn("big", F.coalesce("_b", F.lit(1))).drop("_b")
+    single = _open(_elements(docs, nodes.join(bounded(dear), "node")))
+    place = F.struct("big", "comp")
+    single = single.withColumn("up", place < F.max(place).over(Window.partitionBy("sig")))
+    own = Window.partitionBy("node", "up")
+    settled = F.col("n") - F.count("*").over(own)  # shingles that no larger component's node has come first
+    single = single.withColumn("pos", F.when(F.col("up"), F.row_number().over(own.orderBy("_c", "sig")) + settled))
+    single = stored(single, "jaccard-single")
+    # a set lacks at most n - overlap of its shingles in a partner; overlap >= 3/7 of both sizes
+    near_enough = "struct(p.big, p.comp) < struct(q.big, q.comp) and p.pos <= p.n + 1 - floor((3 * (p.n + q.n) + 6) / 7)"
+    met = met.union(_met(single.where("pos <= n / 4 + 1"), single, near_enough)).distinct()
+    met = met.join(asked, [met["a"] == asked["x"], met["b"] == asked["y"]], "left_anti")
+    near = stored(_near(stored(met, "jaccard-met"), sketches), "jaccard-near")
+    comp = stored(components(edges.union(verify(near, docs, nodes))), "jaccard-components")
+
+    named = _named(nodes, comp)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     names = named.groupBy("comp").agg(F.min(first).alias("_f")).select("comp", F.col("_f.doc_id").alias("component_id"), F.col("_f.node").alias("_w"))
     named = named.join(names, "comp").select("n", "d1", "d2", "component_id", (F.col("node") == F.col("_w")).alias("first"), F.col("doc_id").alias("class_id"))
