@@ -1,17 +1,13 @@
-"""Indel similarity and unified diff: the two places a Python helper is
-needed per row.  Both are Arrow-batched pandas UDFs; inputs are cut to
-the cap with ``substring`` before they cross into Python."""
+"""Indel similarity.  The longest common subsequence is the one place that
+needs Python: an Arrow-batched pandas UDF that gets only the rows whose
+value is not already decided by a Column expression."""
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_LEN = 8192
-
 
 def lcs_length(a: str, b: str) -> int:
     """Longest common subsequence by the bit-parallel row recurrence
@@ -31,23 +27,8 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def indel_ratio(a, b, max_len: int = MAX_LEN) -> float:
-    """2*LCS/(|a|+|b|) on the first max_len chars; 1.0 if both empty,
-    0.0 if exactly one is."""
-    a = a or ""
-    b = b or ""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    a, b = a[:max_len], b[:max_len]
-    if a == b:
-        return 1.0
-    return 2.0 * lcs_length(a, b) / (len(a) + len(b))
-
-
-def _indel_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0 if x is None or y is None else lcs_length(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
 _UDFS: dict = {}
@@ -61,27 +42,14 @@ def _udf(name: str, fn, rtype: str):
     return _UDFS[name]
 
 
-def indel_similarity(a, b, max_len: int = MAX_LEN) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    ca = F.substring(F.coalesce(a, F.lit("")), 1, max_len)
-    cb = F.substring(F.coalesce(b, F.lit("")), 1, max_len)
-    # equal texts (including both empty) never reach Python
-    return F.when(ca == cb, F.lit(1.0)).otherwise(_udf("indel", _indel_batch, "double")(ca, cb))
-
-
-def unified_diff_text(a: str, b: str) -> str:
-    if a == b:
-        return ""
-    return "".join(difflib.unified_diff((a or "").splitlines(keepends=True),
-                                        (b or "").splitlines(keepends=True), n=0))
-
-
-def _diff_batch(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([unified_diff_text(x, y) for x, y in zip(a, b)], dtype="object")
-
-
-def unified_diff(a, b) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.when(F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit("")), F.lit("")).otherwise(_udf("diff", _diff_batch, "string")(a, b))
+def indel_similarity(a, b, max_len: int | None = None) -> Column:
+    """2 * LCS / (|a| + |b|) of the whole texts, a null as an empty text; two
+    empty texts are alike, an empty and another are not.  ``max_len`` cuts
+    both texts first (off by default)."""
+    a, b = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (a, b))
+    if max_len is not None:
+        a, b = F.substring(a, 1, max_len), F.substring(b, 1, max_len)
+    total = F.length(a) + F.length(b)
+    open_ = (a != b) & (F.length(a) > 0) & (F.length(b) > 0)  # only these rows' texts reach Python
+    lcs = _udf("lcs", _lcs_batch, "long")(F.when(open_, a), F.when(open_, b))
+    return F.when(open_, 2.0 * lcs / total).otherwise((a == b).cast("double"))

@@ -43,8 +43,9 @@ def normalise_output(col) -> Column:
     """4+ digit numbers -> <NUM>, drop blank lines, strip, collapse
     whitespace, lower-case; lines joined by \\n.  Null/empty -> ""."""
     s = F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"(?U)\b\d{4,}\b", NUM_MARKER)
-    lines = F.filter(split_lines(s), lambda ln: py_strip(ln) != "")
-    return F.array_join(F.transform(lines, lambda ln: F.lower(collapse_ws(py_strip(ln)))), "\n")
+    # white space is collapsed first, so the ends are plain blanks: one regex a line
+    lines = F.transform(split_lines(s), lambda ln: F.lower(F.trim(collapse_ws(ln))))
+    return F.array_join(F.filter(lines, lambda ln: ln != ""), "\n")
 
 
 def strip_dynamic_env(col) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.functions.text import WS_CLASS, py_strip
+from tracefold.functions.text import WS_CLASS
 
 
 def clean_exec_result(df: DataFrame, output: str = "output", code: str = "exit_code",
-                      max_output: int = 8192) -> DataFrame:
-    """Output cut at max_output chars; 137 (killed) and 124 (timed out)
-    count as 0; -1 is a container error."""
+                      max_output: int | None = None) -> DataFrame:
+    """Output whole, or cut at max_output chars; 137 (killed) and 124 (timed
+    out) count as 0; -1 is a container error."""
     c = F.col(code)
-    return (df.withColumn(output, F.substring(F.col(output), 1, max_output))
+    out = F.col(output) if max_output is None else F.substring(F.col(output), 1, max_output)
+    return (df.withColumn(output, out)
               .withColumn("status", F.when(c == -1, F.lit("container_error")).otherwise(F.lit("ok")))
               .withColumn(code, F.when(c.isin(137, 124), F.lit(0)).otherwise(c)))
 
@@ -47,10 +48,10 @@ def select_nonredundant(df: DataFrame, col: str = "redundancy_score", thr: float
 def pad_encode(df: DataFrame, ids: str, size: int, out: str = "enc",
                truncate: int | None = None) -> DataFrame:
     """Adds struct ``out`` = (ids right-padded with 0 to size, length,
-    attention mask, labels with pad -> -100).  Ids are first cut to
-    ``truncate`` (default size - 1, as the reference's tokenizer does).
-    Intermediates are projected once, not re-evaluated inside lambdas."""
-    cut = F.slice(F.col(ids), 1, truncate if truncate is not None else size - 1)
+    attention mask, labels with pad -> -100).  Longer lists stay whole, or
+    are cut to ``truncate`` ids where one is given.  Intermediates are
+    projected once, not re-evaluated inside lambdas."""
+    cut = F.col(ids) if truncate is None else F.slice(F.col(ids), 1, truncate)
     d = df.withColumn("_cut", cut).withColumn("_n", F.size("_cut"))
     d = d.withColumn("_pad", F.concat("_cut", F.array_repeat(F.lit(0), F.greatest(F.lit(size) - F.col("_n"), F.lit(0)))))
     n = F.col("_n")
@@ -63,7 +64,7 @@ def pad_encode(df: DataFrame, ids: str, size: int, out: str = "enc",
 def words(col) -> Column:
     """Python ``str.split()``: Unicode whitespace runs, no empty pieces."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.filter(F.split(py_strip(c), f"{WS_CLASS}+"), lambda x: x != "")
+    return F.filter(F.split(c, f"{WS_CLASS}+"), lambda x: x != "")
 
 
 def masked_policy(df: DataFrame, logits: str, mask, action, out: str = "policy",

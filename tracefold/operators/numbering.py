@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefold.operators.nullsafe import join_same
+
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -42,7 +44,7 @@ def _rank_rows(df: DataFrame, keys: list, out: str, group: list) -> DataFrame:
     r = s.join(F.broadcast(offs), "_pid").withColumn(out, F.col("_off") + local + 1)
     if group:
         starts = r.groupBy(*group).agg(F.min(out).alias("_start"))
-        r = r.join(starts, group).withColumn(out, F.col(out) - F.col("_start") + 1).drop("_start")
+        r = join_same(r, starts, group).withColumn(out, F.col(out) - F.col("_start") + 1).drop("_start")
     return r.drop("_pid", "_mid", "_off")
 
 
@@ -62,7 +64,7 @@ def global_rank(df: DataFrame, order: list, out: str = "rn", group: list | None
     if not narrow:
         return _rank_rows(df, [F.col(k) for k in keys], out, group)
     ranked = _rank_rows(df.select(*keys).distinct(), [F.col(k) for k in keys], out, group)
-    return df.join(ranked, keys)
+    return join_same(df, ranked, keys)
 
 
 def prefix_sum(df: DataFrame, order: list, value: str, out: str = "prefix",
@@ -130,7 +132,7 @@ def reverse_discounted_sum(df: DataFrame, group: list, t: str, value: str, gamma
         tot = d.groupBy(*group, F.col("_blk").alias("_tb")).agg(F.sum("_w").alias("_S"))
         lvl = reverse_discounted_sum(tot, group, "_tb", "_S", gB, out="_G2", block=block)
         carry = lvl.select(*group, (F.col("_tb") - 1).alias("_blk"), (F.lit(gB) * F.col("_G2")).alias("_carry"))
-        d = d.join(carry, group + ["_blk"], "left")
+        d = join_same(d, carry, group + ["_blk"], "left")
     else:
         d = d.withColumn("_carry", F.lit(0.0))
     return (d.withColumn(out, F.pow(g, -F.col("_e")) * (F.col("_suffix") + F.coalesce("_carry", F.lit(0.0))))
@@ -155,33 +157,35 @@ def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str =
     df = df.select(*group, *order, value)  # scan only the keys and the value; join back at the end
     keys = [F.col(c) for c in group] + [F.col(o) for o in order]
     s = _sorted(df, keys)
-    vtype = T.DoubleType() if op == "max" else s.schema[value].dataType
+    vtype = s.schema[value].dataType
+    whole = isinstance(vtype, T.IntegralType)  # long sums and maxima stay exact
+    run_type = T.LongType() if whole else T.DoubleType()
+    lowest = np.iinfo("int64").min if whole else -np.inf  # stands for "no value yet" in a maximum
 
     def combine(a, b):
-        return np.fmax(a, b) if op == "max" else a + b
+        return np.maximum(a, b) if op == "max" else a + b
 
     def scan(batches):
         cur, carry = None, None
         for pdf in batches:
+            v = pdf[value]
+            if whole:
+                v = v.astype("Int64").fillna(lowest if op == "max" else 0).astype("int64")
+            else:
+                v = v.astype("float64").fillna(lowest if op == "max" else 0.0)
             if pdf.empty:
-                yield pdf.assign(_run=pd.Series([], dtype="float64"))
+                yield pdf.assign(_run=v)
                 continue
-            gk = pdf[group].astype(str).agg("\x1f".join, axis=1) if len(group) > 1 else pdf[group[0]].astype(str)
-            v = pdf[value].astype("float64")
-            if op == "max":
-                run = v.groupby(gk.values, sort=False).cummax()
-                run = run.groupby(gk.values, sort=False).ffill()
-            else:
-                run = v.fillna(0).groupby(gk.values, sort=False).cumsum()
+            # a key's text, with nulls apart from every text
+            gk = pdf[group].map(lambda x: "n" if pd.isna(x) else f"v{x}").agg("\x1f".join, axis=1)
+            by = v.groupby(gk.values, sort=False)
+            run = by.cummax() if op == "max" else by.cumsum()
             if cur is not None:
-                same = (gk == cur).values
-                run = run.where(~same, combine(run, carry)) if op == "sum" else \
-                    pd.Series(np.where(same, np.fmax(run.values, carry if carry is not None else np.nan),
-                                       run.values), index=run.index)
+                run = run.where((gk != cur).values, combine(run, carry))
             cur, carry = gk.iloc[-1], run.iloc[-1]
             yield pdf.assign(_run=run.values)
 
-    schema = T.StructType(list(s.schema.fields) + [T.StructField("_run", T.DoubleType())])
+    schema = T.StructType(list(s.schema.fields) + [T.StructField("_run", run_type)])
     from tracefold.session import cut_lineage
     scanned = cut_lineage(s.mapInPandas(scan, schema))  # summary and fix-up read the same scan
     gstruct = F.struct(*[F.col(c) for c in group])
@@ -190,25 +194,22 @@ def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str =
     rows = sorted(summ.collect(), key=lambda r: r["_pid"])  # one row per partition
     carries, acc_g, acc_v = [], None, None
     for r in rows:
-        carries.append((r["_pid"], acc_v if acc_g == r["gf"] else None))
-        if acc_g == r["gl"] and r["gf"] == r["gl"]:  # the whole partition continues the chain
-            if acc_v is None:
-                acc_v = r["vl"]
-            elif r["vl"] is not None:
-                acc_v = float(combine(acc_v, r["vl"]))
-        else:
-            acc_g, acc_v = r["gl"], r["vl"]
+        go_on = acc_v is not None and acc_g == r["gf"]
+        carries.append((r["_pid"], acc_v if go_on else None))
+        last = r["vl"]
+        if go_on and r["gf"] == r["gl"]:  # the whole partition continues the chain
+            last = max(acc_v, last) if op == "max" else acc_v + last
+        acc_g, acc_v = r["gl"], last
     spark = df.sparkSession
-    cdf = spark.createDataFrame([(p, c) for p, c in carries], "_pid int, _carry double")
+    cdf = spark.createDataFrame(carries, T.StructType([T.StructField("_pid", T.IntegerType()), T.StructField("_carry", run_type)]))
     firsts = spark.createDataFrame([(r["_pid"], r["gf"]) for r in rows],
                                    T.StructType([T.StructField("_pid", T.IntegerType()),
                                                  T.StructField("_gf", summ.schema["gf"].dataType)]))
     j = scanned.join(F.broadcast(cdf), "_pid", "left").join(F.broadcast(firsts), "_pid", "left")
-    first_grp = gstruct == F.col("_gf")
+    goes_on = gstruct.eqNullSafe(F.col("_gf")) & F.col("_carry").isNotNull()
+    joined = F.greatest("_run", "_carry") if op == "max" else F.col("_run") + F.col("_carry")
+    fixed = F.when(goes_on, joined).otherwise(F.col("_run"))
     if op == "max":
-        fixed = F.when(first_grp & F.col("_carry").isNotNull(),
-                       F.greatest(F.coalesce("_run", "_carry"), F.col("_carry"))).otherwise(F.col("_run"))
-    else:
-        fixed = F.when(first_grp & F.col("_carry").isNotNull(), F.col("_run") + F.col("_carry")).otherwise(F.col("_run"))
+        fixed = F.when(fixed != F.lit(lowest), fixed)
     res = j.withColumn(out, fixed.cast(vtype)).select(*group, *order, out)
-    return wide.join(res, [*group, *order])
+    return join_same(wide, res, [*group, *order])

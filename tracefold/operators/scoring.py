@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.operators.nullsafe import join_same
+
 
 def score_traces(df: DataFrame, out_col: str = "output_redundancy_score",
                  ctx_col: str = "context_redundancy_score", code_col: str = "exit_code",
@@ -43,7 +45,7 @@ def intermediate_reward(steps: DataFrame, key: str, pos: str, out_col: str, ctx_
     # previous position's score by an equi-join on (key, pos + 1): positions
     # are dense, and no per-key window holds a whole trace in one task
     prv = s.select(key, (F.col(pos) + 1).alias(pos), F.col("step_score").alias("_prev"))
-    s = s.join(prv, [key, pos], "left")
+    s = join_same(s, prv, [key, pos], "left")
     prev = F.coalesce(F.col("_prev"), F.lit(0.0))
     delta = F.col("step_score") - prev
     delta = F.when(~ok, F.lit(0.0)).when((delta == 0) & (F.col("step_score") == 1.0), F.lit(1.0)) \

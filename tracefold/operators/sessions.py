@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.paths import FN_TYPE, apply_fn, cd_function, compose, identity_fn
+from tracefold.operators.nullsafe import join_same
 from tracefold.operators.numbering import global_rank
 
 
@@ -38,7 +39,7 @@ def prefix_compose(df: DataFrame, group: list, rank: str, fn: str, block: int =
         tots = per_blk.select(*group, (F.col("_blk") + 1).alias("_br"), F.col("_scan.cur").alias("_tf"))
         up = prefix_compose(tots, group, "_br", "_tf", block)  # composition of blocks 0.._br-1
         incoming = up.select(*group, F.col("_br").alias("_blk"), F.col("_incl").alias("_pre"))
-        rows = rows.join(incoming, group + ["_blk"], "left")
+        rows = join_same(rows, incoming, group + ["_blk"], "left")
     else:
         rows = rows.withColumn("_pre", F.lit(None).cast(FN_TYPE))
     pre = F.coalesce(F.col("_pre"), identity_fn())
@@ -46,8 +47,9 @@ def prefix_compose(df: DataFrame, group: list, rank: str, fn: str, block: int =
 
 
 def cwd_track(cmds: DataFrame, session: str, order: str, cmd: str, start_cwd: str = "/",
-              block: int = 256) -> DataFrame:
-    """cwd before and after every command of every session.
+              block: int = 256, starts: DataFrame | None = None) -> DataFrame:
+    """cwd before and after every command of every session.  ``starts``
+    (session, cwd): sessions that begin elsewhere than in ``start_cwd``.
 
     Commands become directory functions (reset-or-pop-then-append, an
     associative composition); a session is numbered by a range-partitioned
@@ -56,8 +58,11 @@ def cwd_track(cmds: DataFrame, session: str, order: str, cmd: str, start_cwd: st
     d = global_rank(d, [order], out="_rk", group=[session])
     inc = prefix_compose(d, [session], "_rk", "_f", block)
     prev = inc.select(session, (F.col("_rk") + 1).alias("_rk"), F.col("_incl").alias("_excl"))
-    r = d.select(session, order, cmd, "_rk").join(inc, [session, "_rk"]).join(prev, [session, "_rk"], "left")
+    r = join_same(join_same(d.select(session, order, cmd, "_rk"), inc, [session, "_rk"]), prev, [session, "_rk"], "left")
     start = F.lit(start_cwd)
+    if starts is not None:
+        r = join_same(r, starts.select(session, F.col("cwd").alias("_start")), [session], "left")
+        start = F.coalesce(F.col("_start"), start)
     return r.select(session, order, cmd,
                     apply_fn(F.coalesce(F.col("_excl"), identity_fn()), start).alias("cwd_before"),
                     apply_fn(F.col("_incl"), start).alias("cwd_after"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.text import human_format
+from tracefold.operators.nullsafe import join_same
 from tracefold.operators.numbering import global_rank, grouped_scan, prefix_sum, reverse_discounted_sum
 
 
@@ -20,7 +21,7 @@ def next_value(steps: DataFrame, episode: str, t: str, value: str, out: str = "v
     """V_{t+1} by an equi-join on (episode, t + 1): no per-episode window,
     so a long episode is spread by its (episode, t) keys."""
     nxt = steps.select(F.col(episode), (F.col(t) - 1).alias(t), F.col(value).alias(out))
-    return steps.join(nxt, [episode, t], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return join_same(steps, nxt, [episode, t], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def gae(steps: DataFrame, gamma: float = 0.99, lam: float = 0.95, episode: str = "episode_id",
@@ -47,7 +48,7 @@ def attribute_rewards(events: DataFrame, episode: str, seq: str, is_decision: st
     decisions = e.where(F.col(is_decision)).select(episode, F.col(seq).alias("decision_seq"))
     got = (e.where(~F.col(is_decision)).groupBy(episode, F.col("_dec").alias("decision_seq"))
             .agg(F.sum(reward).alias("reward"), F.count("*").alias("n_rewards")))
-    return decisions.join(got, [episode, "decision_seq"], "full") \
+    return join_same(decisions, got, [episode, "decision_seq"], "full") \
                     .withColumn("reward", F.coalesce("reward", F.lit(0.0))) \
                     .withColumn("n_rewards", F.coalesce("n_rewards", F.lit(0)))
 
@@ -87,7 +88,7 @@ def position_limits(steps: DataFrame, episode: str, t: str, new_cmd: str,
                      op="sum", out="cmd_no").withColumn("cmd_no", F.col("cmd_no") + 1).drop("_nc")
     # position inside the command: t is dense, so t - first t of the command
     first = s.groupBy(episode, "cmd_no").agg(F.min(t).alias("_t0"))
-    s = s.join(first, [episode, "cmd_no"]).withColumn("arg_pos", F.col(t) - F.col("_t0")).drop("_t0")
+    s = join_same(s, first, [episode, "cmd_no"]).withColumn("arg_pos", F.col(t) - F.col("_t0")).drop("_t0")
     return (s.withColumn("truncated", F.col("arg_pos") >= local_horizon + 1 - 4)
              .withColumn("over_cmd_limit", F.col("cmd_no") > max(1, global_horizon) + 1))
 
@@ -133,7 +134,7 @@ def standardize_group(df: DataFrame, col: str, by: list, out: str | None = None)
     """Per group (x - mean) / population std; all 0.0 when std is 0.
     Group statistics by a partial aggregate joined back on the key."""
     st = df.groupBy(*by).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    j = df.join(st, by)
+    j = join_same(df, st, by)
     v = F.when(F.col("_s") == 0, F.lit(0.0)).otherwise((F.col(col) - F.col("_m")) / F.col("_s"))
     return j.withColumn(out or f"{col}_std", v).drop("_m", "_s")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import paths as P
 from tracefold.functions import text as T
-from tracefold.functions.similarity import unified_diff
 from tracefold.operators import actions as A
 from tracefold.operators import redundancy as R
 from tracefold.operators.sessions import cwd_track
@@ -19,7 +18,7 @@ from tracefold.sources.tables import table
 
 # ------------------------------------------------------------------ SQL helpers
 
-S_WORDS = lambda e: f"list_filter(regexp_split_to_array({Q.strip(e)}, '{Q.WS}+'), lambda x: x <> '')"
+S_WORDS = lambda e: f"list_filter(regexp_split_to_array({e}, '{Q.WS}+'), lambda x: x <> '')"
 S_COLLAPSE = lambda e: f"regexp_replace({e}, '{Q.WS}+', ' ', 'g')"
 S_LINES = (lambda e: f"(CASE WHEN regexp_split_to_array({e}, '{Q.LB}')[-1] = '' THEN "
            f"regexp_split_to_array({e}, '{Q.LB}')[1:len(regexp_split_to_array({e}, '{Q.LB}')) - 1] "
@@ -110,8 +109,8 @@ def q_cwd_track(spark, sf):
     return cwd_track(V.cmds(spark, sf), "session", "ord", "cmd", start_cwd="/", block=8)
 
 
-@register("split_context", V.with_views("""
-SELECT conv_id, turn, ['pwd','ls','groups','env','set','shopt','ulimit','iptables'][i] AS key, parts[i + 1] AS value
+@register("split_context", V.with_views(f"""
+SELECT conv_id, turn, {T.CONTEXT_KEYS}[i] AS key, parts[i + 1] AS value
 FROM (SELECT conv_id, turn, parts, unnest(range(1, least(len(parts) - 1, 8) + 1)) AS i
       FROM (SELECT conv_id, turn, string_split(CASE WHEN turn % 3 = 2
               THEN '<del>' || pwd_before || '<del>' || ls_before
@@ -127,7 +126,7 @@ def q_split_context(spark, sf):
 
 
 @register("clean_exec_result", """
-SELECT doc_id, CAST(length(substr(text, 1, 8192)) AS INTEGER) AS output_len, md5(substr(text, 1, 8192)) AS output_md5,
+SELECT doc_id, CAST(length(text) AS INTEGER) AS output_len, md5(text) AS output_md5,
        CASE WHEN raw IN (137, 124) THEN 0 ELSE raw END AS exit_code,
        CASE WHEN raw = -1 THEN 'container_error' ELSE 'ok' END AS status
 FROM (SELECT doc_id, text, CAST(n_chars % 300 AS INTEGER) - 1 AS raw FROM documents)""")
@@ -179,8 +178,8 @@ def q_snapshot_name(spark, sf):
 SELECT conv_id, turn, CAST(n AS INTEGER) AS length, array_to_string(list_transform(padded, lambda x: CAST(x AS VARCHAR)), ',') AS ids,
   CAST(list_sum(list_transform(padded, lambda x, i: CASE WHEN i <= n THEN 1 ELSE 0 END)) AS BIGINT) AS mask_sum,
   array_to_string(list_transform(padded, lambda x, i: CAST(CASE WHEN i <= n THEN x ELSE -100 END AS VARCHAR)), ',') AS labels
-FROM (SELECT conv_id, turn, len(cut) AS n, list_concat(cut, list_transform(range(0, 128 - len(cut)), lambda x: 0)) AS padded
-      FROM (SELECT conv_id, turn, list_transform({S_WORDS('text')}, lambda w: CAST(length(w) AS INTEGER))[1:127] AS cut
+FROM (SELECT conv_id, turn, len(cut) AS n, list_concat(cut, list_transform(range(0, greatest(128 - len(cut), 0)), lambda x: 0)) AS padded
+      FROM (SELECT conv_id, turn, list_transform({S_WORDS('text')}, lambda w: CAST(length(w) AS INTEGER)) AS cut
             FROM conversations))""")
 def q_pad_encode(spark, sf):
     c = table(spark, sf, "conversations")
@@ -240,13 +239,6 @@ def q_context_compare(spark, sf):
     return r.select("conv_id", "turn", F.col("cmp.same").alias("same"), F.col("cmp.key").alias("key"))
 
 
-@register("context_diff_text")  # unified diff text: Python difflib, no SQL equivalent
-def q_context_diff(spark, sf):
-    c = V.ctx(spark, sf).where(F.col("ls_before") != F.col("ls_after"))
-    d = c.select("conv_id", "turn", unified_diff("ls_before", "ls_after").alias("diff"))
-    return d.select("conv_id", "turn", F.length("diff").alias("diff_len"), F.md5("diff").alias("diff_md5"))
-
-
 @register("context_line_delta", V.with_views(f"""
 SELECT conv_id, turn, line, CASE WHEN nb > na THEN '-' ELSE '+' END AS change, CAST(abs(nb - na) AS BIGINT) AS n
 FROM (SELECT conv_id, turn, line, sum(CASE WHEN side < 0 THEN 1 ELSE 0 END) AS nb,
@@ -348,10 +340,9 @@ def q_memo_lookup(spark, sf):
 
 @register("exclude_known_inputs", V.with_views(f"""
 SELECT seq FROM traces WHERE array_to_string({S_LAST}, ' ') NOT IN
-  (SELECT array_to_string({S_WORDS("split_part(text, chr(10), 1)")}, ' ') FROM benchmark)""", "traces"))
+  (SELECT array_to_string({S_WORDS("text")}, ' ') FROM benchmark)""", "traces"))
 def q_exclude_known(spark, sf):
     from tracefold.operators.curation import exclude_known_inputs
     t = V.traces(spark, sf).select("seq", F.array_join(_last_tokens(), " ").alias("key"))
-    b = table(spark, sf, "benchmark").select(
-        F.array_join(A.words(F.split_part("text", F.lit("\n"), F.lit(1))), " ").alias("key"))
+    b = table(spark, sf, "benchmark").select(F.array_join(A.words("text"), " ").alias("key"))
     return exclude_known_inputs(t, b, "key").select("seq")

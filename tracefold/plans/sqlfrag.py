@@ -21,32 +21,3 @@ def normalise(e: str) -> str:
     kept = f"list_filter({lines}, lambda ln: {strip('ln')} <> '')"
     return (f"array_to_string(list_transform({kept}, lambda ln: "
             f"lower(regexp_replace({strip('ln')}, '{WS}+', ' ', 'g'))), chr(10))")
-
-
-def lcs_ctes(src: str) -> dict[str, str]:
-    """CTEs computing ``lcs(pid, lcs)`` for a relation ``src(pid, a, b)``
-    by a recursive DP over rows of a (row max over prefixes: no
-    left-neighbour dependency, so one list_transform per row)."""
-    return {
-        "lcs_rec": f"""
-SELECT pid, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0) AS prev FROM {src}
-UNION ALL
-SELECT r.pid, r.i + 1,
-  list_transform(range(0, length(s.b) + 1), lambda j:
-    CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda k:
-      greatest(r.prev[k + 1], CASE WHEN substr(s.a, r.i + 1, 1) = substr(s.b, k, 1)
-                                   THEN r.prev[k] + 1 ELSE 0 END))) END)
-FROM lcs_rec r JOIN {src} s ON r.pid = s.pid
-WHERE r.i < length(s.a)""",
-        "lcs": f"""
-SELECT s.pid, list_max(r.prev) AS lcs FROM lcs_rec r JOIN {src} s ON r.pid = s.pid
-WHERE r.i = length(s.a)""",
-    }
-
-
-def indel_sim(a: str, b: str, lcs: str) -> str:
-    """Similarity from an LCS column; both/one empty handled like the UDF."""
-    return (f"CASE WHEN coalesce({a},'') = '' AND coalesce({b},'') = '' THEN 1.0 "
-            f"WHEN coalesce({a},'') = '' OR coalesce({b},'') = '' THEN 0.0 "
-            f"WHEN {a} = {b} THEN 1.0 "
-            f"ELSE 2.0 * {lcs} / (length({a}) + length({b})) END")

@@ -73,20 +73,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, max_rows: int) -> bool:
-    """Size check that gates every broadcast of a data-dependent side.
-
-    Reads at most max_rows + 1 rows, so the check itself is bounded.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast when the side is proven small, otherwise leave the
-    strategy to the planner (sort-merge / shuffled hash with AQE)."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
-
 _SHIPPED: set = set()
 
 

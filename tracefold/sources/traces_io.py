@@ -24,7 +24,7 @@ TRACE = T.StructType([
 ])
 
 
-def read_traces(spark: SparkSession, root: str, pattern: str = "*/shio_data.ndjson",
+def read_traces(spark: SparkSession, root: str, pattern: str,
                 schema: T.StructType = TRACE) -> DataFrame:
     """Every dataset directory under root; ``dataset`` = directory name
     (a ``key=`` partition prefix is dropped)."""
@@ -56,8 +56,8 @@ def read_episode_log(spark: SparkSession, path: str, multi_line: bool = False,
         r = r.schema(schema)
     try:
         return r.json(path)
-    except AnalysisException:
-        if schema is None:
+    except AnalysisException as e:
+        if schema is None or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -70,12 +70,17 @@ def resume_point(log: DataFrame, episode: str = "episode", step: str = "step") -
                        F.coalesce("r.step", F.lit(0)).alias("step"))
 
 
-def load_registry(spark: SparkSession, path: str, key: str = "input") -> DataFrame:
+def load_registry(spark: SparkSession, path: str, key: str | list[str] = "input") -> DataFrame:
+    """Registered keys; a registry that was never written is empty.  Any
+    other fault (a wrong schema, an unreadable file) is raised."""
     from pyspark.errors import AnalysisException
     try:
         return spark.read.parquet(path).select(key)
-    except AnalysisException:
-        return spark.createDataFrame([], T.StructType([T.StructField(key, T.StringType())]))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        keys = [key] if isinstance(key, str) else key
+        return spark.createDataFrame([], T.StructType([T.StructField(k, T.StringType()) for k in keys]))
 
 
 def save_registry(spark: SparkSession, new: DataFrame, path: str, key: str = "input") -> int:

@@ -4,42 +4,30 @@ Each job is an incremental query on a file source with a checkpoint;
 ``trigger(availableNow=True)`` processes what has arrived and stops, so a
 scheduler can run it after every drop and state carries over.
 
-* dedupe / flush: foreachBatch; first occurrence (min order) per key in
-  the batch, anti-joined against keys already written, so replaying a
-  batch id after a failure writes nothing twice.
-* cwd / history: applyInPandasWithState keyed by session / command key;
-  the state is one directory string, or the newest N results.
+* dedupe / flush: keyed state, first occurrence (min order) per key; flush
+  writes each batch into its own partitions, so a replay rewrites them.
+* cwd: foreachBatch over the block scan of cwd_track; the state is a table
+  with each session's directory after each batch.
+* history: keyed state with the newest N results.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tracefold.operators.sessions import cwd_track
 from tracefold.sources.traces_io import load_registry
 
 
-def _read_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return load_registry(spark, path, key)
-
-
-def _first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    cols = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r")).select(key, "_r.*")
-
-
-def dedupe_batch(spark: SparkSession, df: DataFrame, out_dir: str, key: str = "input", order: str = "seq") -> None:
-    """One micro-batch: first row per key, minus keys already written.
-    Running it again on the same batch (a replay) writes nothing."""
-    fresh = _first_per_key(df, key, order).join(_read_keys(spark, out_dir, key), key, "left_anti")
-    fresh.write.mode("append").parquet(out_dir)
-
-
 def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: T.StructType,
                   key: str = "input", order: str = "seq", max_files_per_trigger: int | None = None) -> None:
     """Incremental first-wins dedupe by ``key`` as files arrive.
@@ -65,98 +53,94 @@ def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
 def _first_unseen_fn(order: str, cols: list[str]):
     def first_unseen(k, pdfs, state):
-        if state.exists:
-            for _ in pdfs:  # drain: this key was emitted in an earlier batch
-                pass
-            return
-        batch = pd.concat(list(pdfs))
-        state.update((True,))
-        yield batch.loc[[batch[order].idxmin()], cols]
+        best = None  # running minimum: one row is held, however many the batch has
+        for pdf in pdfs:
+            if state.exists or pdf.empty:  # an emitted key is only drained
+                continue
+            row = pdf.loc[[pdf[order].idxmin()], cols]
+            if best is None or row[order].iloc[0] < best[order].iloc[0]:
+                best = row
+        if best is not None:
+            state.update((True,))
+            yield best
     return first_unseen
 
 
-def flush_write(df: DataFrame, out_dir: str, registry: str, batch_id: int, key: str = "input") -> None:
-    """Write one flush: the traces and their keys, each into the batch's
-    own partition, overwritten as a whole, so replaying a batch id
-    rewrites the same files instead of appending twice."""
+def run_tag(checkpoint: str) -> str:
+    """Short name of one streaming query, the same after every restart."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:10]
+
+
+def flush_write(df: DataFrame, out_dir: str, registry: str, name: str, key: str = "input") -> None:
+    """Write one flush: the traces and their keys, each into the partition
+    of that name, overwritten as a whole, so replaying a batch rewrites the
+    same files instead of appending twice."""
     df = df.persist()
-    df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
-    df.select(key).write.mode("overwrite").parquet(f"{registry.rstrip('/')}/flush={batch_id}")
+    df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={name}")
+    df.select(key).write.mode("overwrite").parquet(f"{registry.rstrip('/')}/flush={name}")
     df.unpersist()
 
 
+def registered_before(spark: SparkSession, registry: str, tag: str, key: str = "input") -> DataFrame:
+    """Keys in the registry that the streaming query ``tag`` did not write
+    itself.  A replayed batch must not meet its own keys here: it would be
+    emptied and then overwritten with nothing."""
+    known = load_registry(spark, registry, [key, "flush"])
+    return known.where(~F.col("flush").cast("string").startswith(tag + "-")).select(key)
+
+
 def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str, checkpoint: str,
                  schema: T.StructType, key: str = "input", order: str = "seq",
                  max_files_per_trigger: int | None = None) -> None:
     """Every micro-batch (bounded by maxFilesPerTrigger, the flush size):
-    inputs registered before the query started are dropped by a
-    stream-static anti-join; inputs already seen while streaming are
-    dropped by keyed state; the first row of each new input is flushed
-    together with its registry key (``flush_write``).  Registry layout:
-    ``<registry>/flush=<id>/`` partitions (read with load_registry)."""
-    known = _read_keys(spark, registry, key)
+    inputs registered by anyone else are dropped by a stream-static
+    anti-join; inputs already seen while streaming are dropped by keyed
+    state; the first row of each new input is flushed together with its
+    registry key (``flush_write``).  Registry layout: ``<registry>/flush=<name>/``
+    partitions, named by query and batch (read with load_registry)."""
+    tag = run_tag(checkpoint)
+    known = registered_before(spark, registry, tag, key)
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     cols = [f.name for f in schema.fields]
     fresh = r.json(in_dir).join(known, key, "left_anti").groupBy(key).applyInPandasWithState(
         _first_unseen_fn(order, cols), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    q = (fresh.writeStream.foreachBatch(lambda df, bid: flush_write(df, out_dir, registry, bid, key))
+    q = (fresh.writeStream.foreachBatch(lambda df, bid: flush_write(df, out_dir, registry, f"{tag}-{bid}", key))
               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def resolve_path_py(spec: str, cwd: str) -> str:
-    """Same rules as functions.paths.resolve_path (kept in step by tests)."""
-    if not spec:
-        return cwd
-    path = "/root/" + spec[2:] if spec.startswith("~/") else spec
-    parts = [] if path[0] in "/~" else [x for x in cwd.split("/") if x]
-    for p in path.rstrip("/").split("/"):
-        if p == "..":
-            if parts:
-                parts.pop()
-        elif p in (".", ""):
-            continue
-        elif p == "~":
-            parts = ["~"]
-        else:
-            parts.append(p)
-    if not parts:
-        return "/"
-    return "/".join(parts) if parts[0] == "~" else "/" + "/".join(parts)
-
-
-def _cd(cmd: str, cwd: str) -> str:
-    toks = cmd.split(" ")
-    if toks[0] == "cd" and toks[-1]:
-        return resolve_path_py(toks[-1], cwd)
-    return cwd
-
-
-CWD_OUT = "session string, ord long, cmd string, cwd_before string, cwd_after string"
+def cwd_batch(df: DataFrame, out_dir: str, state_dir: str, batch_id: int, session: str, order: str, cmd: str,
+              start_cwd: str = "/") -> None:
+    """One micro-batch of commands: directories start where the latest
+    earlier batch left each session.  The directory functions are composed
+    by the block scan of ``cwd_track``, so no session sits in one task; the
+    state is one (session, cwd) row for each session a batch touched.  Both
+    outputs are the batch's own partitions: a replay rewrites them."""
+    spark = df.sparkSession
+    state = T.StructType([df.schema[session], T.StructField("cwd", T.StringType()), T.StructField("batch", T.LongType())])
+    try:
+        before = spark.read.schema(state).parquet(state_dir).where(F.col("batch") < batch_id)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        before = spark.createDataFrame([], state)
+    starts = before.groupBy(session).agg(F.max_by("cwd", "batch").alias("cwd"))
+    done = cwd_track(df, session, order, cmd, start_cwd, starts=starts)
+    done.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+    done = spark.read.parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
+    last = done.groupBy(session).agg(F.max_by("cwd_after", order).alias("cwd"))
+    last.write.mode("overwrite").parquet(f"{state_dir.rstrip('/')}/batch={batch_id}")
 
 
 def stream_cwd(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: T.StructType,
                session: str = "session", order: str = "ord", cmd: str = "cmd", start_cwd: str = "/") -> None:
     """Working directory per session, carried across micro-batches."""
-    def fold(key, pdfs, state):
-        cwd = state.get[0] if state.exists else start_cwd
-        batch = pd.concat(list(pdfs)).sort_values(order)
-        before, after = [], []
-        for c in batch[cmd]:
-            before.append(cwd)
-            cwd = _cd(c, cwd)
-            after.append(cwd)
-        state.update((cwd,))
-        yield pd.DataFrame({"session": batch[session].values, "ord": batch[order].values, "cmd": batch[cmd].values,
-                            "cwd_before": before, "cwd_after": after})
-
     s = spark.readStream.schema(schema).json(in_dir)
-    out = s.groupBy(session).applyInPandasWithState(fold, CWD_OUT, "cwd string", "append",
-                                                    GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    state_dir = f"{checkpoint.rstrip('/')}-cwd"
+    q = (s.writeStream.foreachBatch(lambda df, bid: cwd_batch(df, out_dir, state_dir, bid, session, order, cmd, start_cwd))
+          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -172,8 +156,10 @@ def stream_history(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
             old, version = json.loads(state.get[0]), state.get[1]
         else:
             old, version = [], 0
-        rows = old + [[int(r[0]), int(r[1])] for p in pdfs for r in p[[order, "exit_code"]].itertuples(index=False)]
-        rows = sorted(rows, key=lambda x: -x[0])[:n]
+        rows = old
+        for p in pdfs:  # never more than the newest n and one Arrow batch
+            new = p.nlargest(n, order)[[order, "exit_code"]].itertuples(index=False)
+            rows = heapq.nlargest(n, rows + [[int(r[0]), int(r[1])] for r in new], key=lambda x: x[0])
         version += 1
         state.update((json.dumps(rows), version))
         yield pd.DataFrame({"k": [k[0]] * len(rows), "run_no": [r[0] for r in rows],
