@@ -51,14 +51,10 @@ def memo_lookup(requests: DataFrame, results: DataFrame, key: str, req_id: str,
 
 
 def pairwise_run_similarity(runs: DataFrame, key: str = "k", run: str = "run_no",
-                            text: str = "output", noise_runs: int | None = None,
-                            sim: Similarity = indel_similarity) -> DataFrame:
+                            text: str = "output", sim: Similarity = indel_similarity) -> DataFrame:
     """All i<j pairs of normalised outputs among the repeat runs of one
-    command.  ``noise_runs`` is the configured repeat count (the reference
-    executes a command exactly that many times), which bounds the pairs
-    per command to noise_runs * (noise_runs - 1) / 2."""
-    if noise_runs is not None:
-        runs = runs.where(F.col(run) <= noise_runs)
+    command.  The pairs are the feature; a command is run a configured,
+    small number of times, so a key holds few rows."""
     r = runs.select(key, run, normalise_output(text).alias("norm"))
     a, b = r.alias("a"), r.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}"))
@@ -70,14 +66,11 @@ def pairwise_run_similarity(runs: DataFrame, key: str = "k", run: str = "run_no"
 
 def noise_threshold(runs: DataFrame, key: str = "k", run: str = "run_no",
                     text: str = "output", k: float = 1.0, margin: float = 0.05,
-                    floor: float = 0.2, noise_runs: int = 7,
-                    sim: Similarity = indel_similarity) -> DataFrame:
+                    floor: float = 0.2, sim: Similarity = indel_similarity) -> DataFrame:
     """beta0 = max(floor, mean - k * sample std) over the pair similarities
-    of the ``noise_runs`` repeat runs of a command (the reference executes
-    exactly that many; std 0 for one pair; fewer than two runs -> 1.0);
-    beta = max(floor, beta0 - margin)."""
-    pairs = pairwise_run_similarity(runs, key, run, text, noise_runs, sim)
-    runs = runs.where(F.col(run) <= noise_runs)
+    of all repeat runs of a command (std 0 for one pair; fewer than two
+    runs -> 1.0); beta = max(floor, beta0 - margin)."""
+    pairs = pairwise_run_similarity(runs, key, run, text, sim)
     stats = pairs.groupBy(key).agg(F.count("*").alias("n_pairs"), F.avg("sim").alias("mean_sim"),
                                    F.stddev_samp("sim").alias("std_sim"))
     keys = runs.groupBy(key).agg(F.count("*").alias("n_runs"))
@@ -107,11 +100,15 @@ def variant_vs_reference(variants: DataFrame, reference: DataFrame, key: str,
              .drop("_ref_text", "_ref_code"))
 
 
-def output_redundancy(compared: DataFrame, key: str) -> DataFrame:
-    """score = 1 - n_redundant / n_args; a command without arguments has
-    nothing to compare: 0.5 (the reference's bare-command value)."""
+def output_redundancy(compared: DataFrame, key: str, references: DataFrame | None = None) -> DataFrame:
+    """score = 1 - n_redundant / n_args.  With ``references`` every command
+    in it has a row; one without arguments has nothing to compare and
+    scores 0.5 (the bare-command value)."""
     agg = compared.groupBy(key).agg(F.count("*").alias("n_args"),
                                     F.sum(F.col("redundant").cast("int")).alias("n_redundant"))
+    if references is not None:
+        agg = references.select(key).distinct().join(agg, key, "left")
+        agg = agg.withColumn("n_args", F.coalesce("n_args", F.lit(0))).withColumn("n_redundant", F.coalesce("n_redundant", F.lit(0)))
     score = F.when(F.col("n_args") == 0, F.lit(0.5)).otherwise(
         1.0 - F.col("n_redundant") / F.col("n_args"))
     return agg.withColumn("output_redundancy_score", score)

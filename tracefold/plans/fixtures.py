@@ -35,12 +35,12 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
 def traces(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").alias("d")
     lab = table(spark, sf, "labels").alias("l")
-    first_line = F.split_part(F.col("d.text"), F.lit("\n"), F.lit(1))
+    lines = F.replace(F.col("d.text"), F.lit("\n"), F.lit(" ; "))  # every line of the document is a command
     return d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
         F.col("d.doc_id").alias("seq"),
         F.col("d.source").alias("dataset"),
         F.concat(F.col("d.lang"), F.lit("/"), F.col("d.source")).alias("session"),
-        F.concat(F.lit("cd /"), F.col("d.lang"), F.lit(" ; "), first_line).alias("input"),
+        F.concat(F.lit("cd /"), F.col("d.lang"), F.lit(" ; "), lines).alias("input"),
         F.col("d.text").alias("output"),
         F.lit("").alias("context_value"),
         F.coalesce(F.col("l.toxic"), F.lit(0)).alias("exit_code"),
@@ -51,17 +51,13 @@ def traces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    from tracefold.operators.numbering import global_rank
-    d = table(spark, sf, "documents").alias("d")
-    lab = table(spark, sf, "labels").alias("l")
-    x = d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(
-        F.concat(F.col("d.lang"), F.lit("/"), F.col("d.source")).alias("k"),
-        F.col("d.doc_id").alias("_doc"),
-        F.col("d.text").alias("output"),
-        F.coalesce(F.col("l.toxic"), F.lit(0)).alias("exit_code"),
-    )
-    x = global_rank(x, ["_doc"], out="run_no", group=["k"])  # no per-key window
-    return x.select("k", F.col("run_no").cast("bigint").alias("run_no"), "output", "exit_code")
+    """Repeat runs of a command: the turns of a conversation, all of them."""
+    c = table(spark, sf, "conversations")
+    return c.select(
+        F.concat(F.lit("conv/"), F.col("conv_id").cast("string")).alias("k"),
+        (F.col("turn") + 1).cast("bigint").alias("run_no"),
+        F.col("text").alias("output"),
+        F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, 1).otherwise(0).alias("exit_code"))
 
 
 def cmds(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,16 +118,14 @@ SELECT user_id AS episode_id,
 FROM events""",
     "traces": """
 SELECT d.doc_id AS seq, d.source AS dataset, concat(d.lang,'/',d.source) AS session,
-       concat('cd /',d.lang,' ; ',split_part(d.text,chr(10),1)) AS input,
+       'cd /' || d.lang || ' ; ' || replace(d.text, chr(10), ' ; ') AS input,
        d.text AS output, '' AS context_value, coalesce(l.toxic,0) AS exit_code,
        CASE WHEN l.quality=1 THEN CAST(0.95 AS DOUBLE) WHEN l.quality=0 THEN CAST(0.5 AS DOUBLE)
             ELSE CAST(0.92 AS DOUBLE) END AS redundancy_score
 FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id""",
     "runs": """
-SELECT concat(d.lang,'/',d.source) AS k,
-       row_number() OVER (PARTITION BY d.lang,d.source ORDER BY d.doc_id) AS run_no,
-       d.text AS output, coalesce(l.toxic,0) AS exit_code
-FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id""",
+SELECT 'conv/' || conv_id AS k, CAST(turn + 1 AS BIGINT) AS run_no, text AS output,
+       CASE WHEN (conv_id + turn) % 7 = 3 THEN 1 ELSE 0 END AS exit_code FROM conversations""",
     "cmds": """
 SELECT session, page_id AS ord,
        CASE page_id % 4 WHEN 0 THEN concat('cd ',path) WHEN 1 THEN 'cd ..' WHEN 2 THEN 'ls -la'
