@@ -275,17 +275,23 @@ def _named(df: DataFrame, comp: DataFrame, node: str = "node") -> DataFrame:
     return df.join(bounded(c), node, "left").withColumn("comp", F.coalesce("_f", F.col(node))).drop("_f")
 
 
-def _hubs(rows: DataFrame, turn: int, most: int) -> DataFrame:
-    """Pairs (a, b, na, nb) of a node and a hub of the largest component of
-    a group; for each node the hubs of most of its groups."""
+def _with_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows of the groups that hold several components, with a hub: a node of
+    the group's largest component."""
     w = Window.partitionBy("sig")
     size = F.count("*").over(Window.partitionBy("sig", "comp"))
     chance = F.xxhash64("node", "sig", F.lit(turn)) if turn else F.xxhash64("node")  # later turns: another hub in each group
-    rows = rows.withColumn("_s", size).withColumn("_h", F.max(F.struct("_s", "comp", chance.alias("x"), "node", "n")).over(w))
-    met = rows.where("comp <> _h.comp").where(_sizes_fit(F.col("n"), F.col("_h.n"))).groupBy("node", "n", F.col("_h.node").alias("hub"), F.col("_h.n").alias("hub_n")).count()
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "hub"))
+    rows = rows.withColumn("_s", size).withColumn("hub", F.max(F.struct("_s", "comp", chance.alias("x"), "node", "n")).over(w))
+    return rows.withColumn("_c", F.count("*").over(w)).where(F.col("_s") < F.col("_c")).drop("_s", "_c")
+
+
+def _hub_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of a hub and a node of another component; for each
+    node the hubs of most of its groups."""
+    met = rows.where("comp <> hub.comp").where(_sizes_fit(F.col("n"), F.col("hub.n"))).groupBy("node", "n", F.col("hub.node").alias("_h"), F.col("hub.n").alias("hub_n")).count()
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("count"), "_h"))
     met = met.withColumn("_r", best).where(F.col("_r") <= most)
-    return met.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
+    return met.select(F.col("_h").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,20 +304,24 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(index(docs, nodes).withColumn("_c", F.count("*").over(w)).where("_c > 1").drop("_c"), "jaccard-shared")
     used = shared.select("node").distinct()
     sketches = stored(rows.select(F.col("_row").alias("node"), "counts").join(bounded(stored(used, "jaccard-used")), "node", "left_semi"), "jaccard-sketches")
-    open_ = shared.withColumn("comp", F.col("node"))
-    edges, asked, comp = None, None, None
+    rows_of, edges, asked, comp, first_links = shared.withColumn("comp", F.col("node")), None, None, None, 0
     for turn in range(HUB_TURNS):
-        met = _hubs(open_, turn, 1 if turn == 0 else 4)
-        new = met.select("a", "b", "na", "nb") if asked is None else met.join(asked, [F.least(met["a"], met["b"]) == asked["x"], F.greatest(met["a"], met["b"]) == asked["y"]], "left_anti")
-        near = stored(_near(stored(new, "jaccard-hubs"), sketches), "jaccard-near")
+        open_ = stored(_with_hubs(rows_of, turn), "jaccard-open")
+        met = _hub_pairs(open_, 1 if turn == 0 else 4)
+        if asked is not None:
+            met = met.join(asked, [F.least(met["a"], met["b"]) == asked["x"], F.greatest(met["a"], met["b"]) == asked["y"]], "left_anti")
+        near = stored(_near(met, sketches), "jaccard-near")
         linked = stored(verify(near, docs, nodes), "jaccard-edges")
         pairs = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         asked = pairs if asked is None else asked.union(pairs)
         edges = linked if edges is None else edges.union(linked)
         comp = stored(components(edges), "jaccard-components")
-        open_ = stored(_open(_named(open_.drop("comp", "_c"), comp)), "jaccard-open")
-        if linked.isEmpty():
+        rows_of = _named(open_.drop("comp", "hub"), comp)
+        links = linked.count()
+        first_links = first_links or links
+        if 50 * links <= first_links:  # hubs find hardly anything new; the rest is listed below
             break
+    open_ = _open(rows_of)
 
     # groups that still hold several components: each node probes with all but its most shared segments
     own = Window.partitionBy("node", "tag")
