@@ -11,9 +11,11 @@ terminal pieces and resolves its first placeholder:
 * any other placeholder is a random terminal (numbers in range, fixed
   word lists, else a random alphanumeric string).
 A repeating nonterminal stays on the stack until its terminal action or
-the argument limit.  Rounds stop when no row is unfinished or after
-``max_rounds`` (rows then report truncated); lineage is cut every few
-rounds.  The uniform choice is the reference's random policy; a learned
+the argument limit.  Rounds stop when no row is unfinished; lineage is cut
+every few rounds, and finished rows are then appended to a scratch table
+once.  A grammar without repeats whose derivations never end is an error of
+the grammar: a nonterminal that leads back to itself must have a production
+without it.  The uniform choice is the reference's random policy; a learned
 policy's weights are not part of this library.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from tracefold.functions.text import PLACEHOLDER, split_placeholders
 from tracefold.operators.grammar import NUMBER_RANGES
 from tracefold.operators.inventory import ALNUM, RANDOM_STRINGS
-from tracefold.session import cut_lineage
+from tracefold.session import cut_lineage, scratch_path
 
 
 def _h(*cols):
@@ -46,8 +48,8 @@ def _fill(ph, h):
 
 
 def derive_commands(grammar: DataFrame, requests: DataFrame, repeats: DataFrame, start: str = "[Input]",
-                    max_args: int = 10, max_rounds: int = 64, cut_every: int = 4) -> DataFrame:
-    """requests (id, seed) -> (id, command, n_args, rounds, truncated).
+                    max_args: int = 10, cut_every: int = 4) -> DataFrame:
+    """requests (id, seed) -> (id, command, n_args, rounds).
     A repeating nonterminal that reached ``max_args`` takes its terminal
     action (the reference's position truncation)."""
     nts = grammar.groupBy("nonterminal").agg(F.count("*").alias("n_prod"))
@@ -61,7 +63,9 @@ def derive_commands(grammar: DataFrame, requests: DataFrame, repeats: DataFrame,
                             F.array().cast("array<string>").alias("out"), F.lit(0).alias("n_args"),
                             F.lit(0).alias("rounds"))
     finished = None
-    for rnd in range(1, max_rounds + 1):
+    path, rnd = scratch_path(grammar.sparkSession, "derived"), 0
+    while True:
+        rnd += 1
         is_ph = F.transform("stack", lambda x: x.rlike(f"^{PLACEHOLDER}$"))
         first = F.array_position(is_ph, True).cast("int")
         s = state.withColumn("_f", first)
@@ -95,14 +99,11 @@ def derive_commands(grammar: DataFrame, requests: DataFrame, repeats: DataFrame,
         done = done.select("id", "seed", "stack", "out", "n_args", "rounds")
         finished = done if finished is None else finished.unionByName(done)
         if rnd % cut_every == 0:
+            cmd = F.trim(F.regexp_replace(F.array_join("out", ""), r"\s+", " "))
+            finished.select("id", cmd.alias("command"), "n_args", "rounds").write.mode("append").parquet(path)
+            finished = None
             live = cut_lineage(live)
-            finished = cut_lineage(finished)
             if live.isEmpty():
-                state = live
                 break
         state = live
-    rest = state.select("id", "seed", "stack", "out", "n_args", "rounds")
-    allrows = (finished.unionByName(rest) if finished is not None else rest)
-    cmd = F.trim(F.regexp_replace(F.array_join("out", ""), r"\s+", " "))
-    return allrows.select("id", cmd.alias("command"), "n_args", "rounds",
-                          (F.size("stack") > 0).alias("truncated"))
+    return grammar.sparkSession.read.parquet(path)

@@ -1,9 +1,8 @@
 """Vocabulary, greedy sub-word encoding and decoding, all native.
 
-Greedy longest-match encoding is a fold over a word's positions against
-the vocabulary hits of all its substrings (an equi-join on the token);
-only the first ``size - 1`` words of a text can contribute to the
-truncated id list, so later words are not expanded at all.
+Greedy longest-match encoding takes a word that is a token as it is; for
+the rest it is a fold over a word's positions against the vocabulary hits of
+its substrings (an equi-join on the token).
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from tracefold.functions.text import PLACEHOLDER, split_placeholders, py_strip
 from tracefold.operators.actions import words
 from tracefold.operators.numbering import global_rank
+from tracefold.session import cut_lineage
 
 SPECIALS = ["<pad>", "<cls>", "<unk>"]
 PRINTABLE = list(string.printable)  # the 100 printable characters, in order
@@ -59,13 +59,16 @@ def build_vocabulary(grammar: DataFrame, dirs: DataFrame | None = None,
     return r.select("token", (F.col("_r") - 1).alias("id"))
 
 
-def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int = 128, key: str = "id",
+def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int | None = None, key: str = "id",
                   fallback: int = 1, out: str = "ids") -> DataFrame:
     """Per whitespace word: longest vocabulary substring from the left,
     repeatedly; a position with no hit gives ``fallback`` (1, as the
-    reference does); ids truncated to size - 1."""
-    w = df.select(key, F.posexplode(words(text)).alias("wpos", "word")).where(F.col("wpos") < size - 1)
-    uw = w.select("word").distinct()
+    reference does).  All ids of the whole text, or the first ``size - 1``."""
+    w = df.select(key, F.posexplode(words(text)).alias("wpos", "word"))
+    every = w.select("word").distinct().join(vocab.withColumnRenamed("token", "word"), "word", "left")
+    every = cut_lineage(every)
+    exact = every.where("id is not null").select("word", F.array("id").alias("wids"))  # the longest hit is the word itself
+    uw = every.where("id is null").select("word")
     # substrings longer than the longest vocabulary token can never match:
     # O(len * max_token) candidates per word instead of O(len^2) (exact)
     max_tok = vocab.agg(F.max(F.length("token"))).first()[0] or 1
@@ -88,10 +91,10 @@ def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int = 128, k
         return F.when(pos == acc["cur"], take).otherwise(acc)
 
     enc = uw.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step)["ids"].alias("wids"))
-    j = w.join(enc, "word")
+    j = w.join(enc.unionByName(exact), "word")
     per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("wpos", "wids"))).alias("_w"))
     flat = F.flatten(F.transform("_w", lambda x: x["wids"]))
-    res = per.select(key, F.slice(flat, 1, size - 1).alias(out))
+    res = per.select(key, (flat if size is None else F.slice(flat, 1, size - 1)).alias(out))
     return df.select(key).join(res, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<bigint>")))
 
 

@@ -2,8 +2,9 @@
 
 Grammar (grows with the data): [Input] and [Command] -> one command
 [<lang>] per language; [<lang>] -> "<lang> [<lang>Options]"; options are
-"-<first word>" flags, "--<source> [<source>Val]" nested nonterminals and
-one placeholder of each kind; [<source>Val] -> first words and [Number].
+"-<word>" flags for all words (runs of letters) of the texts, "--<source>
+[<source>Val]" nested nonterminals and one placeholder of each kind;
+[<source>Val] -> the source's words and [Number].
 Ordinals follow first appearance (doc_id), ties by text.
 """
 
@@ -17,37 +18,35 @@ from tracefold.operators import vocab as VO
 from tracefold.operators.numbering import global_rank
 from tracefold.plans import fixtures as V
 from tracefold.plans.registry import register
-from tracefold.session import scratch_path
+from tracefold.session import cut_lineage, scratch_path
 from tracefold.sources.tables import table
 
 FIXED_OPTIONS = ["[File]", "[Number]", "[Word]", "[Username]"]
-FIRST_WORD = r"^[^\p{L}]*(\p{L}+)"
-
-
-def _docs(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", "lang", "source", F.lower(F.regexp_extract("text", FIRST_WORD, 1)).alias("fw"))
 
 
 def derived_grammar(spark, sf):
-    d = _docs(spark, sf)
+    docs = table(spark, sf, "documents")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
+    d = docs.select("doc_id", "lang", "source", F.explode(words).alias("fw"))
+    d = d.groupBy("lang", "source", "fw").agg(F.min("doc_id").alias("doc_id"))  # first appearances are enough
+    docs = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
     br = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) and not x.startswith("@") else F.col(x[1:])
                                 for x in xs])
-    lang = d.groupBy("lang").agg(F.min("doc_id").alias("first"))
-    src = d.groupBy("source").agg(F.min("doc_id").alias("first"))
+    lang = docs.groupBy("lang").agg(F.min("doc_id").alias("first"))
+    src = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
     rows = [
         lang.select(F.lit("[Input]").alias("nonterminal"), br("[", "@lang", "]").alias("production"), "first"),
         lang.select(F.lit("[Command]").alias("nonterminal"), br("[", "@lang", "]").alias("production"), "first"),
         lang.select(br("[", "@lang", "]").alias("nonterminal"), br("@lang", " [", "@lang", "Options]")
                     .alias("production"), "first"),
-        d.where(F.col("fw") != "").groupBy("lang", "fw").agg(F.min("doc_id").alias("first"))
+        d.groupBy("lang", "fw").agg(F.min("doc_id").alias("first"))
          .select(br("[", "@lang", "Options]").alias("nonterminal"), br("-", "@fw").alias("production"), "first"),
-        d.groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
+        docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
          .select(br("[", "@lang", "Options]").alias("nonterminal"),
                  br("--", "@source", " [", "@source", "Val]").alias("production"), "first"),
         lang.select(br("[", "@lang", "Options]").alias("nonterminal"),
                     F.explode(F.array(*[F.lit(p) for p in FIXED_OPTIONS])).alias("production"), "first"),
-        d.where(F.col("fw") != "").groupBy("source", "fw").agg(F.min("doc_id").alias("first"))
+        d.groupBy("source", "fw").agg(F.min("doc_id").alias("first"))
          .select(br("[", "@source", "Val]").alias("nonterminal"), F.col("fw").alias("production"), "first"),
         src.select(br("[", "@source", "Val]").alias("nonterminal"), F.lit("[Number]").alias("production"), "first"),
     ]
@@ -58,7 +57,6 @@ def derived_grammar(spark, sf):
     g = global_rank(u, ["first", "production"], out="_o", group=["nonterminal"])
     g = g.select("nonterminal", (F.col("_o") - 1).cast("int").alias("ordinal"), "production")
     # used several times per query (actions, heads, repeats, masks): materialise once
-    from tracefold.session import cut_lineage
     return cut_lineage(g)
 
 
@@ -67,15 +65,16 @@ def commands(grammar):
 
 
 SQL_GRAMMAR = {
-    "gd": f"""SELECT doc_id, lang, source, lower(regexp_extract(text, '{FIRST_WORD}', 1)) AS fw FROM documents""",
+    "gw": r"""SELECT doc_id, lang, source, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) AS fw FROM documents""",
+    "gd": "SELECT doc_id, lang, source FROM documents",
     "gp": """
 SELECT '[Input]' AS nonterminal, '[' || lang || ']' AS production, min(doc_id) AS first FROM gd GROUP BY lang
 UNION ALL SELECT '[Command]', '[' || lang || ']', min(doc_id) FROM gd GROUP BY lang
 UNION ALL SELECT '[' || lang || ']', lang || ' [' || lang || 'Options]', min(doc_id) FROM gd GROUP BY lang
-UNION ALL SELECT '[' || lang || 'Options]', '-' || fw, min(doc_id) FROM gd WHERE fw <> '' GROUP BY lang, fw
+UNION ALL SELECT '[' || lang || 'Options]', '-' || fw, min(doc_id) FROM gw GROUP BY lang, fw
 UNION ALL SELECT '[' || lang || 'Options]', '--' || source || ' [' || source || 'Val]', min(doc_id) FROM gd GROUP BY lang, source
 UNION ALL SELECT '[' || lang || 'Options]', p, min(doc_id) FROM gd, (VALUES ('[File]'), ('[Number]'), ('[Word]'), ('[Username]')) v(p) GROUP BY lang, p
-UNION ALL SELECT '[' || source || 'Val]', fw, min(doc_id) FROM gd WHERE fw <> '' GROUP BY source, fw
+UNION ALL SELECT '[' || source || 'Val]', fw, min(doc_id) FROM gw GROUP BY source, fw
 UNION ALL SELECT '[' || source || 'Val]', '[Number]', min(doc_id) FROM gd GROUP BY source""",
     "grammar": """
 SELECT nonterminal, CAST(row_number() OVER (PARTITION BY nonterminal ORDER BY first, production) - 1 AS INTEGER) AS ordinal,
@@ -291,19 +290,18 @@ def q_vocab(spark, sf):
     return _vocab(spark, sf)
 
 
-def _encoded(spark, sf):
+def _encoded(spark, sf, vocab):
     t = V.traces(spark, sf).select(F.col("seq").alias("id"), "input")
-    return VO.encode_greedy(t, "input", _vocab(spark, sf), size=128, key="id")
+    return VO.encode_greedy(t, "input", vocab, key="id")
 
 
 def _encode_sql() -> dict:
     from tracefold.plans import sqlfrag as Q
-    words = f"list_filter(regexp_split_to_array({Q.strip('input')}, '{Q.WS}+'), lambda x: x <> '')"
+    words = f"list_filter(regexp_split_to_array(input, '{Q.WS}+'), lambda x: x <> '')"
     e = dict(_vocab_sql())
     e.update({"tw": f"""SELECT seq, unnest(range(0, len(w))) AS wpos, unnest(w) AS word FROM (
                         SELECT seq, {words} AS w FROM traces)""",
-              "tw2": "SELECT * FROM tw WHERE wpos < 127",
-              "uw": "SELECT DISTINCT word FROM tw2",
+              "uw": "SELECT DISTINCT word FROM tw",
               "sb": """SELECT word, i, n, substr(word, i, n) AS token FROM (
                        SELECT word, i, unnest(range(1, length(word) - i + 2)) AS n FROM (
                        SELECT word, unnest(range(1, length(word) + 1)) AS i FROM uw))""",
@@ -315,8 +313,8 @@ def _encode_sql() -> dict:
                           ids := list_append(acc.ids, coalesce(list_filter(hits, lambda h: h.i = pos AND h.n =
                             list_max(list_transform(list_filter(hits, lambda h2: h2.i = pos), lambda h2: h2.n)))[1].tid, 1)))
                         END, struct_pack(cur := 1, ids := CAST([] AS BIGINT[]))).ids AS wids FROM hits""",
-              "encoded": """SELECT t.seq AS id, coalesce(flatten(list(e.wids ORDER BY t.wpos))[1:127], []) AS ids
-                            FROM (SELECT DISTINCT seq FROM traces) s LEFT JOIN tw2 t ON t.seq = s.seq
+              "encoded": """SELECT t.seq AS id, coalesce(flatten(list(e.wids ORDER BY t.wpos)), []) AS ids
+                            FROM (SELECT DISTINCT seq FROM traces) s LEFT JOIN tw t ON t.seq = s.seq
                             LEFT JOIN enc e ON e.word = t.word GROUP BY t.seq"""})
     return e
 
@@ -326,7 +324,7 @@ SELECT s.seq AS id, array_to_string(list_transform(coalesce(e.ids, []), lambda x
 FROM (SELECT DISTINCT seq FROM traces) s LEFT JOIN encoded e ON e.id = s.seq""",
                                         dict(traces=V.SQL["traces"], **_encode_sql())))
 def q_encode(spark, sf):
-    e = _encoded(spark, sf)
+    e = _encoded(spark, sf, _vocab(spark, sf))
     return e.select("id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
@@ -337,7 +335,8 @@ SELECT s.seq AS id, coalesce(d.text, '') AS text FROM (SELECT DISTINCT seq FROM
     LEFT JOIN vocab v ON v.id = x.tid WHERE x.tid <> 0 GROUP BY e.id) d ON d.id = s.seq""",
                                      dict(traces=V.SQL["traces"], **_encode_sql())))
 def q_decode(spark, sf):
-    return VO.decode_ids(_encoded(spark, sf), "ids", _vocab(spark, sf), key="id")
+    vocab = cut_lineage(_vocab(spark, sf))  # one vocabulary for both directions
+    return VO.decode_ids(_encoded(spark, sf, vocab), "ids", vocab, key="id")
 
 
 @register("derive_commands")  # random synthesis over a data-sized grammar: rows-only + golden tests
