@@ -336,3 +336,62 @@ def test_grouped_scan_hot_group_spans_partitions(spark, op):
             elif v is not None:
                 acc = v if acc is None else max(acc, v)
             assert got[(g, t)] == (pytest.approx(acc) if acc is not None else None), (g, t)
+
+
+def test_reference_file_forms(spark, tmp_path):
+    """An episode log as one indented JSON array; a grammar as one JSON
+    object, and as chunked lines."""
+    from tracefold.operators import grammar as G
+    from tracefold.sources import traces_io as IO
+    log = tmp_path / "log.json"
+    log.write_text('[\n  {"episode": 1, "step": 10},\n  {"episode": 3, "step": 44},\n  {"episode": 2, "step": 25}\n]')
+    back = IO.read_episode_log(spark, str(log), multi_line=True, schema=spark.createDataFrame([], "episode long, step long").schema)
+    assert tuple(IO.resume_point(back).first()) == (3, 3, 44)
+    assert IO.read_episode_log(spark, str(tmp_path / "none"), schema=back.schema).count() == 0
+    (tmp_path / "g.json").write_text('{"[Input]": ["[x]"], "[ls]": ["ls [lsOptions]", "ls"], "[lsOptions]": ["-a"]}')
+    commands = spark.createDataFrame([(0, "[ls]")], "ordinal int, production string")
+    g = G.read_grammar(spark, str(tmp_path / "g.json"), commands=commands, fmt="object")
+    want = [("[Command]", 0, "[ls]"), ("[Input]", 0, "[ls]"), ("[ls]", 0, "ls [lsOptions]"), ("[ls]", 1, "ls"), ("[lsOptions]", 0, "-a")]
+    assert sorted(map(tuple, g.collect())) == sorted(want)
+    G.write_grammar(g, str(tmp_path / "lines"), chunk=1)
+    assert sorted(map(tuple, G.read_grammar(spark, str(tmp_path / "lines")).collect())) == sorted(want)
+
+
+def test_commands_without_variants_have_a_score(spark):
+    compared = spark.createDataFrame([("a", True), ("a", False), ("a", None)], "k string, redundant boolean")
+    refs = spark.createDataFrame([("a",), ("bare",)], "k string")
+    got = {r.k: (r.n_args, r.n_redundant, r.output_redundancy_score) for r in R.output_redundancy(compared, "k", refs).collect()}
+    assert got == {"a": (3, 1, pytest.approx(2 / 3)), "bare": (0, 0, 0.5)}
+
+
+def test_encode_whole_text(spark):
+    from tracefold.operators.vocab import decode_ids, encode_greedy
+    v = spark.createDataFrame([("<pad>", 0), ("<cls>", 1), ("<unk>", 2), ("ab", 3), ("a", 4), ("b", 5), ("abc", 6)], "token string, id long")
+    df = spark.createDataFrame([(1, "ab " * 300 + "abab xaz"), (2, ""), (3, None)], "id int, t string")
+    e = encode_greedy(df, "t", v)
+    got = {r.id: r.ids for r in e.collect()}
+    assert got == {1: [3] * 300 + [3, 3, 1, 4, 1], 2: [], 3: []}
+    assert {r.id: r.text for r in decode_ids(e, "ids", v).collect()} == {1: "ab " * 302 + "<cls> a <cls>", 2: "", 3: ""}
+    assert {r.id: len(r.ids) for r in encode_greedy(df, "t", v, size=128).collect()} == {1: 127, 2: 0, 3: 0}
+
+
+def test_mask_membership(spark):
+    from tracefold.operators import grammar as G
+    g = spark.createDataFrame([("[Input]", 0, "[ls]"), ("[ls]", 0, "ls [lsOptions]"), ("[lsOptions]", 0, "-a"), ("[lsOptions]", 1, "-b")],
+                              "nonterminal string, ordinal int, production string")
+    rep = spark.createDataFrame([("[lsOptions]",)], "nonterminal string")
+    acts = G.production_actions(g, G.reachable_nonterminals(g))
+    mask = G.production_mask_2layer(g, acts, G.expansion_heads(g), rep, strict_reference=False)
+    n = acts.count()
+    rows = {r.head: r for r in mask.collect()}
+    assert not rows["[Input]"].allows_free and rows["[lsOptions]"].allows_free and rows["[lsOptions]"].allows_terminal
+    taken = {a for r in rows.values() for a in r.own_actions}  # of the starting heads
+    reserved = spark.createDataFrame([(a,) for a in sorted(taken)], "action_id long")
+    ask = spark.createDataFrame([(h, a) for h in [*rows, "[none]"] for a in range(n + 2)], "head string, action_id long")
+    got = {}
+    for r in G.mask_allows(mask, ask, acts, reserved, n).collect():
+        got.setdefault(r.head, set()).update([r.action_id] if r.allowed else [])
+    for h, r in rows.items():
+        free = set(range(n)) - taken if r.allows_free else set()
+        assert got[h] == set(r.own_actions) | free | ({n} if r.allows_terminal else set()) and len(got[h]) == r.n_allowed
+    assert got["[none]"] == set()

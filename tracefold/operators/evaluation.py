@@ -34,8 +34,9 @@ def _guard(arr: Column, count: Column) -> Column:
 def _tagged(orders, side: int):
     """One array<struct<kind,n,g>> holding every order's n-grams of a side."""
     def tag(arr, kind, n):
+        # 64-bit hashes of the grams: they are compared within one pair only
         return F.transform(arr, lambda g: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
-                                                   g.alias("g")))
+                                                   F.xxhash64(g).alias("g")))
     return F.flatten(F.array(*[tag(o[2 + side], o[0], o[1]) for o in orders]))
 
 

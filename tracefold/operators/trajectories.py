@@ -159,20 +159,17 @@ def ppo_diagnostics(df: DataFrame, by: list, new_logp: str = "new_logp", old_log
                           + F.col("entropy_loss"))
 
 
-def episode_log(steps: DataFrame, episode: str, t: str, cols: list[str],
-                max_steps: int = 1_000_000) -> DataFrame:
-    """One row per episode with its per-step columns as ordered arrays.
-    An episode is bounded by the horizons; the bound is checked (one
-    aggregate) rather than silently collecting an oversized group."""
-    longest = steps.groupBy(episode).count().agg(F.max("count")).first()[0] or 0
-    if longest > max_steps:
-        raise ValueError(f"episode with {longest} steps exceeds max_steps={max_steps}")
-    s = steps.groupBy(episode).agg(
+def episode_log(steps: DataFrame, episode: str, t: str, cols: list[str], chunk: int = 4096) -> DataFrame:
+    """Rows (episode, chunk, n_actions, arrays): an episode's per-step
+    columns as ordered arrays of at most ``chunk`` steps each, so no row
+    grows with the episode.  ``t`` is the dense step number from 0."""
+    s = steps.withColumn("chunk", F.floor(F.col(t) / chunk).cast("long")).groupBy(episode, "chunk").agg(
         F.sort_array(F.collect_list(F.struct(F.col(t), *[F.col(c) for c in cols]))).alias("_st"),
         F.count("*").alias("n_actions"))
+
     def field(c):
         return F.transform("_st", lambda x: x[c]).alias(c)
-    return s.select(episode, "n_actions", *[field(c) for c in cols])
+    return s.select(episode, "chunk", "n_actions", *[field(c) for c in cols])
 
 
 def run_summary(df: DataFrame, by: list, episode: str = "episode_id") -> DataFrame:

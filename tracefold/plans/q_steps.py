@@ -189,15 +189,15 @@ def q_ppo(spark, sf):
 
 
 @register("episode_log", V.with_views("""
-SELECT episode_id, CAST(count(*) AS BIGINT) AS n_actions,
+SELECT episode_id, CAST(floor(t / 16) AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_actions,
   string_agg(head, ',' ORDER BY t) AS heads,
   string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY t) AS actions,
   round(sum(reward), 6) AS total_reward,
   arg_max(head, t) AS final_head
-FROM steps GROUP BY episode_id""", "steps"))
+FROM steps GROUP BY ALL""", "steps"))
 def q_episode_log(spark, sf):
-    e = TR.episode_log(V.steps(spark, sf), "episode_id", "t", ["head", "event_id", "reward"])
-    return e.select("episode_id", F.col("n_actions").cast("bigint").alias("n_actions"),
+    e = TR.episode_log(V.steps(spark, sf), "episode_id", "t", ["head", "event_id", "reward"], chunk=16)
+    return e.select("episode_id", "chunk", F.col("n_actions").cast("bigint").alias("n_actions"),
                     F.array_join("head", ",").alias("heads"),
                     F.array_join(F.transform("event_id", lambda x: x.cast("string")), ",").alias("actions"),
                     r6(F.aggregate("reward", F.lit(0.0), lambda a, x: a + x)).alias("total_reward"),
