@@ -309,10 +309,26 @@ def q_leave_one_out(spark, sf):
 
 def _memo(spark, sf):
     """The memo of known runs: every trace is a stored run of its last
-    command (whitespace-normalised)."""
+    command (whitespace-normalised), under the command's hash."""
     t = V.traces(spark, sf)
-    return t.select(F.array_join(_last_tokens(), " ").alias("key"), F.col("seq").alias("run_no"),
-                    F.md5("output").alias("output_md5"), "exit_code")
+    return t.select(_hash(F.array_join(_last_tokens(), " ")).alias("key"), F.col("seq").alias("run_no"))
+
+
+def _hash(key):
+    return F.sha2(key, 256)
+
+
+def _variant_keys(spark, sf):
+    """(seq, dropped_pos, key hash): the variants' texts are never shuffled."""
+    return _variants(spark, sf).select("seq", "dropped_pos", _hash(F.col("key")).alias("key"))
+
+
+def _variant_text(found, spark, sf):
+    """Add the variant's text to rows with (seq, dropped_pos)."""
+    t = V.traces(spark, sf).select("seq", _last_tokens().alias("_args"))
+    p, n = F.col("dropped_pos"), F.size("_args")
+    text = F.array_join(F.concat(F.slice("_args", F.lit(1), p), F.slice("_args", p + 2, n - p - 1)), " ")
+    return found.join(t, "seq").withColumn("key", text).drop("_args")
 
 
 _SQL_MEMO = f"SELECT array_to_string({S_LAST}, ' ') AS key, seq AS run_no, md5(output) AS output_md5, exit_code FROM traces"
@@ -322,7 +338,9 @@ _SQL_MEMO = f"SELECT array_to_string({S_LAST}, ' ') AS key, seq AS run_no, md5(o
 SELECT DISTINCT key FROM v WHERE key NOT IN (SELECT key FROM memo)""", "traces",
                                        extra={"v": _SQL_VARIANTS, "memo": _SQL_MEMO}))
 def q_pending_runs(spark, sf):
-    return R.pending_runs(_variants(spark, sf), _memo(spark, sf), key="key")
+    first = _variant_keys(spark, sf).groupBy("key").agg(F.min(F.struct("seq", "dropped_pos")).alias("_v")).select("key", "_v.*")
+    todo = R.pending_runs(first, _memo(spark, sf), key="key")
+    return _variant_text(first.join(todo, "key").drop("key"), spark, sf).select("key")
 
 
 @register("memo_lookup", V.with_views("""
@@ -331,11 +349,13 @@ FROM (SELECT v.seq || ':' || v.dropped_pos AS req, v.key, m.run_no FROM v JOIN m
 GROUP BY req, key""", "traces", extra={"v": _SQL_VARIANTS, "memo": _SQL_MEMO, "mh": """
 SELECT * FROM memo QUALIFY row_number() OVER (PARTITION BY key ORDER BY run_no DESC) <= 5"""}))
 def q_memo_lookup(spark, sf):
-    v = _variants(spark, sf).select(F.concat_ws(":", F.col("seq").cast("string"),
-                                                F.col("dropped_pos").cast("string")).alias("req"), "key")
+    req = F.concat_ws(":", F.col("seq").cast("string"), F.col("dropped_pos").cast("string"))
+    v = _variant_keys(spark, sf).withColumn("req", req)
     memo = bounded_history(_memo(spark, sf), "key", "run_no", n=5)
-    m = R.memo_lookup(v, memo.select("key", "run_no"), key="key", req_id="req", seed=7)
-    return m.select("req", "key", "run_no")
+    m = R.memo_lookup(v.select("req", "key"), memo, key="key", req_id="req", seed=7).select("req", "run_no")
+    at = F.split("req", ":")
+    m = m.withColumn("seq", at[0].cast("long")).withColumn("dropped_pos", at[1].cast("int"))
+    return _variant_text(m, spark, sf).select("req", "key", "run_no")
 
 
 @register("exclude_known_inputs", V.with_views(f"""
