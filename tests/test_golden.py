@@ -222,12 +222,23 @@ def test_derive_commands_tiny_grammar(spark):
     req = spark.range(200).select(F.col("id"), F.lit(3).alias("seed"))
     a = derive_commands(g, req, rep, max_args=3).collect()
     b = derive_commands(g, req, rep, max_args=3).collect()
-    assert sorted(a) == sorted(b)                      # seeded: deterministic
+    assert sorted(a) == sorted(b) and len(a) == 200    # seeded: deterministic
     for r in a:
         assert not re.search(r"\[[a-zA-Z0-9]+\]", r.command)
-        assert r.n_args <= 3
+        assert r.n_args <= 3 and r.command == " ".join(r.args)
         assert re.fullmatch(r"ls( (-l|-a|-n [1-9]))*|cat \w{1,8}", r.command), r.command
+        assert r.args[0] in ("ls", "cat") and len(r.args) == 1 + (r.n_args if r.args[0] == "ls" else 1)
     assert {r.command.split(" ")[0] for r in a} == {"ls", "cat"}
+    inv = spark.createDataFrame([("img", "/w", "[File]", f) for f in ("x.txt", "y.txt")], "image string, cwd string, placeholder string, value string")
+    at = req.withColumn("image", F.lit("img")).withColumn("cwd", F.when(F.col("id") % 2 == 0, F.lit("/w")).otherwise(F.lit("/none")))
+    filled = derive_commands(g, at, rep, max_args=3, inventory=inv).collect()
+    cats = [r for r in filled if r.args[0] == "cat"]
+    assert {r.args[1] for r in cats if r.id % 2 == 0} == {"x.txt", "y.txt"}
+    assert all(re.fullmatch(r"\w{1,8}", r.args[1]) for r in cats if r.id % 2)  # nothing there: random
+    assert sorted((r.id, r.command) for r in filled if r.args[0] == "ls") == sorted((r.id, r.command) for r in a if r.args[0] == "ls")
+    short = derive_commands(g, req, rep, max_args=30, early_stop=2).collect()
+    long = derive_commands(g, req, rep, max_args=30).collect()
+    assert sum(r.n_args for r in short) < sum(r.n_args for r in long)
 
 
 def _undo_last_commit(checkpoint: str):

@@ -341,7 +341,12 @@ def q_decode(spark, sf):
 
 @register("derive_commands")  # random synthesis over a data-sized grammar: rows-only + golden tests
 def q_derive(spark, sf):
+    from tracefold.operators import inventory as I
     from tracefold.operators.derive import derive_commands
+    from tracefold.plans.q_inventory import _listing
     g = derived_grammar(spark, sf)
-    req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"))
-    return derive_commands(g, req, _repeats(spark, g), max_args=10)
+    inv = cut_lineage(I.path_inventory(_listing(spark, sf)))
+    image = F.concat(F.lit("site"), (F.col("doc_id") % 10).cast("string"), F.lit(".example"))
+    req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"), image.alias("image"), F.lit("/").alias("cwd"))
+    d = derive_commands(g, req, _repeats(spark, g), max_args=10, inventory=inv, early_stop=5, fill_seed=11)
+    return d.select("id", "command", F.size("args").alias("n_parts"), "n_args", "rounds")
