@@ -343,10 +343,12 @@ def q_decode(spark, sf):
 def q_derive(spark, sf):
     from tracefold.operators import inventory as I
     from tracefold.operators.derive import derive_commands
-    from tracefold.plans.q_inventory import _listing
+    from tracefold.plans.q_inventory import _listing, _pages
     g = derived_grammar(spark, sf)
     inv = cut_lineage(I.path_inventory(_listing(spark, sf)))
-    image = F.concat(F.lit("site"), (F.col("doc_id") % 10).cast("string"), F.lit(".example"))
-    req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"), image.alias("image"), F.lit("/").alias("cwd"))
+    pages = _pages(spark, sf).select("page_id", "image", I.parent_dir(F.col("path")).alias("cwd"))
+    n = pages.agg(F.max("page_id")).first()[0] or 0  # a scalar
+    req = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(11).alias("seed"), (F.col("doc_id") % (n + 1)).alias("page_id"))
+    req = req.join(pages, "page_id", "left").drop("page_id")  # each command runs in some page's image and directory
     d = derive_commands(g, req, _repeats(spark, g), max_args=10, inventory=inv, early_stop=5, fill_seed=11)
     return d.select("id", "command", F.size("args").alias("n_parts"), "n_args", "rounds")
