@@ -180,18 +180,21 @@ def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             near = np.abs(x - y).sum(1) <= (b.column("na").to_numpy() + b.column("nb").to_numpy()) // 7
             yield b.select(["a", "b"]).filter(pa.array(near))
 
-    both = (pairs.join(sketches.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
-            .join(sketches.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb"))
+    s = bounded(sketches, 100_000)  # 200 bytes a row
+    both = (pairs.join(s.select(F.col("node").alias("a"), F.col("counts").alias("ca")), "a")
+            .join(s.select(F.col("node").alias("b"), F.col("counts").alias("cb")), "b").select("a", "b", "na", "nb", "ca", "cb"))
     return both.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the whole texts.  The texts of the pairs
     of one a stream past its set; an a with many pairs is salted."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_OF_HUB).cast("int").alias("_s"))
-    salted = stored(pairs.join(many, "a").withColumn("salt", F.pmod(F.hash("b"), F.col("_s"))).select("a", "b", "salt"), "jaccard-pairs")
-    hubs = salted.select("a", "salt").distinct().join(nodes, F.col("a") == F.col("node")).withColumn("b", F.lit(None).cast("long"))
-    members = salted.join(nodes, F.col("b") == F.col("node"))
+    many = stored(pairs.groupBy("a").count().where(F.col("count") > PAIRS_OF_HUB).select("a", F.ceil(F.col("count") / PAIRS_OF_HUB).cast("int").alias("_s")), "jaccard-many")
+    salt = F.pmod(F.hash("b"), F.coalesce("_s", F.lit(1)))
+    salted = stored(pairs.join(bounded(many), "a", "left").withColumn("salt", salt).select("a", "b", "salt"), "jaccard-pairs")
+    known = bounded(nodes)
+    hubs = salted.select("a", "salt").distinct().join(known, F.col("a") == F.col("node")).withColumn("b", F.lit(None).cast("long"))
+    members = salted.join(known, F.col("b") == F.col("node"))
     cols = ["a", "salt", "b", "doc_id", "n", "d1", "d2"]
     asked = stored(hubs.select(cols).unionByName(members.select(cols)), "jaccard-asked")
     rows = _with_texts(docs, asked).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -221,24 +224,35 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): smallest node reachable, for nodes with an edge; rounds of
-    large-star and small-star joins until nothing changes."""
-    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
-    last = None
+    large-star and small-star joins until only stars are left."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     while True:
+        e = stored(e, "stars")
+        role = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        role = role.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+        if role.where("ups > 1 or (ups = 1 and least = 0)").isEmpty():  # every node has one parent, a root
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("s"))
-                 .select("s.u", "s.v").where("u <> v").distinct())
-        e = stored(small, "stars")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()  # one row
-        if now == last:
-            break
-        last = now
+        pair = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"))
+        e = large.join(low, "u").select(F.explode(F.array(pair("v"), pair("u"))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
+def _merged(comp: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """Components after more edges: the edges are contracted to the components
+    they join, so each search is over a small graph."""
+    if comp is None:
+        return stored(components(edges), "jaccard-components")
+    ends = _named(_named(edges, comp, "a").withColumnRenamed("comp", "ca"), comp, "b").select(F.col("ca").alias("a"), F.col("comp").alias("b"))
+    new = stored(components(ends), "jaccard-merged")
+    old = _named(comp.withColumnRenamed("comp", "c"), new, "c").select("node", "comp")
+    first = new.select("node", F.col("comp").alias("c")).join(bounded(comp.select("node")), "node", "left_anti")  # nodes without a link before
+    return stored(old.union(first.select("node", "c")), "jaccard-components")
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """Rows of the signatures that nodes of several components share, and how
     many rows share them."""
@@ -304,18 +318,18 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(index(docs, nodes).withColumn("_c", F.count("*").over(w)).where("_c > 1").drop("_c"), "jaccard-shared")
     used = shared.select("node").distinct()
     sketches = stored(rows.select(F.col("_row").alias("node"), "counts").join(bounded(stored(used, "jaccard-used")), "node", "left_semi"), "jaccard-sketches")
-    rows_of, edges, asked, comp, first_links = shared.withColumn("comp", F.col("node")), None, None, None, 0
+    rows_of, asked, comp, first_links = shared.withColumn("comp", F.col("node")), None, None, 0
     for turn in range(HUB_TURNS):
         open_ = stored(_with_hubs(rows_of, turn), "jaccard-open")
         met = _hub_pairs(open_, 1 if turn == 0 else 4)
         if asked is not None:
+            asked = bounded(asked)
             met = met.join(asked, [F.least(met["a"], met["b"]) == asked["x"], F.greatest(met["a"], met["b"]) == asked["y"]], "left_anti")
         near = stored(_near(met, sketches), "jaccard-near")
         linked = stored(verify(near, docs, nodes), "jaccard-edges")
         pairs = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         asked = pairs if asked is None else asked.union(pairs)
-        edges = linked if edges is None else edges.union(linked)
-        comp = stored(components(edges), "jaccard-components")
+        comp = _merged(comp, linked)
         rows_of = _named(open_.drop("comp", "hub"), comp)
         links = linked.count()
         first_links = first_links or links
@@ -347,7 +361,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = met.union(_met(single.where("pos <= n / 4 + 1"), single, near_enough)).distinct()
     met = met.join(asked, [met["a"] == asked["x"], met["b"] == asked["y"]], "left_anti")
     near = stored(_near(stored(met, "jaccard-met"), sketches), "jaccard-near")
-    comp = stored(components(edges.union(verify(near, docs, nodes))), "jaccard-components")
+    comp = _merged(comp, stored(verify(near, docs, nodes), "jaccard-edges"))
 
     named = _named(nodes, comp)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
