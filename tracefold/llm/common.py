@@ -34,9 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count of a stored table; larger tables are
-    joined by a shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast hint behind a row count (of a stored table: from its file
+    footers); larger tables are joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def crc_remainder(key: Column, mod: int) -> Column:
