@@ -3,24 +3,23 @@ of THRESHOLD or more, as connected components.
 
 Signatures (partition of the universe, pigeonhole).  Shingle hashes are the
 universe.  Sets are compared within size bands; in the scheme of a band the
-universe is cut into segments by hash, so many that sets of the allowed
-difference D (shingles in one set but not in the other) must agree on a
-segment that is not empty.  A set takes part in the scheme of its own band
-and, as the smaller side, in the next one.  It indexes its first D + 1 + g
-segments that aren't empty, in segment order; D covers every partner of the
-scheme.
-
-Cost-based allocation.  Of its indexed segments a set probes with all but
-the g that the most other sets share (error budget -1), so frequent passages
-and lines make no candidates.  The other D + 1 probe with budget 0.  If one
-of these still is in a group of more than DEAR rows, the set doesn't probe
-there (others find it), and all such sets meet by segments of one shingle:
-each probes with the least shared shingles, one more than a partner may
-lack, of two components the smaller one's sets only.  The group sizes are true
-counts over all sets.  A set with D segments or fewer that aren't empty raises all its segments to
-budget 1: it also indexes one-deletion neighbourhoods, in which only such
-sets meet (a pair can be missed otherwise only if both are such sets).  If
-even that is too little, it also indexes one signature for the whole scheme.
+universe is cut into segments by hash.  A set takes part in the scheme of its
+own band and, as the smaller side, in the next one, and indexes all its
+segments that aren't empty.  D is the most shingles in which it can differ
+from a partner of the scheme: of any D + 1 of its segments a partner has at
+least one unchanged, and indexes it.
+
+Cost-based allocation.  A set with more than D segments probes with D + 1 of
+them (error budget 0) and leaves out those that the most other sets share
+(budget -1), so frequent passages and lines make no candidates.  A set with
+fewer raises all its segments to budget 1: it also indexes one-deletion
+neighbourhoods, in which such sets meet; if even that is too little, it
+indexes one signature for the whole scheme.  Sets with too few segments, and
+sets that would still probe a group of more than DEAR rows, don't probe
+there: the others find them, and among themselves they meet by segments of
+one shingle, each probing with the least shared shingles, one more than a
+partner may lack, of two components the smaller one's sets only.  The group
+sizes are true counts over all sets.
 
 Candidates are verified exactly on the whole texts.  Sets that are equal are
 one node from the start.  In HUB_TURNS turns nodes are compared with a hub
@@ -50,6 +49,7 @@ from tracefold.llm.common import bounded, stored
 SHINGLE, BUCKETS, PAIRS_OF_HUB = 5, 96, 400
 #: A set that would probe a group of more rows than this meets others by single shingles.
 DEAR, HUB_TURNS = 24, 5
+FEW = 1_000_000
 _U = np.uint64
 
 
@@ -63,7 +63,7 @@ def bands(most: int) -> list[tuple[int, int, int]]:
     out, low = [], 1
     while not out or out[-1][1] < most * 2:
         high = max(low, low * 3 // 2)
-        out.append((low, high, -(-27 * (difference(2 * high) + 1) // 20) + 2))
+        out.append((low, high, -(-6 * (difference(2 * high) + 1) // 5) + 2))
         low = high + 1
     return out
 
@@ -75,7 +75,8 @@ def _segments(h: np.ndarray, m: int) -> np.ndarray:
 def signatures(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, kind, tag) rows of one sorted set.  kind 0: exact, 1: one
     deletion, 2: an empty segment.  tag // 2000: how many rows of its scheme
-    the set need not probe with; tag % 2000 names the scheme."""
+    the set need not probe with (FEW: it has too few to find all partners by
+    them); tag % 2000 names the scheme."""
     n = len(h)
     sig, kind, scheme, spare = [], [], [], []
     table = bands(n)
@@ -91,12 +92,12 @@ def signatures(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         heads = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
         which, value = seg[heads], np.add.reduceat(mixed, heads)
         name = lambda v, s, space: fl.mix(v ^ fl.mix(s.astype(_U) + _U((k * 3 + space) << 40)))
-        enough = min(len(heads), d + 1 + -(-n // 16))
-        sig.append(name(value[:enough], which[:enough], 0))
-        kind.append(np.zeros(enough, np.int8))
-        spare.append(np.full(enough, max(enough - d - 1, 0)))
-        scheme.append(np.full(enough, k))
-        if len(heads) <= d:
+        few = len(heads) <= d
+        sig.append(name(value, which, 0))
+        kind.append(np.zeros(len(heads), np.int8))
+        spare.append(np.full(len(heads), FEW if few else len(heads) - d - 1))
+        scheme.append(np.full(len(heads), k))
+        if few:
             void = np.setdiff1d(np.arange(m), which)
             left = np.repeat(value, np.diff(np.append(heads, n))) - mixed
             extra = [name(value, which, 1), name(left, seg, 1), name(np.zeros(len(void), _U), void, 1)]
@@ -163,9 +164,9 @@ def index(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             tag = np.concatenate([r[3] for r in rows])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([r[1] for r in rows]).view(np.int64)), pa.array(node[who]), pa.array(n[who].astype(np.int32)),
-                 pa.array(np.concatenate([r[2] for r in rows])), pa.array(tag.astype(np.int32))], ["sig", "node", "n", "kind", "tag"])
+                 pa.array(np.concatenate([r[2] for r in rows])), pa.array(tag.astype(np.int64))], ["sig", "node", "n", "kind", "tag"])
 
-    return _with_texts(docs, nodes).mapInArrow(run, "sig long, node long, n int, kind byte, tag int")
+    return _with_texts(docs, nodes).mapInArrow(run, "sig long, node long, n int, kind byte, tag long")
 
 
 def _sizes_fit(a, b):
@@ -340,8 +341,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # groups that still hold several components: each node probes with all but its most shared segments
     own = Window.partitionBy("node", "tag")
     rank = F.row_number().over(own.orderBy(F.desc("_c"), "sig"))
-    open_ = open_.withColumn("probe", rank > F.floor(F.col("tag") / 2000))
-    open_ = stored(open_.withColumn("dear", F.max(F.when(F.col("probe"), F.col("_c"))).over(own) > DEAR), "jaccard-open")
+    spare = F.floor(F.col("tag") / 2000)
+    open_ = open_.withColumn("probe", rank > spare)
+    cost = F.coalesce(F.max(F.when(F.col("probe"), F.col("_c"))).over(own), F.lit(0))
+    open_ = stored(open_.withColumn("dear", (cost > DEAR) | (spare >= FEW)), "jaccard-open")
     met = _met(open_.where("probe and not dear"), open_, "not (p.kind = 2 and q.kind = 2)")
 
     # nodes that would probe groups over DEAR (mostly frequent passages) meet by single shingles, least shared
