@@ -77,24 +77,54 @@ def test_sf_documents(spark):
 
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 6, 7, 9, 10, 14, 20, 25, 33, 60, 150, 700])
 def test_linked_sets_always_share_a_signature(size):
-    """Also without the rows that a set need not probe with, whichever they are."""
+    """Whichever rows a set leaves out, it finds its partner if it has enough
+    of them; two sets with too few share a row of their own."""
     rng = np.random.default_rng(size)
     pick = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)
+    few = 0
     for _ in range(300):
         common = pick(size)
         room = size // 3  # union at most 4/3 of the common part
         a, b = (lambda k: (rng.integers(0, k + 1), k))(rng.integers(0, room + 1))
         x, y = np.sort(np.concatenate([common, pick(a)])), np.sort(np.concatenate([common, pick(b - a)]))
         assert 100 * size >= 75 * (size + b)
+        larger = max(len(x), len(y))
+        scheme = next(k for k, (low, high, _) in enumerate(jaccard.bands(larger)) if low <= larger <= high)
         (sx, kx, tx), (sy, ky, ty) = jaccard.signatures(x), jaccard.signatures(y)
-        for probe, other, tag, kind in ((sx, sy, tx, kx), (sy, sx, ty, ky)):
-            shared = {}
-            for s, t in zip(probe[np.isin(probe, other)].tolist(), tag[np.isin(probe, other)].tolist()):
-                shared.setdefault(t % 2000, []).append(t // 2000)
-            if any(len(v) > v[0] for v in shared.values()):
-                break
-        else:
-            raise AssertionError((len(x), len(y)))
+        lacking = 0
+        for probe, other, tag in ((sx, sy, tx), (sy, sx, ty)):
+            own = tag % 2000 == scheme
+            spare = int(tag[own][0]) // 2000
+            if spare >= jaccard.FEW:
+                lacking += 1
+            else:
+                assert np.isin(probe[own], other).sum() > spare, (len(x), len(y))
+        if lacking == 2:
+            few += 1
+            both = [(k, j) for s, k, t in zip(sx.tolist(), kx.tolist(), tx.tolist()) for j in ky[sy == s].tolist() if t % 2000 in (scheme, scheme + 1000)]
+            assert any((k, j) != (2, 2) for k, j in both), (len(x), len(y))
+    assert few < 30
+
+
+@pytest.mark.parametrize("dear, turns", [(0, 1), (10**9, 1), (2, 2)])
+def test_each_way_of_meeting_is_complete(spark, monkeypatch, dear, turns):
+    """All sets by single shingles; all by segments; both mixed."""
+    monkeypatch.setattr(jaccard, "DEAR", dear)
+    monkeypatch.setattr(jaccard, "HUB_TURNS", turns)
+    r = random.Random(dear + turns)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    rows, passage = [], [word() for _ in range(40)]
+    for k in range(12):
+        base = [word() for _ in range(r.choice([8, 14, 30, 90, 200]))]
+        base = base[:4] + passage[: r.randrange(41)] + base[4:]
+        for j in range(r.choice([3, 12])):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = word()
+            rows.append((1000 * k + j, " ".join(w[: len(w) - r.randrange(len(w) // 4 + 1)])))
+    rows += [(50_000 + k, " ".join(r.choice("xy") for _ in range(r.randrange(1, 9)))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert Counter(collected(jaccard.join_components(df))) == brute(rows)
 
 
 def test_components_of_a_long_path(spark):
