@@ -207,6 +207,11 @@ class WordBpe:
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
+    def forget(self) -> None:
+        """Drop the caches: for texts that don't come again."""
+        self.prepare()
+        self.cache, self.words = {}, {}
+
     def encode(self, texts: list) -> list[np.ndarray]:
         return [np.frombuffer(b, "<u4") for b in self.encode_bytes(texts)]
 
