@@ -319,20 +319,26 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = stored(index(docs, nodes).withColumn("_c", F.count("*").over(w)).where("_c > 1").drop("_c"), "jaccard-shared")
     used = shared.select("node").distinct()
     sketches = stored(rows.select(F.col("_row").alias("node"), "counts").join(bounded(stored(used, "jaccard-used")), "node", "left_semi"), "jaccard-sketches")
-    rows_of, asked, comp, first_links = shared.withColumn("comp", F.col("node")), None, None, 0
-    for turn in range(HUB_TURNS):
-        open_ = stored(_with_hubs(rows_of, turn), "jaccard-open")
-        met = _hub_pairs(open_, 1 if turn == 0 else 4)
+    asked = comp = None
+
+    def compare(met: DataFrame) -> int:
+        """Verify pairs that weren't verified before; how many link."""
+        nonlocal asked, comp
         if asked is not None:
-            asked = bounded(asked)
-            met = met.join(asked, [F.least(met["a"], met["b"]) == asked["x"], F.greatest(met["a"], met["b"]) == asked["y"]], "left_anti")
+            seen = bounded(asked)
+            met = met.join(seen, [F.least(met["a"], met["b"]) == seen["x"], F.greatest(met["a"], met["b"]) == seen["y"]], "left_anti")
         near = stored(_near(met, sketches), "jaccard-near")
         linked = stored(verify(near, docs, nodes), "jaccard-edges")
         pairs = near.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
         asked = pairs if asked is None else asked.union(pairs)
         comp = _merged(comp, linked)
+        return linked.count()
+
+    rows_of, first_links = shared.withColumn("comp", F.col("node")), 0
+    for turn in range(HUB_TURNS):
+        open_ = stored(_with_hubs(rows_of, turn), "jaccard-open")
+        links = compare(_hub_pairs(open_, 1 if turn == 0 else 4))
         rows_of = _named(open_.drop("comp", "hub"), comp)
-        links = linked.count()
         first_links = first_links or links
         if 50 * links <= first_links:  # hubs find hardly anything new; the rest is listed below
             break
@@ -360,11 +366,15 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = single.withColumn("pos", F.when(F.col("up"), F.row_number().over(own.orderBy("_c", "sig")) + settled))
     single = stored(single, "jaccard-single")
     # a set lacks at most n - overlap of its shingles in a partner; overlap >= 3/7 of both sizes
-    near_enough = "struct(p.big, p.comp) < struct(q.big, q.comp) and p.pos <= p.n + 1 - floor((3 * (p.n + q.n) + 6) / 7)"
-    met = met.union(_met(single.where("pos <= n / 4 + 1"), single, near_enough)).distinct()
-    met = met.join(asked, [met["a"] == asked["x"], met["b"] == asked["y"]], "left_anti")
-    near = stored(_near(stored(met, "jaccard-met"), sketches), "jaccard-near")
-    comp = _merged(comp, stored(verify(near, docs, nodes), "jaccard-edges"))
+    w = Window.partitionBy("sig")
+    for turn in range(2):  # hubs once more, for those that would list pairs
+        now = _named(single.withColumnRenamed("comp", "was"), comp)
+        hub = F.max(F.struct("big", "was", F.xxhash64("node", "sig", F.lit(turn)).alias("x"), "node", "n", "comp")).over(w)
+        compare(_hub_pairs(now.withColumn("hub", hub).where("pos <= n + 1 - floor((3 * (n + hub.n) + 6) / 7)"), 8))
+    now = _named(single.withColumnRenamed("comp", "was"), comp)
+    near_enough = "struct(p.big, p.was) < struct(q.big, q.was) and p.pos <= p.n + 1 - floor((3 * (p.n + q.n) + 6) / 7)"
+    met = met.union(_met(now.where("pos <= n / 4 + 1"), now, near_enough)).distinct()
+    compare(stored(met, "jaccard-met"))
 
     named = _named(nodes, comp)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
