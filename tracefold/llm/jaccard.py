@@ -334,12 +334,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         comp = _merged(comp, linked)
         return linked.count()
 
-    rows_of = shared.withColumn("comp", F.col("node"))
+    rows_of, first_links = shared.withColumn("comp", F.col("node")), 0
     for turn in range(HUB_TURNS):
         open_ = stored(_with_hubs(rows_of, turn), "jaccard-open")
         links = compare(_hub_pairs(open_, 1 if turn == 0 else 4))
         rows_of = _named(open_.drop("comp", "hub"), comp)
-        if not links:
+        first_links = first_links or links
+        if 100 * links <= first_links:  # hubs find hardly anything new; the rest is listed below
             break
     open_ = _open(rows_of)
 
