@@ -233,6 +233,21 @@ def test_entities_recur_in_other_forms(sf):
     assert "2.0" not in found and pii.redact(t, every[0]).count("<PHONE>") == 3
 
 
+def skip_only():
+    """A model with no evidence but the skip edges'."""
+    model = pii.SkipChain()
+    model.pair[1] = 8 * np.eye(5) - 4
+    return model
+
+
+def test_entity_recurs_after_plain_words_only():
+    t = "call +15551234567 in the morning, otherwise 15551234567"
+    base, every = pii.find(pa.array([t]), skip_only())
+    assert [t[a:b] for a, _, b in base[0]] == ["+15551234567"]
+    assert [t[a:b] for a, k, b in every[0] if k == 3] == ["+15551234567", "15551234567"]
+    assert pii.Graph(pa.array(["15551234567 15551234567"])).links.tolist() == [[0, 1, 0]]  # adjacent words have their chain edge only
+
+
 def test_redaction_keeps_other_columns(docs, none):
     out = {(r["doc_id"], r["spans"]): r for r in pii.redact_documents(docs).collect() if r["doc_id"] not in (None, 12)}
     assert pii.redact_documents(docs).schema == docs.schema

@@ -148,7 +148,7 @@ class Graph:
             if me and self.word[-1] == v - 1 and self.doc[-1] == d:
                 links.append((me - 1, me, 0))
             if key := word_key(w):
-                if (d, key) in seen and seen[d, key] != me - 1:
+                if (d, key) in seen and self.word[seen[d, key]] != v - 1:
                     links.append((seen[d, key], me, 1))
                 seen[d, key] = me
             lead = len(w) - len(w.lstrip(_OUTER.replace("(", "") if ")" in w else _OUTER))
