@@ -248,6 +248,26 @@ def test_entity_recurs_after_plain_words_only():
     assert pii.Graph(pa.array(["15551234567 15551234567"])).links.tolist() == [[0, 1, 0]]  # adjacent words have their chain edge only
 
 
+@pytest.mark.parametrize("t, found", [
+    ("at +44 20 7946 0958 by day, else 020 7946 0958 always", "020 7946 0958"),
+    ("at +1 (434) 555-2368 by day, else 434 555 2368, always", "434 555 2368"),
+    ("at +1 434 555 2368 by day, else 4345552368. Always", "4345552368"),
+    ("at +14345552368 by day, else 555 2368 always", "555 2368"),
+    ("at +14345552368 by day, else 434 555 2368 2023 times", "434 555 2368"),
+    ("at +14345552368 by day, else 434 555 2369 always", None),
+    ("paid by 4111 1111 1111 1111 and, as before, with 4111.1111 1111.1111 or so", "4111.1111 1111.1111"),
+])
+def test_numbers_in_groups_recur(t, found):
+    base, every = pii.find(pa.array([t]), skip_only())
+    assert len(base[0]) == 1
+    assert [t[a:b] for a, _, b in every[0][1:]] == ([found] if found else [])
+
+
+def test_skip_edges_of_numbers_are_few():
+    t = "1 22 333 " * 2000 + "0000000 " * 2000 + "1" * 20_000
+    assert len(pii.Graph(pa.array([t, None, t])).links) < 2 * 20 * 8001
+
+
 def test_redaction_keeps_other_columns(docs, none):
     out = {(r["doc_id"], r["spans"]): r for r in pii.redact_documents(docs).collect() if r["doc_id"] not in (None, 12)}
     assert pii.redact_documents(docs).schema == docs.schema

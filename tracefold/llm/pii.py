@@ -3,8 +3,11 @@
 The variables of a document are its words with a digit, ``@`` or ``+``; all
 others carry no evidence and are outside.  A word inside a base span is
 clamped to that kind.  Neighbouring words are joined by chain edges, and
-each word to the next distant one with the same key (its digits, or its
-letters without outer punctuation) by a skip edge.  Loopy sum-product
+distant ones that may name the same entity by skip edges: words with letters
+to the next one that is equal without outer punctuation, numbers to the next
+number with which they share their last SHORTEST digits or more.  A number is
+written in one word or in adjacent ones; the words are joined that hold the
+same of the shared digits.  Loopy sum-product
 message passing over the whole graph then gives every word a kind, so an
 entity that a pattern catches once is labelled wherever it recurs in the
 document, also in a form that the patterns miss.  Words labelled with a kind
@@ -40,6 +43,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
+_NUMBER = re.compile(r"[+().-]*[0-9][0-9+().-]*")
+#: Digits of a number at least; more than any kind has are not looked at.
+SHORTEST, LONGEST = 7, 19
 
 
 def _emails(text: str):
@@ -92,6 +98,7 @@ def show(spans) -> str:
 # -- the graph ---------------------------------------------------------------
 _CLUE = np.zeros(256, bool)
 _CLUE[[*range(48, 58), 64, 43]] = True
+_STOPS = ",;:!?."
 _OUTER = " \t\"'`()[]{}<>,;:!?."
 N_FEATURES = 40
 
@@ -110,12 +117,61 @@ def word_features(w: str, prev: str, nxt: str) -> list[int]:
 
 
 def word_key(w: str) -> str:
-    """What distant words must share to be linked; '' for none."""
+    """What distant words must share to be linked, if they are not numbers;
+    '' for none."""
     core = w.strip(_OUTER).lower()
-    digits = "".join(c for c in core if c.isdigit() and c.isascii())
-    if len(digits) >= 7 and not any(c.isalpha() for c in core):
-        return digits
-    return core if len(core) >= 6 and (len(digits) >= 4 or "@" in core) else ""
+    digits = sum(c.isdigit() and c.isascii() for c in core)
+    return core if len(core) >= 6 and (digits >= 4 or "@" in core) else ""
+
+
+def number(w: str) -> str:
+    """The digits of a word that is a number or a part of one; else ''."""
+    return _NO_DIGIT.sub("", w) if _NUMBER.fullmatch(w.strip(_OUTER)) else ""
+
+
+class Numbers:
+    """The numbers of one document, and the skip edges between them.
+
+    A number may end at any word of a run of adjacent number words and begin
+    at any earlier one, so each word's last digits, back to the run's begin,
+    are looked up, the longest first.  Digits beyond LONGEST don't count."""
+
+    def __init__(self):
+        self.seen: dict[str, list] = {}
+        self.run: list[tuple[int, int]] = []   # (variable, digits in it), no more than LONGEST digits
+        self.digits = ""
+        self.wait: list[tuple[int, list, str]] = []
+
+    def stop(self) -> None:
+        """The run ends; what it names can recur from now on."""
+        self._settle(None)
+        self.run, self.digits = [], ""
+
+    def _settle(self, before: int | None) -> None:
+        """Numbers that end before this variable can be met."""
+        while self.wait and (before is None or self.wait[0][0] < before):
+            _, owner, digits = self.wait.pop(0)
+            for n in range(SHORTEST, len(digits) + 1):
+                self.seen[digits[-n:]] = owner
+
+    def add(self, me: int, digits: str) -> set[tuple[int, int]]:
+        """Pairs of variables with the same digits, this word being the last."""
+        self.digits = (self.digits + digits)[-LONGEST:]
+        self.run.append((me, min(len(digits), LONGEST)))
+        over = sum(n for _, n in self.run) - LONGEST
+        while over > 0:
+            v, n = self.run[0]
+            self.run[:1] = [(v, n - over)] if n > over else []
+            over -= n
+        if len(self.digits) < SHORTEST:
+            return set()
+        owner = [v for v, n in reversed(self.run) for _ in range(n)]   # of the last digit, of the one before ...
+        self._settle(owner[SHORTEST - 1])
+        self.wait.append((me, owner, self.digits))
+        for n in range(len(self.digits), SHORTEST - 1, -1):
+            if past := self.seen.get(self.digits[-n:]):
+                return {(i, j) for i, j in zip(past[:n], owner[:n]) if i < owner[n - 1]}
+        return set()
 
 
 class Graph:
@@ -132,25 +188,36 @@ class Graph:
         links: list[tuple[int, int, int]] = []
         points = np.concatenate([[0], np.cumsum(code_points(buf), dtype=np.int64)]) if len(var) else None
         seen: dict[tuple[int, str], int] = {}
+        skips: set[tuple[int, int]] = set()
+        numbers, within, open_ = Numbers(), None, False
         raw = buf.tobytes() if len(var) else b""
         word = lambda k: raw[starts[k]: ends[k]].decode("utf-8", "replace")
         for v, d in zip(var.tolist(), doc.tolist()):
             if d not in self.bases:
                 self.bases[d] = base_spans(texts[d].as_py())
-                base, at = self.bases[d], 0
+                base, numbers = self.bases[d], Numbers()
             first = points[off[d]]
             a, b = int(points[starts[v]] - first), int(points[ends[v]] - first)
-            hit = [k for s, k, e in base if s < b and a < e] if base else []
+            over = [x for x in base if x[0] < b and a < x[2]] if base else []
+            hit = [k for _, k, _ in over]
             w = word(v)
             prev = word(v - 1) if v > woff[d] else ""
             nxt = word(v + 1) if v + 1 < woff[d + 1] else ""
             me = len(self.doc)
-            if me and self.word[-1] == v - 1 and self.doc[-1] == d:
+            adjacent = me > 0 and self.word[-1] == v - 1 and self.doc[-1] == d
+            if adjacent:
                 links.append((me - 1, me, 0))
-            if key := word_key(w):
+            entity = next((x for x in over if x[1] >= KINDS.index("card")), None)
+            digits = _NO_DIGIT.sub("", w[max(entity[0] - a, 0): entity[2] - a]) if entity else number(w)
+            if not (digits and open_ and entity == within and adjacent):
+                numbers.stop()
+            if digits:
+                skips |= numbers.add(me, digits)
+            elif key := word_key(w):
                 if (d, key) in seen and self.word[seen[d, key]] != v - 1:
                     links.append((seen[d, key], me, 1))
                 seen[d, key] = me
+            open_, within = bool(digits) and (entity is not None or w[-1] not in _STOPS), entity
             lead = len(w) - len(w.lstrip(_OUTER.replace("(", "") if ")" in w else _OUTER))
             tail = len(w) - len(w.rstrip(_OUTER))
             self.doc.append(d)
@@ -159,6 +226,7 @@ class Graph:
             self.end.append(b - min(tail, b - a))
             self.label.append(1 + hit[0] if hit else 0)
             self.features.append(word_features(w, prev, nxt))
+        links += [(i, j, 1) for i, j in sorted(skips) if self.word[i] != self.word[j] - 1]
         self.links = np.array(links, np.int64).reshape(-1, 3)
         self.label = np.array(self.label, np.int64)
 
