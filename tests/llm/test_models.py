@@ -125,6 +125,22 @@ def test_each_token_is_scored_once(n):
     assert np.allclose(m.score(np.concatenate([x, x]), np.array([0, n, 2 * n])), [total, total], rtol=1e-4)
 
 
+def test_eight_ids_before_each():
+    m, n = small_model(), 120
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x = np.random.default_rng(0).integers(0, 51, n)
+
+    def last(x, k):
+        return float(np.diff(m.score(np.concatenate([x[:k], x[: k + 1]]), np.array([0, k, 2 * k + 1])))[0])
+
+    for k in range(9, n):
+        other = x.copy()
+        other[k - 8] = (x[k - 8] + 1) % 50
+        # the id eight before k, also where k is the first that its window scores
+        before = [last(x, k), last(other, k)]
+        assert abs(before[0] - before[1]) > 1e-9, k
+
+
 def test_gradients():
     m = small_model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
