@@ -141,6 +141,39 @@ def test_eight_ids_before_each():
         assert abs(before[0] - before[1]) > 1e-9, k
 
 
+def encoded(spark, texts, size):
+    rows = [(i, fold(i, 7) == 2, bytearray(np.array([*t, size], lm.id_type(size)).tobytes())) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary").repartition(3)
+
+
+def test_neighbours_of_all_training_documents(spark):
+    rng, size = np.random.default_rng(0), 9_500
+    texts = [np.stack([rng.permutation(size)[:400], rng.integers(0, 300, 400)], 1).ravel() for _ in range(200)]
+    want = np.zeros((size, 2 * lm.HEADS))
+    for i, t in enumerate(texts):
+        if fold(i, 7) != 2:
+            for a, b in zip(t.tolist(), t[1:].tolist()):
+                if b < lm.HEADS:
+                    want[a, b] += 1
+                if a < lm.HEADS:
+                    want[b, lm.HEADS + a] += 1
+    got = lm.neighbours(encoded(spark, texts, size), np.arange(lm.HEADS), size)
+    assert (got == want).all()
+    of = lm.cluster(np.ones(size + 1), got)
+    assert ((of == lm.CLASSES - 1) == np.append(want.sum(1) == 0, True)).all()  # rare ids and ids beyond 8,000 have a class, too
+    assert (of < lm.CLASSES - 1).sum() > 8_000
+
+
+def test_training_grows_with_the_corpus(spark):
+    m, rng = small_model(), np.random.default_rng(0)
+    few = [rng.integers(0, 50, 3_200) for _ in range(20)]
+    used = [lm.changes(encoded(spark, t, 50), m)[-52:].sum() for t in (few, few * 5)]
+    assert used[0] > 0 and 3 < used[1] / used[0] < 7
+    before = m.p["emb"].copy()
+    m.take(lm.changes(encoded(spark, few, 50), m))
+    assert (m.p["emb"] != before).any() and np.abs(m.p["emb"] - before).max() < 0.2
+
+
 def test_gradients():
     m = small_model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
