@@ -312,6 +312,11 @@ def test_numbers_in_groups_recur(t, found):
     assert [t[a:b] for a, _, b in every[0][1:]] == ([found] if found else [])
 
 
+def test_equal_short_numbers_recur():
+    t = "from 10.0.0.1 here, and 12-3456 there, from 10.0.0.1 or 12-3456 and a@b.cd or a@b.cd"
+    assert sorted(pii.Graph(pa.array([t])).links.tolist()) == [[0, 2, 1], [1, 3, 1], [4, 5, 1]]
+
+
 def test_skip_edges_of_numbers_are_few():
     t = "1 22 333 " * 2000 + "0000000 " * 2000 + "1" * 20_000
     assert len(pii.Graph(pa.array([t, None, t])).links) < 2 * 20 * 8001

@@ -5,7 +5,8 @@ others carry no evidence and are outside.  A word inside a base span is
 clamped to that kind.  Neighbouring words are joined by chain edges, and
 distant ones that may name the same entity by skip edges: words with letters
 to the next one that is equal without outer punctuation, numbers to the next
-number with which they share their last SHORTEST digits or more.  A number is
+number with which they share their last SHORTEST digits or more (shorter
+ones to the next equal one).  A number is
 written in one word or in adjacent ones; the words are joined that hold the
 same of the shared digits.  Loopy sum-product
 message passing over the whole graph then gives every word a kind, so an
@@ -117,8 +118,8 @@ def word_features(w: str, prev: str, nxt: str) -> list[int]:
 
 
 def word_key(w: str) -> str:
-    """What distant words must share to be linked, if they are not numbers;
-    '' for none."""
+    """What distant words must share to be linked, if they are not numbers
+    of SHORTEST digits; '' for none."""
     core = w.strip(_OUTER).lower()
     digits = sum(c.isdigit() and c.isascii() for c in core)
     return core if len(core) >= 6 and (digits >= 4 or "@" in core) else ""
@@ -213,9 +214,9 @@ class Graph:
                 numbers.stop()
             if digits:
                 skips |= numbers.add(me, digits)
-            elif key := word_key(w):
-                if (d, key) in seen and self.word[seen[d, key]] != v - 1:
-                    links.append((seen[d, key], me, 1))
+            if len(digits) < SHORTEST and (key := word_key(w)):
+                if (d, key) in seen:
+                    skips.add((seen[d, key], me))
                 seen[d, key] = me
             open_, within = bool(digits) and (entity is not None or w[-1] not in _STOPS), entity
             lead = len(w) - len(w.lstrip(_OUTER.replace("(", "") if ")" in w else _OUTER))
