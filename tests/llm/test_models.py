@@ -322,6 +322,21 @@ def test_skip_edges_of_numbers_are_few():
     assert len(pii.Graph(pa.array([t, None, t])).links) < 2 * 20 * 8001
 
 
+def test_rare_pairs_count_wherever_they_are(spark):
+    plain = spark.range(20_000).selectExpr("id doc_id", "'room ' || id % 90 text")
+    rare = spark.range(20_000, 20_030).selectExpr("id doc_id", "'from 10.0.0.1 here, and from 10.0.0.1 there' text")
+    seen = []
+
+    def fit(self, x, y, pairs, **how):
+        seen.append((int(x[:, -1].sum()), pairs.tolist()))
+        return self
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pii.SkipChain, "fit", fit)
+        pii.train(plain.union(rare))
+    assert seen == [(20_060, [[1, 2, 2, 30]])]
+
+
 def test_redaction_keeps_other_columns(docs, none):
     out = {(r["doc_id"], r["spans"]): r for r in pii.redact_documents(docs).collect() if r["doc_id"] not in (None, 12)}
     assert pii.redact_documents(docs).schema == docs.schema

@@ -15,8 +15,8 @@ document, also in a form that the patterns miss.  Words labelled with a kind
 outside base spans become added spans.
 
 Unary weights are a multinomial logistic model, and the two pair tables are
-smoothed co-occurrence ratios; both are fitted on a bounded sample of
-documents (SAMPLE, by hash) whose labels are the base spans.
+smoothed co-occurrence ratios; both are fitted on counts over all documents,
+whose labels are the base spans.
 
 Defined results: a null or empty text has no span (the digest of the empty
 string); rows repeat as they come; an empty table gives no rows.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,6 @@ from pyspark.sql import functions as F
 from tracefold.llm import flat as fl
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 8_000
 ROUNDS = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -323,31 +323,28 @@ def find(texts: pa.Array, model: SkipChain) -> tuple[list, list]:
     return base, every
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> SkipChain:
-    """Fit on about ``sample`` documents.  Tasks send counts of distinct
-    feature rows and label pairs, not texts."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) < round(share * 1_000_000))
-
+def train(docs: DataFrame) -> SkipChain:
+    """Fit on all documents.  Tasks send counts of distinct feature rows and
+    label pairs, not texts."""
     def run(batches):
         for b in fl.slices(batches):
             g = Graph(b.column("text"))
-            keys = ["u:" + " ".join(map(str, f)) + f":{y}" for f, y in zip(g.features, g.label.tolist())]
-            keys += [f"p:{t} {g.label[i]} {g.label[j]}:0" for i, j, t in g.links.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
+            keys = Counter("u:" + " ".join(map(str, f)) + f":{y}" for f, y in zip(g.features, g.label.tolist()))
+            keys.update(f"p:{t} {g.label[i]} {g.label[j]}:0" for i, j, t in g.links.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys.keys(), pa.string()), pa.array(keys.values(), pa.int64())], ["key", "n"])
 
-    rows = chosen.mapInArrow(run, "key string").groupBy("key").count().collect()  # distinct small feature sets
+    rows = docs.select("text").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # distinct small feature sets
     x, y, pairs = [], [], []
     for r in sorted(rows, key=lambda r: r["key"]):
         kind, what, label = r["key"].split(":")
         if kind == "u":
             row = np.zeros(N_FEATURES + 1)
             row[list(map(int, what.split()))] = 1
-            row[-1] = r["count"]
+            row[-1] = r["n"]
             x.append(row)
             y.append(int(label))
         else:
-            pairs.append([*map(int, what.split()), r["count"]])
+            pairs.append([*map(int, what.split()), r["n"]])
     return SkipChain().fit(np.array(x).reshape(-1, N_FEATURES + 1), np.array(y, np.int64), np.array(pairs, np.int64).reshape(-1, 4))
 
 
