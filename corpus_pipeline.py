@@ -38,9 +38,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: a row per piece with its place."""
+    """Token sequences: a row per piece with its place and its ids."""
     ship_package(spark)
-    return packing.pack(docs, ids=False)
+    return packing.pack(docs)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates),

@@ -51,3 +51,11 @@ def any_rule(text) -> bool:
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_sequences_have_their_ids(spark):
+    docs = spark.createDataFrame([(1, "some words to pack, write to <EMAIL>"), (2, None)], "doc_id long, text string")
+    enc = bpe.WordBpe(open(bpe.default_vocabulary(), encoding="utf-8").read())
+    rows = {r["doc_id"]: r for r in corpus_pipeline.pack(spark, docs, MID).collect()}
+    want = dict(zip((1, 2), enc.encode(["some words to pack, write to <EMAIL>", ""])))
+    assert all(rows[i]["ids"][:-1] == list(x) and len(rows[i]["ids"]) == rows[i]["length"] for i, x in want.items())
