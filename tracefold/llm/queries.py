@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import ann, bpe, jaccard, langid, lm, packing, pii, quality, rules, sharding
+from tracefold.llm import ann, bpe, jaccard, kmeans, langid, lm, packing, pii, quality, rules, sharding
 from tracefold.llm.common import table
 
 #: One shard is one fetch of a streaming reader.
@@ -53,7 +53,11 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_bpe, op3_jaccard_join, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_packing, op8_pii,
-    op9_quality_rules, op10_vector_search)}
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE}
+    op9_quality_rules, op10_vector_search, op13_centroid_clustering)}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE, "op13_centroid_clustering": kmeans.oracle()}
