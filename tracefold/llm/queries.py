@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import ann, bpe, jaccard, kmeans, langid, lm, packing, pii, quality, rules, sharding, toxicity
+from tracefold.llm import ann, bpe, jaccard, kmeans, langid, lm, packing, pii, quality, rules, sharding, toxicity, trie
 from tracefold.llm.common import table
 
 #: One shard is one fetch of a streaming reader.
@@ -53,6 +53,10 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,5 +67,5 @@ def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_sharding, op2_bpe, op3_jaccard_join, op4_quality_classifier, op5_lm_scoring, op6_language_id, op7_packing, op8_pii,
-    op9_quality_rules, op10_vector_search, op12_toxicity, op13_centroid_clustering)}
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE, "op13_centroid_clustering": kmeans.oracle()}
+    op9_quality_rules, op10_vector_search, op11_prefix_trie, op12_toxicity, op13_centroid_clustering)}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(SHARD_BYTES), "op9_quality_rules": rules.ORACLE, "op11_prefix_trie": trie.ORACLE, "op13_centroid_clustering": kmeans.oracle()}
