@@ -1,6 +1,7 @@
 """BPE and packing against the tokenizers library."""
 
 import hashlib
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,6 +55,24 @@ def test_any_text(own, library, items):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("before", [":", "a", "q\u0301"])
+def test_every_code_point(own, library, before):
+    """Letters, numbers, lower-casing and composition of all of Unicode."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    lines = [" ".join(before + c for c in points[k: k + 4096]) for k in range(0, len(points), 4096)]
+    for line, ids, want in zip(lines, own.encode(lines), library.encode_batch(lines, add_special_tokens=False)):
+        if ids.tolist() != want.ids:
+            bad = [hex(ord(w[-1])) for w in line.split(" ") if w and own.encode([w])[0].tolist() != library.encode(w, add_special_tokens=False).ids]
+            pytest.fail(f"{before!r} before {bad[:20]}")
+
+
+def test_every_mark_in_order(own, library):
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)) or unicodedata.category(chr(c)) in ("Mn", "Mc")]
+    items = [s for c in marks for s in ("q" + c + "\u0323\u0301", "q\u0345" + c + "\u0334", "\U00011935" + c, "\u1100\u1161" + c)]
+    for s, ids, want in zip(items, own.encode(items), library.encode_batch(items, add_special_tokens=False)):
+        assert ids.tolist() == want.ids, ascii(s)
+
+
 def test_full_caches_start_anew(own, library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_PIECES", 3)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)

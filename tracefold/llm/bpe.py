@@ -37,6 +37,62 @@ _MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 #: Unicode White_Space.
 _PIECES = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
+# Where the library's Unicode tables differ from Python 3.13's.  Its
+# letters and numbers are those of Unicode 16, its lower-casing that of Unicode 17,
+# its composition knows none of the marks in NO_MARK (they stay where they are).
+LETTERS_16 = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E
+11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"""
+NUMBERS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+LOWER_17 = """1C89>1C8A A7CB>264 A7CC>A7CD A7CE>A7CF A7D2>A7D3 A7D4>A7D5 A7DA>A7DB A7DC>19B 10D50-10D65>10D70 16EA0-16EB8>16EBB"""
+NO_MARK = """7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50
+10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42
+16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"""
+
+
+def points(table: str) -> list[int]:
+    """Code points of a table of hexadecimal ranges."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in table.split()]
+    return [c for r in ends for c in range(r[0], r[-1] + 1)]
+
+
+def lower_map() -> dict[int, int]:
+    out = {}
+    for r in LOWER_17.split():
+        source, target = r.split(">")
+        out.update({c: int(target, 16) + k for k, c in enumerate(points(source))})
+    return out
+
+
+def stand_ins() -> dict[int, str]:
+    """For each code point whose class the pattern engine sees otherwise than
+    the library does: a character that both see in the library's class."""
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    engine = {"L": set(regex.findall(r"\p{L}", text)), "N": set(regex.findall(r"\p{N}", text))}
+    library: dict[str, set] = {"L": set(map(chr, points(LETTERS_16))), "N": set(map(chr, points(NUMBERS_16)))}
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind in library:
+            library[kind].add(c)
+    wrong = (engine["L"] ^ library["L"]) | (engine["N"] ^ library["N"])
+    return {ord(c): "\u00aa" if c in library["L"] else "\u00b2" if c in library["N"] else "\u00a4" for c in wrong}
+
+
+_YOUNG = re.compile("([" + "".join(map(chr, points(NO_MARK))) + "])")
+_LOWER = lower_map()
+
+
+def compose(text: str) -> str:
+    """NFC as the library does it."""
+    if text.isascii() or not _YOUNG.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", x) for x in _YOUNG.split(text))
+
+
+def lower(text: str) -> str:
+    """Lower-casing without regard to context, as the library does it."""
+    low = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+    return low if low.isascii() else low.translate(_LOWER)
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -84,11 +140,12 @@ class WordBpe:
         self.ready = False
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "words", "find", "marks")} | {"ready": False}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cache", "words", "find", "spans", "odd", "marks")} | {"ready": False}
 
     def prepare(self) -> None:
         if not self.ready:
-            self.find = regex.compile(self.split).findall
+            pattern = regex.compile(self.split)
+            self.find, self.spans, self.odd = pattern.findall, pattern.finditer, stand_ins()
             self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
             self.cache: dict[str, bytes] = {}
             self.words: dict[str, bytes] = {}
@@ -154,9 +211,12 @@ class WordBpe:
             if k % 2:
                 out.append(self.special[part])
             elif part:
-                part = unicodedata.normalize("NFC", part)
-                low = part.lower() if "Σ" not in part else "".join(map(str.lower, part))
-                out += [low] if low.isalpha() else self.find(low)
+                low = lower(compose(part))
+                if low.isalpha():
+                    out.append(low)
+                    continue
+                seen = low if low.isascii() else low.translate(self.odd)
+                out += self.find(low) if seen == low else [low[m.start(): m.end()] for m in self.spans(seen)]
         return out
 
     def learn(self, pieces) -> None:
