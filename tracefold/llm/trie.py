@@ -225,13 +225,13 @@ path AS (
 pre AS (
   SELECT c, d, length(text) AS chars, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS key FROM path
   UNION ALL SELECT c, 0, 0, '' FROM k),
-at AS (SELECT c, d, chars, min(c) OVER (PARTITION BY d, key) AS id, max(d) OVER (PARTITION BY c) AS len FROM pre),
-node AS (SELECT id, d, count(*) AS n, any_value(chars) AS chars, string_agg(CASE WHEN len = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM at GROUP BY id, d),
-up AS (SELECT node.*, a.id AS parent FROM node LEFT JOIN at a ON a.c = node.id AND a.d = node.d - 1),
+named AS (SELECT c, d, chars, min(c) OVER (PARTITION BY d, key) AS id, max(d) OVER (PARTITION BY c) AS len FROM pre),
+node AS (SELECT id, d, count(*) AS n, any_value(chars) AS chars, string_agg(CASE WHEN len = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends FROM named GROUP BY id, d),
+up AS (SELECT node.*, a.id AS parent FROM node LEFT JOIN named a ON a.c = node.id AND a.d = node.d - 1),
 kids AS (SELECT parent AS id, d - 1 AS d, count(*) AS kids FROM up WHERE d > 0 GROUP BY ALL),
 own AS (SELECT up.*, coalesce(kids, 0) AS kids FROM up LEFT JOIN kids USING (id, d)),
 total AS (SELECT a.id, a.d, sum(CASE WHEN o.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((o.n - 1) * o.chars) AS saved
-          FROM own o JOIN at a ON a.c = o.id AND a.d <= o.d GROUP BY a.id, a.d)
+          FROM own o JOIN named a ON a.c = o.id AND a.d <= o.d GROUP BY a.id, a.d)
 SELECT o.id AS conv_id, CAST(o.d AS BIGINT) AS depth, o.parent AS parent_conv_id, o.n AS n_convs, CAST(o.kids AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
        CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
 FROM own o JOIN total USING (id, d)"""
