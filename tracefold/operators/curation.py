@@ -10,9 +10,10 @@ from tracefold.operators.nullsafe import join_same
 
 
 def exclude_known_inputs(new: DataFrame, registry: DataFrame, key: str = "input") -> DataFrame:
-    """Drop rows whose key is in the registry (left-anti join; the
-    registry side is de-duplicated first so the join input is small)."""
-    return new.join(registry.select(key).distinct(), on=key, how="left_anti")
+    """Drop rows whose key is in the registry (a null key is a key like any
+    other).  Only the keys' SHA-256 meet, so registered texts never move."""
+    digest = F.sha2(F.col(key).cast("string"), 256).alias("_k")
+    return join_same(new.select("*", digest), registry.select(digest).distinct(), ["_k"], "left_anti").drop("_k")
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:

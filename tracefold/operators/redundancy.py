@@ -2,18 +2,19 @@
 threshold from repeat runs, variant-vs-reference and context comparison.
 
 Everything is joins, aggregates and array expressions; the only Python
-is the indel similarity, which always sees code-filtered, capped text.
+is the indel similarity, which sees whole, code-filtered text.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.similarity import indel_similarity
 from tracefold.functions.text import CONTEXT_KEYS, normalise_output, strip_dynamic_env
+from tracefold.operators.nullsafe import join_same
 
 Similarity = Callable[[Column, Column], Column]
 
@@ -32,10 +33,58 @@ def leave_one_out(df: DataFrame, args_col: str = "args", out: str = "variant",
                                         F.slice(args, p + 2, n - p - 1))))
 
 
+def sequence_parts(commands: Column) -> tuple[Column, Column]:
+    """(digest of the earlier commands, tokens of the last one) of a command
+    sequence: an array of whitespace-normalised, non-empty commands."""
+    n = F.size(commands)
+    earlier = F.sha2(F.array_join(F.slice(commands, F.lit(1), n - 1), " ; "), 256)
+    return F.when(n >= 1, earlier), F.when(n >= 1, F.split(F.try_element_at(commands, F.lit(-1)), " "))
+
+
+#: Two seeds make 128 bits.
+_SEEDS = (1, 2)
+
+
+def _token_hash(index: Column, token: Column, seed: int) -> Column:
+    return F.xxhash64(index.cast("int"), token, F.lit(seed))
+
+
+def _key(earlier: Column, n: Column, marks: list[Column]) -> Column:
+    return F.concat_ws(":", earlier, n.cast("string"), *[F.hex(m) for m in marks])
+
+
+def sequence_key(earlier: str, args: str) -> Column:
+    """Memo key of a whole sequence: earlier commands, token count and the
+    xor of the last command's (place, token) hashes."""
+    a = F.col(args)
+    marks = [F.aggregate(F.transform(a, lambda x, i: _token_hash(i, x, s)), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(x)) for s in _SEEDS]
+    return F.when(a.isNotNull(), _key(F.col(earlier), F.size(a), marks))
+
+
+def variant_keys(df: DataFrame, row: str, earlier: str, args: str, pos: str = "dropped_pos", key: str = "key") -> DataFrame:
+    """(row, pos, key): the memo key of every leave-one-out variant, without
+    building the variant.  A variant keeps the tokens before ``pos`` in
+    their places and moves those after it one place down, so its key is the
+    running xor of the tokens' hashes in place before ``pos`` and of their
+    hashes one place down after it.  Equal to ``sequence_key`` of the
+    variant's tokens; a row costs one row per token."""
+    a = F.col(args)
+    n = F.size(a)
+    moved = [F.aggregate(F.transform(a, lambda x, i: _token_hash(i - 1, x, s)), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(x)) for s in _SEEDS]
+    rows = df.where(n >= 2).select(row, F.col(earlier).alias("_earlier"), n.alias("_n"), *[m.alias(f"_all{s}") for s, m in zip(_SEEDS, moved)], F.posexplode(a).alias(pos, "_token"))
+    before = Window.partitionBy(row).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    through = Window.partitionBy(row).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(row, pos, "_earlier", "_n", *[f"_all{s}" for s in _SEEDS],
+                       *[_token_hash(F.col(pos), F.col("_token"), s).alias(f"_here{s}") for s in _SEEDS],
+                       *[_token_hash(F.col(pos) - 1, F.col("_token"), s).alias(f"_down{s}") for s in _SEEDS])
+    marks = [F.coalesce(F.bit_xor(f"_here{s}").over(before), F.lit(0).cast("long")).bitwiseXOR(F.col(f"_all{s}")).bitwiseXOR(F.bit_xor(f"_down{s}").over(through)) for s in _SEEDS]
+    return rows.select(row, pos, _key(F.col("_earlier"), F.col("_n") - 1, marks).alias(key)).where(F.col(pos) >= 1)
+
+
 def pending_runs(variants: DataFrame, results: DataFrame, key: str = "key") -> DataFrame:
     """Variant keys not yet in the results memo: they still need a run."""
     todo = variants.select(key).distinct()
-    return todo.join(results.select(key), on=key, how="left_anti")
+    return join_same(todo, results.select(key), [key], "left_anti")
 
 
 def memo_lookup(requests: DataFrame, results: DataFrame, key: str, req_id: str,

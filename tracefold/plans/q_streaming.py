@@ -16,9 +16,11 @@ N_DROPS = 3
 
 def _drops(df, order: str):
     """Chunk rows into N_DROPS ordered drops by ``order`` (range of the
-    order value; only the maximum reaches the driver)."""
-    mx = df.agg(F.max(order)).first()[0] or 0
-    return [df.where(F.floor(F.col(order) * N_DROPS / (mx + 1)) == i) for i in range(N_DROPS)]
+    order value; only the maximum reaches the driver).  Negative orders come
+    with the first drop, null ones with the last."""
+    mx = max(df.agg(F.max(order)).first()[0] or 0, 0)
+    drop = F.coalesce(F.greatest(F.floor(F.col(order) * N_DROPS / (mx + 1)), F.lit(0)), F.lit(N_DROPS - 1))
+    return [df.where(drop == i) for i in range(N_DROPS)]
 
 
 def _run(spark, df, order, job):

@@ -8,6 +8,7 @@ from tracefold.functions import paths as P
 from tracefold.functions import text as T
 from tracefold.operators import actions as A
 from tracefold.operators import redundancy as R
+from tracefold.operators.nullsafe import join_same
 from tracefold.operators.sessions import cwd_track
 from tracefold.operators.trajectories import bounded_history
 from tracefold.plans import fixtures as V
@@ -281,88 +282,81 @@ def q_context_redundancy(spark, sf):
 
 # ------------------------------------------------------------------ variants and memo
 
-def _last_tokens():
-    last = F.element_at(F.split(F.col("input"), ";"), -1)
-    return A.words(last)
+def _sequences(spark, sf):
+    """(seq, earlier, args): each trace's whole command sequence as the
+    digest of its earlier commands and the tokens of its last one."""
+    flat = F.regexp_replace("input", f"{A.WS_CLASS}+", " ")
+    cmds = F.filter(F.transform(F.split(flat, ";"), lambda c: F.trim(c)), lambda c: c != "")
+    t = V.traces(spark, sf).select("seq", cmds.alias("_cmds"))
+    earlier, args = R.sequence_parts(F.col("_cmds"))
+    return t.select("seq", earlier.alias("earlier"), args.alias("args")).where("args is not null")
 
 
-S_LAST = S_WORDS("split_part(input, ';', -1)")
+_SQL_SEQUENCES = f"""
+SELECT seq, sha256(array_to_string(cmds[1:len(cmds) - 1], ' ; ')) AS earlier, string_split(cmds[-1], ' ') AS toks
+FROM (SELECT seq, list_filter(list_transform(string_split({S_COLLAPSE("input")}, ';'), lambda c: trim(c)), lambda c: c <> '') AS cmds FROM traces)
+WHERE len(cmds) >= 1"""
+_SQL_VARIANTS = """
+SELECT seq, pos AS dropped_pos, earlier, array_to_string(list_concat(toks[1:pos], toks[pos + 2:len(toks)]), ' ') AS key
+FROM (SELECT seq, earlier, toks, unnest(range(1, len(toks))) AS pos FROM seqs WHERE len(toks) >= 2)"""
+_SQL_WHOLE = "SELECT seq, 0 AS dropped_pos, earlier, array_to_string(toks, ' ') AS key FROM seqs"
 
 
-def _variants(spark, sf):
-    t = V.traces(spark, sf).select("seq", _last_tokens().alias("args"))
-    v = R.leave_one_out(t, "args")
-    return v.select("seq", "dropped_pos", F.array_join("variant", " ").alias("key"))
-
-
-_SQL_VARIANTS = f"""
-SELECT seq, pos AS dropped_pos, array_to_string(list_concat(toks[1:pos], toks[pos + 2:len(toks)]), ' ') AS key
-FROM (SELECT seq, toks, unnest(range(1, len(toks))) AS pos
-      FROM (SELECT seq, {S_LAST} AS toks FROM traces) WHERE len(toks) >= 2)"""
-
-
-@register("leave_one_out", V.with_views("SELECT seq, CAST(dropped_pos AS INTEGER) AS dropped_pos, key FROM v",
-                                        "traces", extra={"v": _SQL_VARIANTS}))
+@register("leave_one_out", V.with_views("SELECT seq, CAST(dropped_pos AS INTEGER) AS dropped_pos, earlier, key FROM v",
+                                        "traces", extra={"seqs": _SQL_SEQUENCES, "v": _SQL_VARIANTS}))
 def q_leave_one_out(spark, sf):
-    return _variants(spark, sf)
+    v = R.leave_one_out(_sequences(spark, sf), "args")
+    return v.select("seq", "dropped_pos", "earlier", F.array_join("variant", " ").alias("key"))
 
 
 def _memo(spark, sf):
-    """The memo of known runs: every trace is a stored run of its last
-    command (whitespace-normalised), under the command's hash."""
-    t = V.traces(spark, sf)
-    return t.select(_hash(F.array_join(_last_tokens(), " ")).alias("key"), F.col("seq").alias("run_no"))
-
-
-def _hash(key):
-    return F.sha2(key, 256)
-
-
-def _variant_keys(spark, sf):
-    """(seq, dropped_pos, key hash): the variants' texts are never shuffled."""
-    return _variants(spark, sf).select("seq", "dropped_pos", _hash(F.col("key")).alias("key"))
+    """The memo of known runs: every trace is a stored run of its whole
+    sequence."""
+    return _sequences(spark, sf).select(R.sequence_key("earlier", "args").alias("key"), F.col("seq").alias("run_no"))
 
 
 def _variant_text(found, spark, sf):
-    """Add the variant's text to rows with (seq, dropped_pos)."""
-    t = V.traces(spark, sf).select("seq", _last_tokens().alias("_args"))
-    p, n = F.col("dropped_pos"), F.size("_args")
-    text = F.array_join(F.concat(F.slice("_args", F.lit(1), p), F.slice("_args", p + 2, n - p - 1)), " ")
-    return found.join(t, "seq").withColumn("key", text).drop("_args")
-
-
-_SQL_MEMO = f"SELECT array_to_string({S_LAST}, ' ') AS key, seq AS run_no, md5(output) AS output_md5, exit_code FROM traces"
+    """Add the texts to rows with (seq, dropped_pos); 0: nothing dropped."""
+    p, n = F.col("dropped_pos"), F.size("args")
+    short = F.concat(F.slice("args", F.lit(1), p), F.slice("args", p + 2, n - p - 1))
+    text = F.array_join(F.when(p == 0, F.col("args")).otherwise(short), " ")
+    return found.join(_sequences(spark, sf), "seq").withColumn("key", text).drop("args")
 
 
 @register("pending_runs", V.with_views("""
-SELECT DISTINCT key FROM v WHERE key NOT IN (SELECT key FROM memo)""", "traces",
-                                       extra={"v": _SQL_VARIANTS, "memo": _SQL_MEMO}))
+SELECT DISTINCT earlier, key FROM v WHERE (earlier, key) NOT IN (SELECT (earlier, key) FROM memo)""", "traces",
+                                       extra={"seqs": _SQL_SEQUENCES, "v": _SQL_VARIANTS, "memo": _SQL_WHOLE}))
 def q_pending_runs(spark, sf):
-    first = _variant_keys(spark, sf).groupBy("key").agg(F.min(F.struct("seq", "dropped_pos")).alias("_v")).select("key", "_v.*")
-    todo = R.pending_runs(first, _memo(spark, sf), key="key")
-    return _variant_text(first.join(todo, "key").drop("key"), spark, sf).select("key")
+    v = R.variant_keys(_sequences(spark, sf), "seq", "earlier", "args")
+    first = v.groupBy("key").agg(F.min(F.struct("seq", "dropped_pos")).alias("_v")).select("key", "_v.*")
+    todo = join_same(first, _memo(spark, sf), ["key"], "left_anti")
+    return _variant_text(todo.select("seq", "dropped_pos"), spark, sf).select("earlier", "key")
 
 
 @register("memo_lookup", V.with_views("""
 SELECT req, key, arg_min(run_no, md5(concat_ws('|', '7', req, CAST(run_no AS VARCHAR)))) AS run_no
-FROM (SELECT v.seq || ':' || v.dropped_pos AS req, v.key, m.run_no FROM v JOIN mh m ON v.key = m.key)
-GROUP BY req, key""", "traces", extra={"v": _SQL_VARIANTS, "memo": _SQL_MEMO, "mh": """
-SELECT * FROM memo QUALIFY row_number() OVER (PARTITION BY key ORDER BY run_no DESC) <= 5"""}))
+FROM (SELECT v.seq || ':' || v.dropped_pos AS req, v.key, m.seq AS run_no
+      FROM (SELECT * FROM v UNION ALL SELECT * FROM whole) v JOIN mh m ON v.key = m.key AND v.earlier = m.earlier)
+GROUP BY req, key""", "traces", extra={"seqs": _SQL_SEQUENCES, "v": _SQL_VARIANTS, "whole": _SQL_WHOLE, "mh": """
+SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY earlier, key ORDER BY seq DESC) <= 5"""}))
 def q_memo_lookup(spark, sf):
-    req = F.concat_ws(":", F.col("seq").cast("string"), F.col("dropped_pos").cast("string"))
-    v = _variant_keys(spark, sf).withColumn("req", req)
-    memo = bounded_history(_memo(spark, sf), "key", "run_no", n=5)
-    m = R.memo_lookup(v.select("req", "key"), memo, key="key", req_id="req", seed=7).select("req", "run_no")
+    """Requests: every whole sequence and each of its variants."""
+    whole = _memo(spark, sf)
+    v = R.variant_keys(_sequences(spark, sf), "seq", "earlier", "args")
+    v = v.unionByName(whole.select(F.col("run_no").alias("seq"), F.lit(0).alias("dropped_pos"), "key"))
+    v = v.withColumn("req", F.concat_ws(":", F.col("seq").cast("string"), F.col("dropped_pos").cast("string")))
+    m = R.memo_lookup(v.select("req", "key"), bounded_history(whole, "key", "run_no", n=5), key="key", req_id="req", seed=7).select("req", "run_no")
     at = F.split("req", ":")
     m = m.withColumn("seq", at[0].cast("long")).withColumn("dropped_pos", at[1].cast("int"))
     return _variant_text(m, spark, sf).select("req", "key", "run_no")
 
 
-@register("exclude_known_inputs", V.with_views(f"""
-SELECT seq FROM traces WHERE array_to_string({S_LAST}, ' ') NOT IN
-  (SELECT array_to_string({S_WORDS("text")}, ' ') FROM benchmark)""", "traces"))
+@register("exclude_known_inputs", V.with_views("""
+SELECT seq FROM traces WHERE input IS NULL AND NOT EXISTS (SELECT 1 FROM traces t JOIN labels l ON t.seq = l.doc_id WHERE t.input IS NULL)
+UNION ALL SELECT seq FROM traces WHERE input NOT IN (SELECT t.input FROM traces t JOIN labels l ON t.seq = l.doc_id WHERE t.input IS NOT NULL)""", "traces"))
 def q_exclude_known(spark, sf):
+    """Known inputs: the whole inputs of the labelled traces."""
     from tracefold.operators.curation import exclude_known_inputs
-    t = V.traces(spark, sf).select("seq", F.array_join(_last_tokens(), " ").alias("key"))
-    b = table(spark, sf, "benchmark").select(F.array_join(A.words("text"), " ").alias("key"))
-    return exclude_known_inputs(t, b, "key").select("seq")
+    t = V.traces(spark, sf).select("seq", "input")
+    known = t.join(table(spark, sf, "labels").select(F.col("doc_id").alias("seq")), "seq", "left_semi")
+    return exclude_known_inputs(t, known).select("seq")

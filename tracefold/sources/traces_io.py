@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracefold.operators.nullsafe import join_same
+
 TRACE = T.StructType([
     T.StructField("input", T.StringType()), T.StructField("output", T.StringType()),
     T.StructField("output_len", T.IntegerType()), T.StructField("exit_code", T.IntegerType()),
@@ -84,9 +86,10 @@ def load_registry(spark: SparkSession, path: str, key: str | list[str] = "input"
 
 
 def save_registry(spark: SparkSession, new: DataFrame, path: str, key: str = "input") -> int:
-    """Append only keys not yet registered; returns how many were added."""
+    """Append only keys not yet registered (null is a key like any other);
+    returns how many were added."""
     known = load_registry(spark, path, key)
-    fresh = new.select(key).distinct().join(known, key, "left_anti")
+    fresh = join_same(new.select(key).distinct(), known, [key], "left_anti")
     fresh = fresh.persist()
     n = fresh.count()
     fresh.write.mode("append").parquet(path)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tracefold.operators.nullsafe import join_same
 from tracefold.operators.sessions import cwd_track
 from tracefold.sources.traces_io import load_registry
 
@@ -57,8 +58,9 @@ def _first_unseen_fn(order: str, cols: list[str]):
         for pdf in pdfs:
             if state.exists or pdf.empty:  # an emitted key is only drained
                 continue
-            row = pdf.loc[[pdf[order].idxmin()], cols]
-            if best is None or row[order].iloc[0] < best[order].iloc[0]:
+            row = pdf.sort_values(order, kind="stable", na_position="last").head(1)[cols]  # null orders come last
+            new, old = row[order].iloc[0], None if best is None else best[order].iloc[0]
+            if best is None or (not pd.isna(new) and (pd.isna(old) or new < old)):
                 best = row
         if best is not None:
             state.update((True,))
@@ -104,7 +106,7 @@ def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str,
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     cols = [f.name for f in schema.fields]
-    fresh = r.json(in_dir).join(known, key, "left_anti").groupBy(key).applyInPandasWithState(
+    fresh = join_same(r.json(in_dir), known, [key], "left_anti").groupBy(key).applyInPandasWithState(
         _first_unseen_fn(order, cols), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
     q = (fresh.writeStream.foreachBatch(lambda df, bid: flush_write(df, out_dir, registry, f"{tag}-{bid}", key))
               .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
