@@ -1,6 +1,7 @@
 """The n-gram Jaccard join against brute force."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,7 +9,8 @@ import pytest
 
 from tests.llm.conftest import MID, collected, texts
 from tests.llm.test_tables import WORD
-from tracefold.llm import jaccard
+from tracefold.llm import flat as fl
+from tracefold.llm import jaccard, lm, rules
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -154,3 +156,39 @@ def test_repeated_rows_and_missing_ids(spark):
 
 def test_empty_table(none):
     assert jaccard.join_components(none).count() == 0 and jaccard.keep_documents(none).count() == 0
+
+
+def thue_morse(a: str, b: str, n: int = 1024) -> str:
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_spans_with_patterned_bytes_do_not_collide():
+    rng = np.random.default_rng(8)
+    spans = {thue_morse("a", "b"), thue_morse("b", "a"), *("ab" * k for k in range(1, 60)), *("a" * k for k in range(1, 200)), *("\0" * k for k in range(1, 40))}
+    spans |= {"".join(rng.choice(list("xy"), 40)) for _ in range(3000)}
+    one, two = thue_morse("abcdefgh", "hgfedcba", 64), thue_morse("hgfedcba", "abcdefgh", 64)  # whole blocks in other places
+    spans = sorted(spans | {one, two})
+    raw = [t.encode() for t in spans]
+    ends = np.cumsum([len(r) for r in raw])
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    h = fl.span_hash(buf, ends - [len(r) for r in raw], ends)
+    assert len(np.unique(h)) == len(spans)
+    again = np.concatenate([fl.span_hash(np.frombuffer(b"..." + r + b"~", np.uint8), np.array([3]), np.array([3 + len(r)])) for r in raw])
+    assert (again == h).all()  # the same anywhere in a buffer
+    up = np.frombuffer(b"ABCZ[@abcz", np.uint8)
+    assert fl.span_hash(up, np.array([0]), np.array([4]), lower=True) == fl.span_hash(up, np.array([6]), np.array([10]))
+
+
+def test_patterned_words_and_lines_stay_apart(spark):
+    """Words that only a hash of patterned bytes could take for one."""
+    tail = " ".join(f"w{i}" for i in range(3))
+    one, two = (thue_morse(*x) for x in ("ab", "ba"))
+    rows = [(1, f"{one} {tail} {one}"), (2, f"{two} {tail} {two}"), (3, f"{one} {tail} {one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in jaccard.join_components(df).collect()} == {(1, 1), (2, 2), (3, 1)}
+    lines = spark.createDataFrame([(1, f"{one}\n{two}\n{one}")], "doc_id long, text string")
+    assert rules.signals(lines).first()["n_dup_lines"] == 1
+    scored = {r["doc_id"]: r["n_known"] for r in lm.score(df.where("doc_id < 3")).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in (1, 2)}
+    train = {w for i, t in rows[:2] if not held[i] for w in t.split(" ")}
+    assert scored == {i: 1 + sum(w in train for w in t.split(" ")) for i, t in rows[:2]}
