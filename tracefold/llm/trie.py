@@ -5,7 +5,8 @@ rows (conversation, position, turn hash) and never on whole conversations:
 
 * **Cut.**  Positions are cut into blocks, first one block of 2**k
   positions; a block's first half is an upper trie, its second half a
-  forest of lower tries.
+  forest of lower tries.  A row is worked on only at the steps whose cut its
+  conversation reaches, so a few long conversations cost the rest nothing.
 * **Name.**  The upper half of a conversation is fingerprinted by a grouped
   xor of positioned turn hashes; equal fingerprints under one block root
   are one cut prefix, named by its smallest conversation.
@@ -46,6 +47,7 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import stored
 from tracefold.operators.numbering import global_rank
+from tracefold.session import scratch_path
 
 #: Ids of one chunk row; heads of at most HEAD turns come from another conversation.
 IDS, HEAD, GROUP = 256, 6, 100
@@ -83,59 +85,78 @@ def _half(half: int) -> tuple[Column, Column]:
     return F.floor(at / (2 * half)).cast("long"), F.pmod(at, F.lit(2 * half))
 
 
+def _by_level(rows: DataFrame) -> DataFrame:
+    """Stored in folders by the step at which a sequence's first cut lies."""
+    spark, rows = rows.sparkSession, rows.withColumn("level", F.length(F.bin("length")) - 1)
+    path = scratch_path(spark, "trie-rows")
+    rows.write.partitionBy("level").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def build(paths: DataFrame, length: DataFrame, root: int) -> tuple[DataFrame, DataFrame, int]:
     """Nodes (conv_id, depth, parent, n_convs, chars) below the root, the ends
     (conv_id = the node's, depth, member) of all sequences, and the number of
     recursion steps.  ``paths``: (conv_id, pos from 1, t1, t2, chars)."""
-    last = paths.join(length, (paths["conv_id"] == length["conv_id"]) & (paths["pos"] == length["length"]), "left_semi")
-    start = lambda d, end: d.select("conv_id", "pos", "t1", "t2", "chars", F.lit(root).cast("long").alias("g"), F.lit(1).cast("long").alias("w"), F.lit(end).alias("end"))
-    rows = stored(start(paths, False).unionByName(start(last, True)), "trie-rows")
+    known = paths.join(length, "conv_id")
+    keep = lambda d, end: d.select("conv_id", "pos", "t1", "t2", "chars", "length", F.lit(root).cast("long").alias("g"), F.lit(1).cast("long").alias("w"),
+                                   F.col("length").alias("reach"), F.lit(end).alias("end"))
+    begin = _by_level(keep(known, False).unionByName(keep(known.where("pos = length"), True)))
     deepest = length.agg(F.max("length")).first()[0] or 0
-    steps = max(0, (deepest - 1).bit_length())
+    steps = deepest.bit_length()
     ends = length.where("length = 0").select(F.lit(root).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.col("conv_id").alias("member"))
+    rows = begin.drop("level").where("false")
     for step in range(steps - 1, -1, -1):
         half = 1 << step
+        rows = rows.unionByName(begin.where(F.col("level") == step).drop("level"))  # shorter sequences enter later
         block, at = _half(half)
         cut = rows.withColumn("block", block).withColumn("at", at)
+        full = F.col("length") >= (2 * F.col("block") + 1) * half
         mark = lambda seed: F.bit_xor(F.xxhash64("at", "t1", "t2", F.lit(seed)))
-        upper = (cut.where(~F.col("end") & (F.col("at") < half)).groupBy("conv_id", "block")
-                 .agg(mark(1).alias("f1"), mark(2).alias("f2"), F.count("*").alias("_n"), F.max("g").alias("g"), F.max("w").alias("w")).where(F.col("_n") == half))
-        classes = upper.groupBy("block", "g", "f1", "f2").agg(F.min("conv_id").alias("name"), F.sum("w").alias("total"))
-        named = upper.join(classes, ["block", "g", "f1", "f2"]).select("conv_id", "block", "name", "total")
-        met = stored(cut.join(named, ["conv_id", "block"], "left"), f"trie-cut-{half}")
-        below, known = F.col("at") >= half, F.col("name").isNotNull()
-        ends = ends.unionByName(met.where(F.col("end") & known & ~below).select(F.col("name").alias("conv_id"), F.col("pos").alias("depth"), F.col("conv_id").alias("member")))
-        rows = met.where(below | ~known | (~F.col("end") & (F.col("name") == F.col("conv_id")))).select(
-            "conv_id", "pos", "t1", "t2", "chars", F.when(below, F.col("name")).otherwise(F.col("g")).alias("g"),
-            F.when(known & ~below, F.col("total")).otherwise(F.col("w")).alias("w"), "end")
-    nodes = stored(rows.where(~F.col("end")).groupBy("pos", "g", "t1", "t2").agg(F.min("conv_id").alias("conv_id"), F.sum("w").alias("n_convs"), F.max("chars").alias("chars")), "trie-nodes")
+        upper = (cut.where(full & ~F.col("end") & (F.col("at") < half)).groupBy("conv_id", "block")
+                 .agg(mark(1).alias("f1"), mark(2).alias("f2"), F.max("g").alias("g"), F.max("w").alias("w"), F.max("reach").alias("reach")))
+        classes = upper.groupBy("block", "g", "f1", "f2").agg(F.min("conv_id").alias("name"), F.sum("w").alias("total"), F.max("reach").alias("deepest"))
+        named = upper.select("conv_id", "block", "g", "f1", "f2").join(classes, ["block", "g", "f1", "f2"]).select("conv_id", "block", "name", "total", "deepest")
+        met = stored(cut.where(full).join(named, ["conv_id", "block"]), f"trie-cut-{half}")
+        below = F.col("at") >= half
+        ends = ends.unionByName(met.where(F.col("end") & ~below).select(F.col("name").alias("conv_id"), F.col("pos").alias("depth"), F.col("conv_id").alias("member")))
+        on = met.where(below | (~F.col("end") & (F.col("name") == F.col("conv_id"))))
+        on = on.select("conv_id", "pos", "t1", "t2", "chars", "length", F.when(below, F.col("name")).otherwise(F.col("g")).alias("g"), F.when(below, F.col("w")).otherwise(F.col("total")).alias("w"),
+                       F.when(below, F.col("reach")).otherwise(F.col("deepest")).alias("reach"), "end")
+        rows = stored(on.unionByName(cut.where(~full).select(on.columns)), f"trie-rows-{half}")
+    nodes = stored(rows.where(~F.col("end")).groupBy("pos", "g", "t1", "t2").agg(F.min("conv_id").alias("conv_id"), F.sum("w").alias("n_convs"), F.max("chars").alias("chars"),
+                                                                              F.max("reach").alias("reach")), "trie-nodes")
     left = rows.where("end").select("pos", "g", "t1", "t2", F.col("conv_id").alias("member")).join(nodes, ["pos", "g", "t1", "t2"])
     ends = ends.unionByName(left.select("conv_id", F.col("pos").alias("depth"), "member"))
-    return nodes.select("conv_id", F.col("pos").alias("depth"), F.col("g").alias("parent"), "n_convs", "chars"), stored(ends, "trie-ends"), steps
+    return nodes.select("conv_id", F.col("pos").alias("depth"), F.col("g").alias("parent"), "n_convs", "chars", "reach"), stored(ends, "trie-ends"), steps
 
 
 def graft(nodes: DataFrame, steps: int, values: list[str]) -> DataFrame:
-    """(conv_id, depth, values): each value summed over the node's subtree."""
+    """(conv_id, depth, values): each value summed over the node's subtree.
+    A node leaves as soon as its subtree ends inside its block."""
     key = ["conv_id", "depth"]
-    total = nodes.select(*key, F.col("parent"), *values)
-    inner = nodes.select(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth")).distinct()
+    total = nodes.select(*key, "parent", "reach", *values)
     # chains: from inner node (conv_id, depth) up to (up, at), as far as the start of its block
-    chain = nodes.join(inner, key, "left_semi")
-    chain = stored(chain.select(*key, F.col("conv_id").alias("up"), F.col("depth").alias("at"))
-                   .unionByName(chain.select(*key, F.col("parent").alias("up"), (F.col("depth") - 1).alias("at"))), "trie-chain-1")
+    inner = nodes.where(F.col("reach") > F.col("depth"))
+    chain = stored(inner.select(*key, F.col("conv_id").alias("up"), F.col("depth").alias("at"))
+                   .unionByName(inner.select(*key, F.col("parent").alias("up"), (F.col("depth") - 1).alias("at"))), "trie-chain-1")
+    done = None
     for step in range(steps):
         half = 1 << step
+        ready = total.where(F.col("reach") <= half).select(*key, *values)
+        done = ready if done is None else done.unionByName(ready)
+        total = total.where(F.col("reach") > half)
         low = (total.where((F.col("depth") - 1) % (2 * half) == half).groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth"))
                .agg(*[F.sum(v).alias(v) for v in values]))
         more = (low.join(chain.where(F.col("at") > F.col("depth") - half), key).groupBy(F.col("up").alias("conv_id"), F.col("at").alias("depth"))
                 .agg(*[F.sum(v).alias(f"_{v}") for v in values]))
-        total = stored(total.join(more, key, "left").select(*key, "parent", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]), f"trie-total-{half}")
+        total = stored(total.join(more, key, "left").select(*key, "parent", "reach", *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values]), f"trie-total-{half}")
         if step + 1 < steps:
             long = chain.where(F.col("depth") % (2 * half) == 0)
             link = long.where(F.col("at") == F.col("depth") - half).select(*key, F.col("up").alias("_c"), F.col("at").alias("_d"))
             far = link.join(chain.select(F.col("conv_id").alias("_c"), F.col("depth").alias("_d"), "up", "at"), ["_c", "_d"]).select(*key, "up", "at")
             chain = stored(long.where(F.col("at") > F.col("depth") - half).unionByName(far), f"trie-chain-{2 * half}")
-    return total.drop("parent")
+    rest = total.select(*key, *values)
+    return rest if done is None else done.unionByName(rest)
 
 
 def digests(ends: DataFrame) -> DataFrame:
@@ -195,7 +216,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     nodes, ends, steps = build(paths, length, root)
     children = nodes.groupBy(F.col("parent").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
     own = stored(nodes.join(children, ["conv_id", "depth"], "left").select(
-        "conv_id", "depth", "parent", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves"),
+        "conv_id", "depth", "parent", "reach", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.when(F.col("n_children").isNull(), 1).otherwise(0).cast("long").alias("n_leaves"),
         ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), "trie-own")
     totals = graft(own, steps, ["n_leaves", "saved_tokens"])
     below = own.select("conv_id", "depth", "parent", "n_convs", "n_children").join(totals, ["conv_id", "depth"])
