@@ -1,8 +1,10 @@
 """Prediction metrics: smoothed sentence BLEU and corpus chrF++.
 
-N-grams are exploded and counted with groupBy.  The pair table is hash
-partitioned by pair id *before* the explode, so the n-gram counts
-aggregate inside each partition: the exploded rows are never shuffled.
+N-grams never leave their row.  An order's grams are hashes built from the
+hashes of the order below and one more element; both sides' hashes are sorted
+into one array with the side as the lowest bit, and one pass over its runs
+counts the clipped matches.  So a pair costs O(n log n) and one row, nothing
+is exploded and only per-order sums are shuffled.
 """
 
 from __future__ import annotations
@@ -17,59 +19,49 @@ from tracefold.operators.actions import words
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _ngrams(toks: Column, n: int, sep: str = " ") -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1),
-                       lambda i: F.array_join(F.slice(toks, i, n), sep))
+def _grams(df: DataFrame, items: str, top: int, out: str) -> DataFrame:
+    """Columns <out>1 .. <out><top>: 64-bit hashes of the n-grams of an array
+    of strings, each from the hash of its first n-1 elements and its last."""
+    df = df.withColumn(f"{out}1", F.transform(items, lambda x: F.xxhash64(x)))
+    for n in range(2, top + 1):
+        size = F.greatest(F.size(items) - (n - 1), F.lit(0))
+        longer = F.zip_with(F.slice(f"{out}{n - 1}", F.lit(1), size), F.slice(items, F.lit(n), size), lambda h, x: F.xxhash64(h, x))
+        df = df.withColumn(f"{out}{n}", longer)
+    return df
 
 
-def _char_ngrams(s: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
+def _clipped(hyp: str, ref: str):
+    """Sum over grams of the smaller of the two counts."""
+    side = lambda c, bit: F.transform(c, lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(bit)))
+    both = F.sort_array(F.concat(side(hyp, 0), side(ref, 1)))  # of one gram, the hypothesis comes first
+    init = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("m"))
 
+    def step(acc, x):
+        gram, from_ref = F.shiftright(x, 1), x.bitwiseAND(F.lit(1)) == 1
+        left = F.when(acc["gram"] == gram, acc["left"]).otherwise(F.lit(0))
+        hit = from_ref & (left > 0)
+        return F.struct(gram.alias("gram"), F.when(hit, left - 1).when(from_ref, left).otherwise(left + 1).alias("left"),
+                        F.when(hit, acc["m"] + 1).otherwise(acc["m"]).alias("m"))
+    return F.aggregate(both, init, step, lambda acc: acc["m"])
 
-def _guard(arr: Column, count: Column) -> Column:
-    # sequence(1, 0) counts down; no n-grams when the text is too short
-    return F.when(count > 0, arr).otherwise(F.array().cast("array<string>"))
 
-
-def _tagged(orders, side: int):
-    """One array<struct<kind,n,g>> holding every order's n-grams of a side."""
-    def tag(arr, kind, n):
-        # 64-bit hashes of the grams: they are compared within one pair only
-        return F.transform(arr, lambda g: F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
-                                                   F.xxhash64(g).alias("g")))
-    return F.flatten(F.array(*[tag(o[2 + side], o[0], o[1]) for o in orders]))
-
-
-def _matches(d: DataFrame, pid: list, orders: list[tuple[str, int, Column, Column]]) -> DataFrame:
-    """Clipped matches per (pid, kind, n).  Each side's grams of all orders
-    are built in one projection and exploded once; ``d`` is hash
-    partitioned by ``pid``, so the counting needs no further shuffle."""
-    t = d.select(*pid, _tagged(orders, 0).alias("_h"), _tagged(orders, 1).alias("_r"))
-    # outer generator: the optimizer infers no size(array) > 0 filter, which
-    # it would push below the exchange and so re-derive every n-gram there
-    h = t.select(*pid, F.inline_outer("_h"), F.lit(1).alias("h"), F.lit(0).alias("r")).where(F.col("g").isNotNull())
-    r = t.select(*pid, F.inline_outer("_r"), F.lit(0).alias("h"), F.lit(1).alias("r")).where(F.col("g").isNotNull())
-    c = h.unionByName(r).groupBy(*pid, "kind", "n", "g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return c.groupBy(*pid, "kind", "n").agg(F.sum(F.least("h", "r")).alias("m"))
+def _characters(col: Column) -> Column:
+    return F.when(F.length(col) > 0, F.split(col, "")).otherwise(F.array().cast("array<string>"))
 
 
 def sentence_bleu(df: DataFrame, pred: str, ref: str, pid: list, by: list, k: float = 5.0) -> DataFrame:
     """Mean smoothed sentence BLEU (whitespace tokens, one reference,
-    weights 1/4, smoothing method 4); an empty side scores 0."""
-    # tokenise before the exchange: the shuffle materialises the token
-    # arrays, so the n-gram lambdas never re-run the split per element
-    d = df.select(*pid, *by, words(pred).alias("_ht"), words(ref).alias("_rt")).repartition(*pid)
-    d = d.withColumn("_hl", F.size("_ht")).withColumn("_rl", F.size("_rt"))
-    orders = [("w", n, _guard(_ngrams(F.col("_ht"), n), F.col("_hl") - n + 1),
-               _guard(_ngrams(F.col("_rt"), n), F.col("_rl") - n + 1)) for n in range(1, 5)]
-    m = _matches(d, pid, orders)
-    piv = m.groupBy(*pid).pivot("n", [1, 2, 3, 4]).agg(F.first("m"))
-    s = d.select(*pid, *by, "_hl", "_rl").join(piv, pid, "left")
+    weights 1/4, smoothing method 4); an empty or null side scores 0.  A row
+    is a pair, whatever its ``pid``."""
+    none = F.array().cast("array<string>")
+    s = df.select(*by, F.coalesce(words(pred), none).alias("_ht"), F.coalesce(words(ref), none).alias("_rt"))
+    s = _grams(_grams(s, "_ht", 4, "_h"), "_rt", 4, "_r")
+    s = s.select(*by, F.size("_ht").alias("_hl"), F.size("_rt").alias("_rl"), *[_clipped(f"_h{n}", f"_r{n}").alias(str(n)) for n in range(1, 5)])
     hl = F.col("_hl").cast("double")
     logsum = F.lit(0.0)
     c = F.lit(1.0)  # smoothing counter: 1 + number of earlier smoothed orders
     for n in range(1, 5):
-        mn = F.coalesce(F.col(str(n)), F.lit(0)).cast("double")
+        mn = F.col(str(n)).cast("double")
         den = F.greatest(hl - n + 1, F.lit(1.0))
         smooth = (mn == 0) & (hl > 1)
         pn = F.when(smooth, (F.lit(1.0) / (F.pow(F.lit(2.0), c) * F.lit(k) / F.log(hl))) / den) \
@@ -78,9 +70,8 @@ def sentence_bleu(df: DataFrame, pred: str, ref: str, pid: list, by: list, k: fl
         c = c + F.when(smooth, F.lit(1.0)).otherwise(F.lit(0.0))
     rl = F.col("_rl").cast("double")
     bp = F.when(hl > rl, F.lit(1.0)).otherwise(F.exp(F.lit(1.0) - rl / hl))
-    m1 = F.coalesce(F.col("1"), F.lit(0))
     bleu = (F.when((F.col("_hl") == 0) | (F.col("_rl") == 0), F.lit(0.0))
-             .when(m1 == 0, F.lit(0.0))
+             .when(F.col("1") == 0, F.lit(0.0))
              .otherwise(bp * F.exp(logsum)))
     per = s.withColumn("bleu", bleu)
     return per.groupBy(*by).agg((F.sum("bleu") / F.greatest(F.count("*"), F.lit(1))).alias("bleu"),
@@ -108,26 +99,17 @@ def corpus_chrf(df: DataFrame, pred: str, ref: str, pid: list, by: list, char_or
     and order, hyp count (only if the reference has n-grams of that
     order), ref count and clipped matches, summed over the corpus, then
     precision / recall averaged over effective orders."""
-    nows = lambda c: F.regexp_replace(F.col(c), f"{WS_CLASS}+", "")
-    d = df.select(*pid, *by, nows(pred).alias("_hc"), nows(ref).alias("_rc"),
-                  chrf_words(pred).alias("_hw"), chrf_words(ref).alias("_rw")).repartition(*pid)
-    d = d.withColumn("_hcl", F.length("_hc")).withColumn("_rcl", F.length("_rc")) \
-         .withColumn("_hwl", F.size("_hw")).withColumn("_rwl", F.size("_rw"))
-    orders = [("c", n, _guard(_char_ngrams(F.col("_hc"), n), F.col("_hcl") - n + 1),
-               _guard(_char_ngrams(F.col("_rc"), n), F.col("_rcl") - n + 1)) for n in range(1, char_order + 1)]
-    orders += [("w", n, _guard(_ngrams(F.col("_hw"), n), F.col("_hwl") - n + 1),
-                _guard(_ngrams(F.col("_rw"), n), F.col("_rwl") - n + 1)) for n in range(1, word_order + 1)]
-    m = _matches(d, pid, orders)
-    # per sentence totals are arithmetic: no explode of grams needed
+    none = F.array().cast("array<string>")
+    nows = lambda c: _characters(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"{WS_CLASS}+", ""))
+    d = df.select(*by, nows(pred).alias("_hc"), nows(ref).alias("_rc"), F.coalesce(chrf_words(pred), none).alias("_hw"), F.coalesce(chrf_words(ref), none).alias("_rw"))
+    d = _grams(_grams(d, "_hc", char_order, "_hcg"), "_rc", char_order, "_rcg")
+    d = _grams(_grams(d, "_hw", word_order, "_hwg"), "_rw", word_order, "_rwg")
     items = []
-    for kind, n, _, _ in orders:
-        hl, rl = ("_hcl", "_rcl") if kind == "c" else ("_hwl", "_rwl")
-        nh = F.greatest(F.col(hl) - n + 1, F.lit(0))
-        nr = F.greatest(F.col(rl) - n + 1, F.lit(0))
-        items.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"),
-                              F.when(nr > 0, nh).otherwise(F.lit(0)).alias("nh"), nr.alias("nr")))
-    tot = d.select(*pid, *by, F.inline(F.array(*items)))
-    st = tot.join(m, pid + ["kind", "n"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    for kind, n in [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]:
+        nh, nr = (F.greatest(F.size(f"_{side}{kind}") - n + 1, F.lit(0)) for side in "hr")
+        items.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.when(nr > 0, nh).otherwise(F.lit(0)).alias("nh"), nr.alias("nr"),
+                              _clipped(f"_h{kind}g{n}", f"_r{kind}g{n}").alias("m")))
+    st = d.select(*by, F.array(*items).alias("_s")).select(*by, F.inline_outer("_s"))  # outer: no second copy of the counting in an inferred filter
     corp = st.groupBy(*by, "kind", "n").agg(F.sum("nh").alias("nh"), F.sum("nr").alias("nr"),
                                             F.sum("m").alias("m"))
     eps = 1e-16

@@ -1,8 +1,11 @@
 """Vocabulary, greedy sub-word encoding and decoding, all native.
 
-Greedy longest-match encoding takes a word that is a token as it is; for
-the rest it is a fold over a word's positions against the vocabulary hits of
-its substrings (an equi-join on the token).
+Greedy longest-match encoding takes a word that is a token as it is.  For
+the rest the longest token at each position comes from a binary search over
+prefix lengths: a token marks its prefixes whose lengths are its own length
+with low bits cleared (13: 8, 12, 13), and each marker knows the longest token
+inside it.  A position asks for length 2**k, then adds 2**(k-1) or not, and so
+on: one equi-join a bit, one row a position, however long the tokens are.
 """
 
 from __future__ import annotations
@@ -59,6 +62,54 @@ def build_vocabulary(grammar: DataFrame, dirs: DataFrame | None = None,
     return r.select("token", (F.col("_r") - 1).alias("id"))
 
 
+#: Markers are broadcast up to this many bytes, joined by a shuffle beyond.
+MARKER_BYTES = 32 << 20
+
+
+def markers(vocab: DataFrame) -> DataFrame:
+    """(bit, prefix, n, tid): every token's marked prefixes and the longest
+    token (length, id) that each begins with; none: null."""
+    t = vocab.where("token <> ''").select("token", "id", F.length("token").alias("_n"))
+    bits = F.expr("filter(sequence(0, 30), k -> shiftright(_n, k) % 2 = 1)")
+    m = t.select("token", "_n", F.explode(bits).alias("bit"))
+    m = m.select("bit", F.expr("left(token, _n - _n % shiftleft(1, bit))").alias("prefix")).distinct()
+    own = t.select(F.col("token").alias("prefix"), F.col("_n").alias("n"), F.col("id").alias("tid"))
+    m = m.join(own, "prefix", "left")
+    # a token inside a marker has some token's length; with L distinct lengths
+    # the vocabulary holds at least L * L / 2 letters, so the list is short
+    lengths = [r["_n"] for r in t.select("_n").distinct().collect()]
+    sizes = F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]).cast("array<int>"), lambda x: x < F.length("prefix"))
+    inner = m.where("tid is null").select("prefix", F.explode(sizes).alias("_l"))
+    inner = inner.select("prefix", F.expr("left(prefix, _l)").alias("_t")).join(own.withColumnRenamed("prefix", "_t"), "_t")
+    best = inner.groupBy("prefix").agg(F.max(F.struct("n", "tid")).alias("_b"))
+    m = m.join(best, "prefix", "left")
+    return m.select("bit", "prefix", F.coalesce("n", "_b.n").alias("n"), F.coalesce("tid", "_b.tid").alias("tid"))
+
+
+def longest_matches(words_: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(word, i, n, tid): the longest token that begins at each position i
+    (from 1) of each word; null where none does."""
+    m = cut_lineage(markers(vocab))
+    top, size = m.agg(F.max("bit"), F.sum(F.octet_length("prefix") + 24)).first()  # two scalars
+    rows = words_.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    if top is None:
+        return rows.select("word", "i", F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("tid"))
+    # only as much of the word as a token may cover, and less after each bit
+    rows = rows.select("word", "i", F.substring("word", F.col("i"), F.lit(2 ** (top + 1) - 1)).alias("_rest"), F.lit(0).alias("_l"),
+                       F.lit(None).cast("int").alias("n"), F.lit(None).cast("long").alias("tid"))
+    for k in range(top, -1, -1):
+        level = m.where(F.col("bit") == k).select(F.col("prefix").alias("_p"), F.col("n").alias("_n"), F.col("tid").alias("_t"))
+        level = F.broadcast(level) if size <= MARKER_BYTES else level
+        ask = F.when(F.length("_rest") >= F.col("_l") + 2 ** k, F.expr(f"left(_rest, _l + {2 ** k})"))
+        spread = F.concat(F.lit("\0"), F.col("i").cast("string"), F.lit("\0"), F.substring("word", 1, 16))  # meets nothing, and not all in one task
+        rows = rows.withColumn("_ask", F.coalesce(ask, spread)).join(level, F.col("_ask") == F.col("_p"), "left")
+        hit = F.col("_p").isNotNull()
+        rows = rows.select("word", "i", F.when(hit, F.col("_l") + 2 ** k).otherwise(F.col("_l")).alias("_l"), "_rest",
+                           F.when(hit, F.coalesce("_n", "n")).otherwise(F.col("n")).alias("n"), F.when(hit, F.coalesce("_t", "tid")).otherwise(F.col("tid")).alias("tid"))
+        rows = rows.withColumn("_rest", F.expr(f"left(_rest, _l + {2 ** k - 1})"))
+    return rows.select("word", "i", "n", "tid")
+
+
 def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int | None = None, key: str = "id",
                   fallback: int = 1, out: str = "ids") -> DataFrame:
     """Per whitespace word: longest vocabulary substring from the left,
@@ -68,29 +119,16 @@ def encode_greedy(df: DataFrame, text: str, vocab: DataFrame, size: int | None =
     every = w.select("word").distinct().join(vocab.withColumnRenamed("token", "word"), "word", "left")
     every = cut_lineage(every)
     exact = every.where("id is not null").select("word", F.array("id").alias("wids"))  # the longest hit is the word itself
-    uw = every.where("id is null").select("word")
-    # substrings longer than the longest vocabulary token can never match:
-    # O(len * max_token) candidates per word instead of O(len^2) (exact)
-    max_tok = vocab.agg(F.max(F.length("token"))).first()[0] or 1
-    subs = uw.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i")) \
-             .select("word", "i", F.explode(F.sequence(
-                 F.lit(1), F.least(F.length("word") - F.col("i") + 1, F.lit(max_tok)))).alias("n"))
-    subs = subs.withColumn("token", F.substring("word", F.col("i"), F.col("n")))
-    hits = subs.join(vocab.withColumnRenamed("id", "tid"), "token") \
-               .groupBy("word").agg(F.collect_list(F.struct("i", "n", "tid")).alias("hits"))
-    uw = uw.join(hits, "word", "left").withColumn("hits", F.coalesce("hits", F.array().cast(
-        "array<struct<i:int,n:int,tid:bigint>>")))
+    found = longest_matches(every.where("id is null").select("word"), vocab)
+    per = found.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("i", "n", "tid"))).alias("at"))
     init = F.struct(F.lit(1).alias("cur"), F.array().cast("array<bigint>").alias("ids"))
 
-    def step(acc, pos):
-        at = F.filter("hits", lambda h: h["i"] == pos)
-        best = F.array_max(F.transform(at, lambda h: F.struct(h["n"].alias("n"), h["tid"].alias("tid"))))
-        take = F.struct((pos + F.coalesce(best["n"], F.lit(1))).alias("cur"),
-                        F.concat(acc["ids"], F.array(F.coalesce(best["tid"], F.lit(fallback).cast("bigint"))))
-                        .alias("ids"))
-        return F.when(pos == acc["cur"], take).otherwise(acc)
+    def step(acc, x):
+        take = F.struct((x["i"] + F.coalesce(x["n"], F.lit(1))).alias("cur"),
+                        F.concat(acc["ids"], F.array(F.coalesce(x["tid"], F.lit(fallback).cast("bigint")))).alias("ids"))
+        return F.when(x["i"] == acc["cur"], take).otherwise(acc)
 
-    enc = uw.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step)["ids"].alias("wids"))
+    enc = per.select("word", F.aggregate("at", init, step)["ids"].alias("wids"))
     j = w.join(enc.unionByName(exact), "word")
     per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("wpos", "wids"))).alias("_w"))
     flat = F.flatten(F.transform("_w", lambda x: x["wids"]))

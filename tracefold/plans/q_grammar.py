@@ -25,39 +25,28 @@ FIXED_OPTIONS = ["[File]", "[Number]", "[Word]", "[Username]"]
 
 
 def derived_grammar(spark, sf):
+    """One pass over the texts: their distinct words by (lang, source) with
+    the first document of each, stored once; every production is a branch of
+    that table's rows (a source's words, a language's words) or of the
+    (lang, source) pairs in it (word null)."""
     docs = table(spark, sf, "documents")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))
-    d = docs.select("doc_id", "lang", "source", F.explode(words).alias("fw"))
-    d = d.groupBy("lang", "source", "fw").agg(F.min("doc_id").alias("doc_id"))  # first appearances are enough
-    docs = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
-    br = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) and not x.startswith("@") else F.col(x[1:])
-                                for x in xs])
-    lang = docs.groupBy("lang").agg(F.min("doc_id").alias("first"))
-    src = docs.groupBy("source").agg(F.min("doc_id").alias("first"))
-    rows = [
-        lang.select(F.lit("[Input]").alias("nonterminal"), br("[", "@lang", "]").alias("production"), "first"),
-        lang.select(F.lit("[Command]").alias("nonterminal"), br("[", "@lang", "]").alias("production"), "first"),
-        lang.select(br("[", "@lang", "]").alias("nonterminal"), br("@lang", " [", "@lang", "Options]")
-                    .alias("production"), "first"),
-        d.groupBy("lang", "fw").agg(F.min("doc_id").alias("first"))
-         .select(br("[", "@lang", "Options]").alias("nonterminal"), br("-", "@fw").alias("production"), "first"),
-        docs.groupBy("lang", "source").agg(F.min("doc_id").alias("first"))
-         .select(br("[", "@lang", "Options]").alias("nonterminal"),
-                 br("--", "@source", " [", "@source", "Val]").alias("production"), "first"),
-        lang.select(br("[", "@lang", "Options]").alias("nonterminal"),
-                    F.explode(F.array(*[F.lit(p) for p in FIXED_OPTIONS])).alias("production"), "first"),
-        d.groupBy("source", "fw").agg(F.min("doc_id").alias("first"))
-         .select(br("[", "@source", "Val]").alias("nonterminal"), F.col("fw").alias("production"), "first"),
-        src.select(br("[", "@source", "Val]").alias("nonterminal"), F.lit("[Number]").alias("production"), "first"),
-    ]
-    u = rows[0]
-    for r in rows[1:]:
-        u = u.unionByName(r)
-    u = u.groupBy("nonterminal", "production").agg(F.min("first").alias("first"))
-    g = global_rank(u, ["first", "production"], out="_o", group=["nonterminal"])
-    g = g.select("nonterminal", (F.col("_o") - 1).cast("int").alias("ordinal"), "production")
+    pair = F.array(F.lit(None).cast("string"))  # the pair itself, with or without words
+    seen = docs.select("doc_id", "lang", "source", F.explode(F.concat(pair, F.coalesce(words, F.array().cast("array<string>")))).alias("fw"))
+    seen = cut_lineage(seen.groupBy("lang", "source", "fw").agg(F.min("doc_id").alias("first")))  # first appearances are enough
+    lang, source, fw = F.col("lang"), F.col("source"), F.col("fw")
+    br = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    rule = lambda head, production: F.struct(head.alias("nonterminal"), production.alias("production"))
+    options, value = br("[", lang, "Options]"), br("[", source, "Val]")
+    of_word = F.array(rule(options, br("-", fw)), rule(value, fw))
+    of_pair = F.array(rule(F.lit("[Input]"), br("[", lang, "]")), rule(F.lit("[Command]"), br("[", lang, "]")),
+                      rule(br("[", lang, "]"), br(lang, " [", lang, "Options]")), rule(options, br("--", source, " [", source, "Val]")),
+                      rule(value, F.lit("[Number]")), *[rule(options, F.lit(p)) for p in FIXED_OPTIONS])
+    u = seen.select("first", F.explode(F.when(fw.isNull(), of_pair).otherwise(of_word)).alias("_r")).select("first", "_r.*")
+    u = u.where("nonterminal is not null and production is not null").groupBy("nonterminal", "production").agg(F.min("first").alias("first"))
+    g = global_rank(u, ["first", "production"], out="_o", group=["nonterminal"], narrow=False)
     # used several times per query (actions, heads, repeats, masks): materialise once
-    return cut_lineage(g)
+    return cut_lineage(g.select("nonterminal", (F.col("_o") - 1).cast("int").alias("ordinal"), "production"))
 
 
 def commands(grammar):
@@ -78,7 +67,8 @@ UNION ALL SELECT '[' || source || 'Val]', fw, min(doc_id) FROM gw GROUP BY sourc
 UNION ALL SELECT '[' || source || 'Val]', '[Number]', min(doc_id) FROM gd GROUP BY source""",
     "grammar": """
 SELECT nonterminal, CAST(row_number() OVER (PARTITION BY nonterminal ORDER BY first, production) - 1 AS INTEGER) AS ordinal,
-       production FROM (SELECT nonterminal, production, min(first) AS first FROM gp GROUP BY nonterminal, production)""",
+       production FROM (SELECT nonterminal, production, min(first) AS first FROM gp
+                  WHERE nonterminal IS NOT NULL AND production IS NOT NULL GROUP BY nonterminal, production)""",
 }
 
 
