@@ -90,13 +90,35 @@ def test_filter_keeps_rows_and_columns(docs):
 
 
 def brute_neighbours(rows, k, every):
-    good = {}
+    """Every row is a candidate; a pair of ids has the best score of their rows."""
+    good = defaultdict(list)
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = min(good.get(i, list(v)), list(v))
+            good[i].append(np.array(v))
     cos = lambda a, b: float((a * b).sum() / (np.linalg.norm(a) * np.linalg.norm(b)))
-    return {q: sorted((-cos(np.array(v), np.array(u)), c) for c, u in good.items() if c != q and len(u) == len(v))[:k]
-            for q, v in good.items() if q % every == 0}
+    best = lambda q, c: max((cos(a, b) for a in good[q] for b in good[c] if len(a) == len(b)), default=None)
+    return {q: sorted((-s, c) for c in good if c != q and (s := best(q, c)) is not None)[:k] for q in good if q % every == 0}
+
+
+def test_repeated_ids_keep_every_row(spark):
+    rows = [(50, [1.0, 0.0]), (7, [0.0, 1.0]), (7, [1.0, 0.01]), (8, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(collected(ann.neighbours(df)))
+    assert [(q, r, c) for q, r, c, _ in got] == [(50, 1, 7), (50, 2, 8)] and got[0][3] > 0.9999
+
+
+def test_one_id_with_very_many_rows_near_a_query(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=6)
+    rows = [(9, [float(x) for x in base + rng.normal(size=6) * 1e-3]) for _ in range(900)] + [(100, [float(x) for x in base])]
+    rows += [(200 + i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for q, r, c, _ in sorted(collected(ann.neighbours(df))):
+        got[q].append(c)
+    want = brute_neighbours(rows, 5, 50)
+    assert got[100][0] == 9 and got.keys() == want.keys()
+    assert np.mean([len(set(got[q]) & {c for _, c in x}) / 5 for q, x in want.items()]) >= 0.9
 
 
 def test_vectors_with_ties_and_bad_rows(spark):

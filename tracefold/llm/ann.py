@@ -1,8 +1,10 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world
 graph per shard, shard results merged.
 
-Vectors are dealt into shards of about SHARD_ROWS by a hash of their id.  In
-a shard every distinct vector is a node with a random top level; per level
+Vectors are dealt into shards by a hash of their id: as many as the session
+has cores while a shard holds SHARD_LEAST to SHARD_ROWS of them, more beyond
+(a shard of SHARD_ROWS is about 60 MB), so that their number stays small: every
+query meets every shard.  In a shard every distinct vector is a node with a random top level; per level
 the graph is two flat neighbour arrays in one (row = node, -1 = none).  A
 node's links on a level are picked from its nearest nodes of that level by
 the diversity rule (a candidate is linked unless a node linked before is
@@ -17,8 +19,11 @@ equal vectors come together, smaller first.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, neither as query nor as candidate; a query meets
-only vectors of its own length; of rows with one id the smallest vector
-counts; fewer than k candidates give fewer rows; an empty table gives none.
+only vectors of its own length; equal rows count once; rows of one id with
+other vectors are all searched and all search, and a pair of ids has the best
+score of their rows; a query's own id is no candidate; fewer than k candidates
+give fewer rows; an empty table gives none.  Where one id or one vector fills
+a beam, the beam is widened until k other ids are found or the shard ends.
 """
 
 from __future__ import annotations
@@ -30,16 +35,17 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import stored
 
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
+SHARD_LEAST, SHARD_ROWS, QUERY_ROWS = 4096, 65536, 512
 LINKS, NEAREST, EF = 16, 48, 80
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, embedding array<double>, dim): one valid row for each id."""
+    """(vec_id, embedding array<double>, dim): the distinct valid rows."""
     v = vectors.select(vectors[key].alias("vec_id"), vectors[vector].cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = v.where(fine & F.exists("embedding", lambda x: x != 0))
-    return v.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    v = v.select("vec_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding"))  # -0.0 is 0.0
+    return v.distinct().withColumn("dim", F.size("embedding"))
 
 
 def _diverse(own: np.ndarray, sims: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
@@ -67,8 +73,8 @@ def build(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
         if near <= 0:
             continue
         out: list[list[int]] = [[] for _ in range(n)]
-        for a in range(0, len(nodes), 512):
-            rows = nodes[a: a + 512]
+        for a in range(0, len(nodes), 256):
+            rows = nodes[a: a + 256]
             sims = x[rows] @ x[nodes].T
             sims[np.arange(len(rows)), a + np.arange(len(rows))] = -np.inf
             best = np.argpartition(-sims, near - 1, axis=1)[:, :near]
@@ -132,9 +138,10 @@ def search(x: np.ndarray, graph: np.ndarray, level: np.ndarray, q: np.ndarray, e
     return beam(x, graph[0], q, at, min(ef, max(len(x), 1)))
 
 
-def index(vectors: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
+def index(vectors: DataFrame, rows: int = SHARD_ROWS, least: int = SHARD_LEAST) -> DataFrame:
     """One row per shard: its ids, distinct vectors and flat graph."""
-    shards = max(1, -(-vectors.count() // rows))
+    count, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-count // rows), min(-(-count // least), cores))
 
     def run(t: pa.Table) -> pa.Table:
         dim = t.column("dim")[0].as_py()
@@ -174,18 +181,32 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF, bloc
         qid = right.column("vec_id").to_numpy()
         q = right.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         unit = lambda a: (lambda u: (u / np.linalg.norm(u, axis=1, keepdims=True)))(a / np.abs(a).max(1, keepdims=True))
-        found = search(unit(v).astype(np.float32), graph, level, unit(q).astype(np.float32), max(ef, 2 * k))
+        vf, qf = unit(v).astype(np.float32), unit(q).astype(np.float32)
         by_node = np.argsort(node, kind="stable")  # ids stay in order within a node
         first = np.searchsorted(node[by_node], np.arange(len(v) + 1))
         norm, qnorm = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
         out_q, out_v, out_s = [], [], []
-        for i, own in enumerate(qid.tolist()):
-            c = found[i][found[i] >= 0][: 2 * k + 2]
-            s = (v[c] * q[i]).sum(1) / (norm[c] * qnorm[i])
-            got = sorted((-float(t), int(e)) for j, t in zip(c.tolist(), s) for e in ids[by_node[first[j]: first[j + 1]][: k + 1]] if e != own)[:k]
-            out_q += [own] * len(got)
-            out_v += [e for _, e in got]
-            out_s += [-t for t, _ in got]
+        ask, width = np.arange(len(qid)), max(ef, 2 * k)
+        while len(ask):
+            found = search(vf, graph, level, qf[ask], min(width, len(v)))
+            again = []
+            for i, nodes_ in zip(ask.tolist(), found):
+                own, c = int(qid[i]), nodes_[nodes_ >= 0]
+                s = (v[c] * q[i]).sum(1) / (norm[c] * qnorm[i])
+                best: dict[int, float] = {}
+                for at in np.argsort(-s, kind="stable").tolist():
+                    j = c[at]
+                    for e in ids[by_node[first[j]: first[j + 1]][: k + 1]].tolist():  # of a node's ids the smallest are enough
+                        if e != own:
+                            best[e] = max(best.get(e, -2.0), float(s[at]))
+                if len(best) < k and len(c) == width < len(v):
+                    again.append(i)  # the beam is full of copies or of one id's rows
+                    continue
+                got = sorted((-t, e) for e, t in best.items())[:k]
+                out_q += [own] * len(got)
+                out_v += [e for _, e in got]
+                out_s += [-t for t, _ in got]
+            ask, width = np.array(again, np.int64), width * 8
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=schema)
 
     left = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -193,6 +214,7 @@ def nearest(built: DataFrame, queries: DataFrame, k: int = 5, ef: int = EF, bloc
     right = right.join(shards, F.col("dim") == F.col("_dim")).select("vec_id", "embedding", "dim", F.col("_shard").alias("shard"), "block")
     keys = ["dim", "shard", "block"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
