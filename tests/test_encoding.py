@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from tracefold.functions.arrays import characters, common_count
 from tracefold.operators import evaluation as E
 from tracefold.operators import vocab as VO
 
@@ -61,7 +62,7 @@ def test_clipped_counts(spark):
     items = [([r.choice("abc") for _ in range(r.randint(0, 30))], [r.choice("abc") for _ in range(r.randint(0, 30))]) for _ in range(80)]
     df = spark.createDataFrame([(i, h, x) for i, (h, x) in enumerate(items)], "i int, h array<string>, r array<string>")
     df = E._grams(E._grams(df, "h", 4, "hg"), "r", 4, "rg")
-    rows = df.select("i", *[E._clipped(f"hg{n}", f"rg{n}").alias(f"m{n}") for n in range(1, 5)]).collect()
+    rows = df.select("i", *[common_count(f"hg{n}", f"rg{n}").alias(f"m{n}") for n in range(1, 5)]).collect()
     for row in rows:
         h, x = items[row["i"]]
         for n in range(1, 5):
@@ -71,7 +72,7 @@ def test_clipped_counts(spark):
 
 def test_characters_are_code_points(spark):
     rows = spark.createDataFrame([("aé😀b",), ("",), (None,)], "t string")
-    assert [r[0] for r in rows.select(E._characters(F.col("t"))).collect()] == [["a", "é", "😀", "b"], [], []]
+    assert [r[0] for r in rows.select(characters(F.col("t"))).collect()] == [["a", "é", "😀", "b"], [], []]
 
 
 def test_null_sides_and_the_plan(spark):

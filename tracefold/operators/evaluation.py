@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions.arrays import characters, common_count
 from tracefold.functions.text import WS_CLASS
 from tracefold.operators.actions import words
 
@@ -30,25 +31,6 @@ def _grams(df: DataFrame, items: str, top: int, out: str) -> DataFrame:
     return df
 
 
-def _clipped(hyp: str, ref: str):
-    """Sum over grams of the smaller of the two counts."""
-    side = lambda c, bit: F.transform(c, lambda x: F.shiftleft(x, 1).bitwiseOR(F.lit(bit)))
-    both = F.sort_array(F.concat(side(hyp, 0), side(ref, 1)))  # of one gram, the hypothesis comes first
-    init = F.struct(F.lit(None).cast("long").alias("gram"), F.lit(0).alias("left"), F.lit(0).alias("m"))
-
-    def step(acc, x):
-        gram, from_ref = F.shiftright(x, 1), x.bitwiseAND(F.lit(1)) == 1
-        left = F.when(acc["gram"] == gram, acc["left"]).otherwise(F.lit(0))
-        hit = from_ref & (left > 0)
-        return F.struct(gram.alias("gram"), F.when(hit, left - 1).when(from_ref, left).otherwise(left + 1).alias("left"),
-                        F.when(hit, acc["m"] + 1).otherwise(acc["m"]).alias("m"))
-    return F.aggregate(both, init, step, lambda acc: acc["m"])
-
-
-def _characters(col: Column) -> Column:
-    return F.when(F.length(col) > 0, F.split(col, "")).otherwise(F.array().cast("array<string>"))
-
-
 def sentence_bleu(df: DataFrame, pred: str, ref: str, pid: list, by: list, k: float = 5.0) -> DataFrame:
     """Mean smoothed sentence BLEU (whitespace tokens, one reference,
     weights 1/4, smoothing method 4); an empty or null side scores 0.  A row
@@ -56,7 +38,7 @@ def sentence_bleu(df: DataFrame, pred: str, ref: str, pid: list, by: list, k: fl
     none = F.array().cast("array<string>")
     s = df.select(*by, F.coalesce(words(pred), none).alias("_ht"), F.coalesce(words(ref), none).alias("_rt"))
     s = _grams(_grams(s, "_ht", 4, "_h"), "_rt", 4, "_r")
-    s = s.select(*by, F.size("_ht").alias("_hl"), F.size("_rt").alias("_rl"), *[_clipped(f"_h{n}", f"_r{n}").alias(str(n)) for n in range(1, 5)])
+    s = s.select(*by, F.size("_ht").alias("_hl"), F.size("_rt").alias("_rl"), *[common_count(f"_h{n}", f"_r{n}").alias(str(n)) for n in range(1, 5)])
     hl = F.col("_hl").cast("double")
     logsum = F.lit(0.0)
     c = F.lit(1.0)  # smoothing counter: 1 + number of earlier smoothed orders
@@ -100,7 +82,7 @@ def corpus_chrf(df: DataFrame, pred: str, ref: str, pid: list, by: list, char_or
     order), ref count and clipped matches, summed over the corpus, then
     precision / recall averaged over effective orders."""
     none = F.array().cast("array<string>")
-    nows = lambda c: _characters(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"{WS_CLASS}+", ""))
+    nows = lambda c: characters(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"{WS_CLASS}+", ""))
     d = df.select(*by, nows(pred).alias("_hc"), nows(ref).alias("_rc"), F.coalesce(chrf_words(pred), none).alias("_hw"), F.coalesce(chrf_words(ref), none).alias("_rw"))
     d = _grams(_grams(d, "_hc", char_order, "_hcg"), "_rc", char_order, "_rcg")
     d = _grams(_grams(d, "_hw", word_order, "_hwg"), "_rw", word_order, "_rwg")
@@ -108,7 +90,7 @@ def corpus_chrf(df: DataFrame, pred: str, ref: str, pid: list, by: list, char_or
     for kind, n in [("c", n) for n in range(1, char_order + 1)] + [("w", n) for n in range(1, word_order + 1)]:
         nh, nr = (F.greatest(F.size(f"_{side}{kind}") - n + 1, F.lit(0)) for side in "hr")
         items.append(F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.when(nr > 0, nh).otherwise(F.lit(0)).alias("nh"), nr.alias("nr"),
-                              _clipped(f"_h{kind}g{n}", f"_r{kind}g{n}").alias("m")))
+                              common_count(f"_h{kind}g{n}", f"_r{kind}g{n}").alias("m")))
     st = d.select(*by, F.array(*items).alias("_s")).select(*by, F.inline_outer("_s"))  # outer: no second copy of the counting in an inferred filter
     corp = st.groupBy(*by, "kind", "n").agg(F.sum("nh").alias("nh"), F.sum("nr").alias("nr"),
                                             F.sum("m").alias("m"))

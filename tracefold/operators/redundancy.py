@@ -12,7 +12,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.functions.similarity import indel_similarity
+from tracefold.functions.similarity import indel_similarity, similar_at_least
 from tracefold.functions.text import CONTEXT_KEYS, normalise_output, strip_dynamic_env
 from tracefold.operators.nullsafe import join_same
 
@@ -115,11 +115,12 @@ def pairwise_run_similarity(runs: DataFrame, key: str = "k", run: str = "run_no"
 
 def noise_threshold(runs: DataFrame, key: str = "k", run: str = "run_no",
                     text: str = "output", k: float = 1.0, margin: float = 0.05,
-                    floor: float = 0.2, sim: Similarity = indel_similarity) -> DataFrame:
-    """beta0 = max(floor, mean - k * sample std) over the pair similarities
+                    floor: float = 0.2, sim: Similarity = indel_similarity, pairs: DataFrame | None = None) -> DataFrame:
+    """``pairs``: the pair similarities, where they are there already.
+    beta0 = max(floor, mean - k * sample std) over the pair similarities
     of all repeat runs of a command (std 0 for one pair; fewer than two
     runs -> 1.0); beta = max(floor, beta0 - margin)."""
-    pairs = pairwise_run_similarity(runs, key, run, text, sim)
+    pairs = pairwise_run_similarity(runs, key, run, text, sim) if pairs is None else pairs
     stats = pairs.groupBy(key).agg(F.count("*").alias("n_pairs"), F.avg("sim").alias("mean_sim"),
                                    F.stddev_samp("sim").alias("std_sim"))
     keys = runs.groupBy(key).agg(F.count("*").alias("n_runs"))
@@ -133,20 +134,29 @@ def noise_threshold(runs: DataFrame, key: str = "k", run: str = "run_no",
 
 def variant_vs_reference(variants: DataFrame, reference: DataFrame, key: str,
                          beta_col: str = "beta", text: str = "output", code: str = "exit_code",
-                         sim: Similarity = indel_similarity) -> DataFrame:
+                         sim: Similarity | None = indel_similarity, known: DataFrame | None = None, run: str = "run_no") -> DataFrame:
     """A variant is redundant iff its exit code equals the reference code
     and the similarity of normalised outputs is >= beta.  Rows whose code
-    differs hand empty text to the similarity, so no LCS runs for them."""
+    differs hand empty text to the similarity, so no LCS runs for them.
+
+    ``known`` (key, run, sim): similarities to the reference that are there
+    already; nothing is computed then.  ``sim=None``: only whether beta is
+    reached, by bounds and a recurrence that stops early; no ``sim`` column."""
     ref = reference.select(key, F.col(text).alias("_ref_text"), F.col(code).alias("_ref_code"),
                            beta_col)
     j = variants.join(ref, on=key, how="inner")
     match = F.col(code) == F.col("_ref_code")
-    s = sim(F.when(match, normalise_output(text)).otherwise(F.lit("")),
-            F.when(match, normalise_output("_ref_text")).otherwise(F.lit("")))
-    return (j.withColumn("code_match", match)
-             .withColumn("sim", F.when(match, s))
-             .withColumn("redundant", match & (F.col("sim") >= F.col(beta_col)))
-             .drop("_ref_text", "_ref_code"))
+    mine, theirs = (F.when(match, normalise_output(c)).otherwise(F.lit("")) for c in (text, "_ref_text"))
+    if known is not None:
+        j = join_same(j, known.select(key, run, F.col("sim").alias("_sim")), [key, run], "left")
+        j = j.withColumn("code_match", match).withColumn("sim", F.when(match, F.col("_sim"))).drop("_sim")
+    elif sim is None:
+        j = j.withColumn("_a", mine).withColumn("_b", theirs).withColumn("code_match", match)
+        j = j.withColumn("redundant", match & similar_at_least("_a", "_b", beta_col)).drop("_a", "_b")
+        return j.drop("_ref_text", "_ref_code")
+    else:
+        j = j.withColumn("code_match", match).withColumn("sim", F.when(match, sim(mine, theirs)))
+    return j.withColumn("redundant", match & (F.col("sim") >= F.col(beta_col))).drop("_ref_text", "_ref_code")
 
 
 def output_redundancy(compared: DataFrame, key: str, references: DataFrame | None = None) -> DataFrame:
@@ -177,8 +187,8 @@ def context_compare(before: Column, after: Column) -> Column:
     """struct(same, key, before_value, after_value) of the first key, in
     baseline key order, that differs or is missing after.  Missing ->
     (true, 'error'); none -> (true, 'none').  env is compared with its
-    dynamic lines stripped.  The diff text is a separate UDF
-    (``context_diff``) applied to the two values only where needed."""
+    dynamic lines stripped.  The two values are kept: ``context_line_delta``
+    gives their changed lines."""
     items = []
     for pos, k in enumerate(CONTEXT_KEYS):
         b = before[k]

@@ -13,6 +13,7 @@ from tracefold.plans import sqlfrag as Q
 from tracefold.plans.fmt import r6
 from tracefold.plans import q_text  # noqa: F401  (context redundancy is registered there)
 from tracefold.plans.registry import REGISTRY, register
+from tracefold.session import cut_lineage
 from tracefold.sources.tables import table
 
 
@@ -84,10 +85,12 @@ def _chain(spark, sf):
     the reference (run 1) plus its leave-one-out variants (runs >= 2).
     beta is rounded, so that both engines compare with the same number."""
     runs = V.runs(spark, sf)
-    beta = R.noise_threshold(runs, key="k").select("k", r6("beta").alias("beta"))
+    pairs = cut_lineage(R.pairwise_run_similarity(runs, key="k"))  # one LCS a pair: the threshold and the variants read it
+    beta = R.noise_threshold(runs, key="k", pairs=pairs).select("k", r6("beta").alias("beta"))
     ref = runs.where(F.col("run_no") == 1).join(beta, "k")
     var = runs.where(F.col("run_no") >= 2)
-    return R.variant_vs_reference(var, ref, key="k"), ref
+    known = pairs.where("run_i = 1").select("k", F.col("run_j").alias("run_no"), "sim")
+    return R.variant_vs_reference(var, ref, key="k", known=known), ref
 
 
 _SQL_CHAIN = {
