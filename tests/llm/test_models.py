@@ -346,3 +346,14 @@ def test_redaction_keeps_other_columns(docs, none):
             assert r["n_chars"] == len(r["text"] or "") and (r["text"] == t or brute_spans(t))
     assert "<EMAIL>" in out[23, "s"]["text"] and "bob.1@" not in out[23, "s"]["text"]
     assert pii.redact_documents(none).count() == 0 and pii.detect(none).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    """Files of another order and number give the same windows, runs and sums."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r["doc_id"]: r for r in lm.score(d.coalesce(1)).collect()}
+    two = {r["doc_id"]: r for r in lm.score(d.repartition(7, "text")).collect()}
+    assert one.keys() == two.keys()
+    for i, r in one.items():
+        assert [r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == [two[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")]
+        assert np.isclose(r["base_score"], two[i]["base_score"], rtol=1e-12) and np.isclose(r["score"], two[i]["score"], rtol=1e-5)
