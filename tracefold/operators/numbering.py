@@ -176,13 +176,19 @@ def grouped_scan(df: DataFrame, group: list, order: list, value: str, op: str =
             if pdf.empty:
                 yield pdf.assign(_run=v)
                 continue
-            # a key's text, with nulls apart from every text
-            gk = pdf[group].map(lambda x: "n" if pd.isna(x) else f"v{x}").agg("\x1f".join, axis=1)
-            by = v.groupby(gk.values, sort=False)
+            # rows come sorted by key: a group begins where a key column changes (null is a value of its own)
+            begins = np.zeros(len(pdf), bool)
+            for c in group:
+                here, before = pdf[c].iloc[1:].reset_index(drop=True), pdf[c].iloc[:-1].reset_index(drop=True)
+                same = (here == before).fillna(False).astype(bool) | (here.isna() & before.isna())
+                begins[1:] |= ~same.to_numpy()
+            number = begins.cumsum()
+            by = v.groupby(number, sort=False)
             run = by.cummax() if op == "max" else by.cumsum()
-            if cur is not None:
-                run = run.where((gk != cur).values, combine(run, carry))
-            cur, carry = gk.iloc[-1], run.iloc[-1]
+            first, last = (tuple(None if pd.isna(x) else x for x in pdf[group].iloc[k]) for k in (0, -1))
+            if cur is not None and first == cur:
+                run = run.where(number != 0, combine(run, carry))
+            cur, carry = last, run.iloc[-1]
             yield pdf.assign(_run=run.values)
 
     schema = T.StructType(list(s.schema.fields) + [T.StructField("_run", run_type)])

@@ -29,7 +29,8 @@ def build_vocabulary(grammar: DataFrame, dirs: DataFrame | None = None,
     """token -> id.  Sections in order: specials, printable characters,
     literal pieces of productions (grammar order), '/'-parts of working
     directories (``dirs``: dir, ord), inventory values (``inventory``:
-    value, ord).  First id wins for repeated tokens."""
+    value, ord; without ord in the order of their text).  First id wins for
+    repeated tokens."""
     spark = grammar.sparkSession
     key = "struct<sec:int,s:string,a:bigint,b:bigint>"
     fixed = spark.createDataFrame(
@@ -50,9 +51,10 @@ def build_vocabulary(grammar: DataFrame, dirs: DataFrame | None = None,
                                                  F.col("ord").cast("long").alias("a"),
                                                  F.col("pos").cast("long").alias("b")).cast(key).alias("k")))
     if inventory is not None:
+        ordered = "ord" in inventory.columns
         parts.append(inventory.select(F.col("value").alias("token"),
-                                      F.struct(F.lit(4).alias("sec"), F.lit("").alias("s"),
-                                               F.col("ord").cast("long").alias("a"),
+                                      F.struct(F.lit(4).alias("sec"), (F.lit("") if ordered else F.col("value")).alias("s"),
+                                               (F.col("ord") if ordered else F.lit(0)).cast("long").alias("a"),
                                                F.lit(0).cast("long").alias("b")).cast(key).alias("k")))
     u = parts[0]
     for p in parts[1:]:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tracefold.functions import text as T
 from tracefold.operators import grammar as G
+from tracefold.operators import inventory as I
 from tracefold.operators import vocab as VO
 from tracefold.operators.numbering import global_rank
 from tracefold.plans import fixtures as V
+from tracefold.plans.q_inventory import SQL_INV, _listing, _pages
 from tracefold.plans.registry import register
 from tracefold.session import cut_lineage, scratch_path
 from tracefold.sources.tables import table
@@ -238,6 +240,36 @@ def q_mask2_strict(spark, sf):
     return _mask2(spark, sf, True)
 
 
+SQL_STARTING = dict(SQL_MASK, starting="SELECT production AS head FROM grammar WHERE nonterminal = '[Input]' UNION SELECT '[Input]'",
+                    reserved="""SELECT DISTINCT g.production FROM grammar g WHERE g.nonterminal IN (SELECT head FROM starting)
+                         AND g.nonterminal IN (SELECT head FROM heads) AND g.production IN (SELECT production FROM acts)""",
+                    hr="SELECT head, row_number() OVER (ORDER BY head) - 1 AS r FROM heads",
+                    req="""SELECT h.head, a.action_id FROM acts a JOIN hr h ON a.action_id % (SELECT count(*) FROM heads) = h.r
+                           UNION ALL SELECT head, (SELECT count(*) FROM acts) FROM heads""")
+
+
+@register("mask_membership", with_grammar("""
+SELECT q.head, q.action_id, CASE
+    WHEN q.head IN (SELECT head FROM starting) THEN a.production IS NOT NULL AND (q.head, a.production) IN (SELECT (nonterminal, production) FROM grammar)
+    WHEN a.production IS NULL THEN q.head IN (SELECT nonterminal FROM rep)
+    ELSE a.production NOT IN (SELECT production FROM reserved) END AS allowed
+FROM req q LEFT JOIN acts a ON a.action_id = q.action_id""", SQL_STARTING))
+def q_membership(spark, sf):
+    """Requests: every action for one head, dealt round, and the terminal
+    action for every head."""
+    g = derived_grammar(spark, sf)
+    actions, heads = cut_lineage(_actions(spark, g)), cut_lineage(G.expansion_heads(g))
+    m = G.production_mask_2layer(g, actions, heads, _repeats(spark, g))
+    n_actions, n_heads = actions.count(), heads.count()  # two scalars
+    rank = global_rank(heads, ["head"], out="_r")
+    asked = actions.select("action_id", (F.col("action_id") % max(n_heads, 1) + 1).alias("_r")).join(rank, "_r").select("head", "action_id")
+    asked = asked.unionByName(heads.select("head", F.lit(n_actions).cast("long").alias("action_id")))
+    starting = g.where("nonterminal = '[Input]'").select(F.col("production").alias("nonterminal")).unionByName(spark.createDataFrame([("[Input]",)], "nonterminal string"))
+    own = g.join(starting, "nonterminal", "left_semi").join(heads.withColumnRenamed("head", "nonterminal"), "nonterminal", "left_semi")
+    reserved = actions.join(own.select("production").distinct(), "production", "left_semi").select("action_id")
+    return G.mask_allows(m, asked, actions, reserved, n_actions).select("head", "action_id", "allowed")
+
+
 # ------------------------------------------------------------------ vocabulary
 
 def _dirs(spark, sf):
@@ -247,7 +279,8 @@ def _dirs(spark, sf):
 
 
 def _vocab(spark, sf):
-    return VO.build_vocabulary(derived_grammar(spark, sf), dirs=_dirs(spark, sf))
+    values = I.path_inventory(_listing(spark, sf)).select("value").distinct()
+    return VO.build_vocabulary(derived_grammar(spark, sf), dirs=_dirs(spark, sf), inventory=values)
 
 
 def _printable_sql() -> str:
@@ -259,6 +292,7 @@ def _printable_sql() -> str:
 def _vocab_sql() -> dict:
     from tracefold.plans import sqlfrag as Q
     return {
+        **SQL_INV,
         "fx": _printable_sql(),
         "pc": f"""SELECT nonterminal, ordinal, pos, {Q.strip('piece')} AS token FROM (
                   SELECT nonterminal, ordinal, unnest(range(0, len(ps))) AS pos, unnest(ps) AS piece
@@ -269,7 +303,8 @@ def _vocab_sql() -> dict:
            UNION ALL SELECT token, 1, '', a, 0 FROM fx WHERE sec = 1
            UNION ALL SELECT token, 2, nonterminal, ordinal, pos FROM pc
                      WHERE token <> '' AND NOT regexp_matches(token, '\\[[a-zA-Z0-9]+\\]')
-           UNION ALL SELECT unnest(string_split(dir, '/')) AS token, 3, '', ord, unnest(range(0, len(string_split(dir, '/')))) FROM dr""",
+           UNION ALL SELECT unnest(string_split(dir, '/')) AS token, 3, '', ord, unnest(range(0, len(string_split(dir, '/')))) FROM dr
+           UNION ALL SELECT value, 4, value, 0, 0 FROM (SELECT DISTINCT value FROM inv)""",
         "vocab": """SELECT token, CAST(row_number() OVER (ORDER BY k.sec, k.s, k.a, k.b) - 1 AS BIGINT) AS id FROM (
                     SELECT token, min(struct_pack(sec := sec, s := s, a := a, b := b)) AS k FROM vu GROUP BY token)""",
     }
@@ -331,9 +366,7 @@ def q_decode(spark, sf):
 
 @register("derive_commands")  # random synthesis over a data-sized grammar: rows-only + golden tests
 def q_derive(spark, sf):
-    from tracefold.operators import inventory as I
     from tracefold.operators.derive import derive_commands
-    from tracefold.plans.q_inventory import _listing, _pages
     g = derived_grammar(spark, sf)
     inv = cut_lineage(I.path_inventory(_listing(spark, sf)))
     pages = _pages(spark, sf).select("page_id", "image", I.parent_dir(F.col("path")).alias("cwd"))
