@@ -5,7 +5,7 @@ its emitted text.  Every round, each unfinished row emits its leading
 terminal pieces and resolves its first placeholder:
 * a grammar key is expanded by one production chosen by a seeded hash
   (uniform over its productions, plus the terminal action when the
-  nonterminal repeats; a weights table may replace the uniform choice);
+  nonterminal repeats);
   the choice is an equi-join on (nonterminal, index), so a derivation
   touches exactly one production row;
 * file, directory, user, group and interface kinds are left in the text and
