@@ -87,3 +87,21 @@ def test_dedupe_stream_keeps_null_orders(spark, tmp_path):
     J.stream_dedupe(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), rows.schema)
     got = {(r.input, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("a", None), ("b", 5), (None, 1)}
+
+
+def test_directories_need_only_the_last_full_state(spark, tmp_path):
+    import shutil
+    r = random.Random(9)
+    rows = [(s, k, r.choice(["cd a", "cd ..", "cd /b", "ls", "cd c"])) for k in range(42) for s in ("x", "y", None, f"s{k % 11}")]
+    cols = "session string, ord long, cmd string"
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    for batch in range(7):
+        df = spark.createDataFrame([x for x in rows if x[1] // 6 == batch and (x[0] != "y" or batch == 0)], cols)
+        J.cwd_batch(df, plain, plain + "-state", batch, "session", "ord", "cmd", compact_every=1000)
+        J.cwd_batch(df, packed, packed + "-state", batch, "session", "ord", "cmd", compact_every=2)
+        if batch == 5:
+            for old in range(4):  # batch 6 starts from the full state of batch 4
+                shutil.rmtree(f"{packed}-state/batch={old}")
+    out = lambda d: sorted(map(tuple, spark.read.parquet(d).select("batch", "session", "ord", "cwd_before", "cwd_after").collect()), key=str)
+    assert out(plain) == out(packed)
+    assert spark.read.parquet(f"{packed}-state/batch=4").where("session = 'y'").count() == 1

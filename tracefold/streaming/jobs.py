@@ -113,17 +113,24 @@ def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str,
     q.awaitTermination()
 
 
+#: Every so many batches the directories of all sessions are written, else of those a batch touched.
+COMPACT_EVERY = 20
+
+
 def cwd_batch(df: DataFrame, out_dir: str, state_dir: str, batch_id: int, session: str, order: str, cmd: str,
-              start_cwd: str = "/") -> None:
+              start_cwd: str = "/", compact_every: int = COMPACT_EVERY) -> None:
     """One micro-batch of commands: directories start where the latest
     earlier batch left each session.  The directory functions are composed
     by the block scan of ``cwd_track``, so no session sits in one task; the
-    state is one (session, cwd) row for each session a batch touched.  Both
-    outputs are the batch's own partitions: a replay rewrites them."""
+    state is one (session, cwd) row for each session a batch touched, and at
+    every ``compact_every``-th batch one for each session so far, so a batch
+    reads the last full state and what came after it.  Both outputs are the
+    batch's own partitions: a replay rewrites them."""
     spark = df.sparkSession
     state = T.StructType([df.schema[session], T.StructField("cwd", T.StringType()), T.StructField("batch", T.LongType())])
+    full = max(batch_id - 1, 0) // compact_every * compact_every  # the last full state before this batch
     try:
-        before = spark.read.schema(state).parquet(state_dir).where(F.col("batch") < batch_id)
+        before = spark.read.schema(state).parquet(state_dir).where((F.col("batch") < batch_id) & (F.col("batch") >= full))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -133,6 +140,8 @@ def cwd_batch(df: DataFrame, out_dir: str, state_dir: str, batch_id: int, sessio
     done.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
     done = spark.read.parquet(f"{out_dir.rstrip('/')}/batch={batch_id}")
     last = done.groupBy(session).agg(F.max_by("cwd_after", order).alias("cwd"))
+    if batch_id and batch_id % compact_every == 0:
+        last = last.unionByName(join_same(starts, last, [session], "left_anti"))
     last.write.mode("overwrite").parquet(f"{state_dir.rstrip('/')}/batch={batch_id}")
 
 
