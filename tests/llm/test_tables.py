@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import MID, collected, texts
@@ -162,3 +163,17 @@ def test_graph_recall_on_a_large_shard(spark):
 def test_empty_tables(spark, none):
     assert sharding.shard(none, 10).count() == 0 and rules.signals(none).count() == 0 and rules.keep_documents(none).count() == 0
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_known_signals_follow_the_documents():
+    s = rules.Signals(pa.array([t for _, t in texts()], pa.string()))
+    names = ["words", "lines", "n_words", "n_repeat_words", "n_stutter", "upper", "word_chars", "n_dup_lines"]
+    for n in names:
+        s.get(n)
+    idx = np.array([0, 3, 8, 9, 14, 16, len(texts()) - 1])
+    part, fresh = s.take(idx), rules.Signals(s.col.take(pa.array(idx)))
+    assert set(names) <= set(part._known)
+    for n in names:
+        a, b = part.get(n), fresh.get(n)
+        assert all((x == y).all() for x, y in zip(a, b)) if isinstance(a, tuple) else (a == b).all()
+    assert (part.take(np.array([2, 4])).get("words")[3] == fresh.take(np.array([2, 4])).get("words")[3]).all()

@@ -52,7 +52,21 @@ class Signals:
         self._known: dict = {}
 
     def take(self, idx: np.ndarray) -> "Signals":
-        return self if len(idx) == len(self.off) - 1 else Signals(self.col.take(pa.array(idx)))
+        """The signals of some documents, with all that is known of them."""
+        if len(idx) == len(self.off) - 1:
+            return self
+        out = Signals(self.col.take(pa.array(idx)))
+        for name, value in self._known.items():
+            if name == "words":
+                starts, ends, woff, wh = value
+                size, first = np.diff(woff)[idx], woff[:-1][idx]
+                new = np.concatenate([[0], np.cumsum(size)])
+                at = np.repeat(first - new[:-1], size) + np.arange(new[-1])
+                shift = np.repeat(out.off[:-1] - self.off[:-1][idx], size)
+                out._known[name] = (starts[at] + shift, ends[at] + shift, new, wh[at])
+            else:
+                out._known[name] = tuple(x[idx] for x in value) if isinstance(value, tuple) else value[idx]
+        return out
 
     def get(self, name: str) -> np.ndarray:
         if name not in self._known:
