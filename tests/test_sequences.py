@@ -105,3 +105,18 @@ def test_directories_need_only_the_last_full_state(spark, tmp_path):
     out = lambda d: sorted(map(tuple, spark.read.parquet(d).select("batch", "session", "ord", "cwd_before", "cwd_after").collect()), key=str)
     assert out(plain) == out(packed)
     assert spark.read.parquet(f"{packed}-state/batch=4").where("session = 'y'").count() == 1
+
+
+def test_watermark_expires_keys_and_drops_late_rows(spark, tmp_path):
+    day = lambda d: f"2024-01-{d:02d} 00:00:00"
+    drops = [[("a", day(1)), ("a", day(1)), ("b", day(1))], [("a", day(2)), ("c", day(10))], [("b", day(3)), ("d", day(9)), ("c", day(10))], [("e", day(30))]]
+    paths = [str(tmp_path / x) for x in ("in", "out", "ck")]
+    held = []
+    for rows in drops:
+        df = spark.createDataFrame(rows, "k string, t string").select("k", F.to_timestamp("t").alias("t"))
+        df.write.mode("append").json(paths[0])
+        held.append(J.stream_dedupe_watermark(spark, *paths, df.schema, ["k"], "t", "2 days"))
+    got = sorted((r.k, str(r.t)) for r in spark.read.parquet(paths[1]).collect())
+    # a again on day 2 is a copy; b on day 3 is late (watermark 8); c again is a copy
+    assert got == [("a", day(1)), ("b", day(1)), ("c", day(10)), ("d", day(9)), ("e", day(30))]
+    assert held[0] == 2 and held[-1] <= 2  # the keys of the first days have expired

@@ -9,6 +9,7 @@ from tracefold.plans import fixtures as V
 from tracefold.plans import q_steps, q_text  # noqa: F401  (batch oracles reused below)
 from tracefold.plans.registry import REGISTRY, register
 from tracefold.session import scratch_path
+from tracefold.sources.tables import table
 from tracefold.streaming import jobs as J
 
 N_DROPS = 3
@@ -38,11 +39,34 @@ def q_stream_dedupe(spark, sf):
     return spark.read.parquet(out).select("input", "seq")
 
 
+def late_drops(spark, sf):
+    """Events in N_DROPS drops, each over all days, so that later drops hold
+    many late rows; the event time is the day."""
+    e = table(spark, sf, "events").where("ts is not null")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    return e.select("user_id", "event_type", day.alias("day"), F.pmod(F.col("event_id"), F.lit(N_DROPS)).alias("drop"))
+
+
+@register("stream_dedupe_watermark", f"""
+WITH ev AS (SELECT user_id, event_type, date_trunc('day', ts) AS day, event_id % {N_DROPS} AS drop_no FROM events WHERE ts IS NOT NULL),
+wm AS (SELECT d.drop_no, max(e.day) - INTERVAL 2 DAY AS wm FROM range(1, {N_DROPS}) d(drop_no) JOIN ev e ON e.drop_no < d.drop_no GROUP BY d.drop_no)
+SELECT DISTINCT user_id, event_type, strftime(day, '%Y-%m-%d') AS day FROM ev LEFT JOIN wm USING (drop_no) WHERE wm.wm IS NULL OR ev.day > wm.wm""")
+def q_stream_watermark(spark, sf):
+    """A user's kinds of events by day, each once, of the rows the watermark
+    (two days behind the latest day of earlier drops) admits."""
+    e = late_drops(spark, sf)
+    in_dir, out, ck = (scratch_path(spark, f"watermark-{x}") for x in ("in", "out", "ck"))
+    rows = e.drop("drop")
+    for k in range(N_DROPS):
+        e.where(F.col("drop") == k).drop("drop").write.mode("append").json(in_dir)
+        J.stream_dedupe_watermark(spark, in_dir, out, ck, rows.schema, ["user_id", "event_type", "day"], "day", "2 days")
+    return spark.read.schema(rows.schema).parquet(out).select("user_id", "event_type", F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 @register("stream_flush", V.with_views("""
 SELECT input, min(seq) AS seq FROM traces t WHERE input NOT IN (
   SELECT t2.input FROM traces t2 JOIN labels l ON t2.seq = l.doc_id WHERE l.quality = 0) GROUP BY input""", "traces"))
 def q_stream_flush(spark, sf):
-    from tracefold.sources.tables import table
     t = V.traces(spark, sf).select("seq", "input", "exit_code")
     reg = scratch_path(spark, "flush-registry")
     bad = t.join(table(spark, sf, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("seq")), "seq")

@@ -6,6 +6,7 @@ scheduler can run it after every drop and state carries over.
 
 * dedupe / flush: keyed state, first occurrence (min order) per key; flush
   writes each batch into its own partitions, so a replay rewrites them.
+  ``stream_dedupe_watermark``: state that expires with the watermark.
 * cwd: foreachBatch over the block scan of cwd_track; the state is a table
   with each session's directory after each batch.
 * history: keyed state with the newest N results.
@@ -68,6 +69,26 @@ def _first_unseen_fn(order: str, cols: list[str]):
     return first_unseen
 
 
+def stream_dedupe_watermark(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: T.StructType,
+                            key: list[str], event_time: str, delay: str, max_files_per_trigger: int | None = None) -> int:
+    """Dedupe by ``key`` with state that expires: a key is held until the
+    watermark (the latest event time of earlier batches less ``delay``) has
+    passed its own event time by ``delay``; rows not later than the watermark
+    are late and dropped.  So duplicates less than ``delay`` apart give one row
+    and the state holds the keys of about two delays, not of all time.  Of
+    equal keys in one batch any row is kept.  Returns the number of keys in
+    the state after the run."""
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    fresh = r.json(in_dir).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
+    q = (fresh.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+              .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    last = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return int(last[-1]) if last else 0
+
+
 def run_tag(checkpoint: str) -> str:
     """Short name of one streaming query, the same after every restart."""
     return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:10]
