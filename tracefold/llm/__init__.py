@@ -1,3 +1,3 @@
 """Training-data operators: sharding, tokenising, joins, classifiers,
 language models, language identification, packing, personal data, quality
-rules and vector search.  Nothing outside this package imports it."""
+rules, vector search, prefix tries, toxicity and centroid clustering.  Nothing outside this package imports it."""
