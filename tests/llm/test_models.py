@@ -174,6 +174,28 @@ def test_training_grows_with_the_corpus(spark):
     assert (m.p["emb"] != before).any() and np.abs(m.p["emb"] - before).max() < 0.2
 
 
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 64, 65, 2_048, 2_049])
+def test_windows_of_pieces_hold_each_id_once(n):
+    a, b = np.arange(n + 1), np.arange(5_000, 5_000 + 41)
+    start, end = lm.windows_in(np.concatenate([a, b]), np.array([0, n + 1, n + 42]))
+    line = np.concatenate([a, b])
+    assert sorted(line[x + k] for x, y in zip(start, end) for k in range(1, y - x)) == [*a[1:], *b[1:]]
+    assert all(0 < y - x - 1 <= lm.WINDOW for x, y in zip(start, end))
+
+
+def test_every_window_is_learned_from(spark):
+    """Each id of the training documents is read once, those of held-out ones not at all."""
+    m, rng = small_model(), np.random.default_rng(3)
+    some = [rng.integers(0, 50, n) for n in (1, 5, 31, 32, 33, 700, 2_047, 2_048, 9_001, 400, 64)]
+    seen = lm.changes(encoded(spark, some, 50), m, groups=3)[-52:]
+    want = np.zeros(52)
+    for i, t in enumerate(some):
+        if fold(i, 7) != 2:
+            want[51] += 1  # the begin
+            want += np.bincount(t, minlength=52)
+    assert (np.delete(seen, 50) == np.delete(want, 50)).all()  # an end is read only where its window goes on
+
+
 def test_gradients():
     m = small_model()
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}

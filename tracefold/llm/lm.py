@@ -19,9 +19,9 @@ attention model over windows of WINDOW ids.  Windows overlap: each later one
 repeats OVERLAP ids as context only, so every id is scored exactly once, with
 batched masked attention.  Weights start from a bounded sample of windows
 (SAMPLE, from documents chosen by hash).  From there as many local runs as
-there are chunks go on with one in EVERY of all windows of training ids, dealt
-by hash, and the mean of what they have changed is taken, so what is learned
-from grows with the corpus and doesn't depend on its layout.
+there are chunks go on with all windows of training ids, dealt by hash, each
+window in one of them, and the mean of what they have changed is taken, so all
+training text is learned from and its layout doesn't matter.
 
 Defined results: a null or empty text is its end token alone; a null id
 counts as '' for the fold; without training rows N and V are 0, so the base
@@ -41,11 +41,11 @@ from tracefold.llm import bpe
 from tracefold.llm import flat as fl
 from tracefold.llm.common import crc_remainder, stored
 
-CHUNK_BYTES, CHUNKS_LEAST = 32 << 20, 24
+CHUNK_BYTES, CHUNKS_LEAST = 20 << 20, 24
 FLUSH_WORDS = 600_000
 WINDOW, OVERLAP, WIDTH, CLASSES, LIMIT = 32, 8, 16, 64, 30.0
 SAMPLE, PER_DOC = 24_000, 64
-HEADS, EVERY, BATCH, PART = 256, 32, 256, 4096
+HEADS, BATCH, PART, PIECE = 256, 64, 4096, 64
 IDS_BYTES = 1 << 20
 
 
@@ -259,35 +259,40 @@ class Attention:
         return self
 
     def learn(self, rows: np.ndarray, m: dict, r: dict, step: int, now: float) -> None:
-        """One step of Adam; m and r are its means."""
+        """One step of Adam; m and r are its means.  Of the embeddings only the
+        rows of this step's ids move, so a step costs what it reads."""
         p, d = self.p, WIDTH
         x, goal = np.where(rows[:, :-1] < 0, self.end, rows[:, :-1]), rows[:, 1:].ravel()
         e, q, k, v, s, total, o, h, z = self._forward(x, WINDOW)
         s = s / total
         y = np.exp(z)
-        y /= y.sum(-1, keepdims=True)
         real = goal >= 0
-        y[np.flatnonzero(real), self.of[goal[real]]] -= 1
-        y[~real] = 0
-        y /= max(real.sum(), 1)
+        share = real.astype(y.dtype) / max(int(real.sum()), 1)  # a padded place counts nothing
+        y *= (share / (y @ np.ones(y.shape[1], y.dtype)))[:, None]
+        y[np.arange(len(y)), self.of[goal]] -= share
         g = {"top": h.reshape(-1, d).T @ y, "bias": y.sum(0)}
         dh = (y @ p["top"].T).reshape(h.shape)
         g["out"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
         do = (dh.reshape(-1, d) @ p["out"].T).reshape(o.shape)
         ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True)) * d**-0.5
+        ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+        ds *= s
+        ds *= d**-0.5
         dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], -1)
         g["qkv"] = e.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
         de = dh + (dqkv.reshape(-1, 3 * d) @ p["qkv"].T).reshape(e.shape)
         g["pos"] = de.sum(0)
-        g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], x.ravel(), de.reshape(-1, d))
+        order = np.argsort(x, axis=None, kind="stable")
+        ids = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        g["emb"] = np.add.reduceat(de.reshape(-1, d)[order], first)
         for name, grad in g.items():
-            m[name] = 0.9 * m[name] + 0.1 * grad
-            r[name] = 0.99 * r[name] + 0.01 * grad * grad
-            p[name] -= now * (m[name] / (1 - 0.9**step)) / (np.sqrt(r[name] / (1 - 0.99**step)) + 1e-8)
+            at = ids[first] if name == "emb" else slice(None)
+            m[name][at] = mean = 0.9 * m[name][at] + 0.1 * grad
+            r[name][at] = square = 0.99 * r[name][at] + 0.01 * grad * grad
+            p[name][at] -= now * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
 
-    def go_on(self, batches, rate: float = 0.002) -> np.ndarray:
+    def go_on(self, batches, rate: float = 0.001) -> np.ndarray:
         """Learn from batches of windows; the changes by weight, each times
         how often its id (or any id) was seen, and these numbers."""
         old = {k: v.copy() for k, v in self.p.items()}
@@ -349,6 +354,16 @@ def windows_of(ids: np.ndarray, begin: int, chosen=None) -> np.ndarray:
     return line[starts[:, None] + np.arange(WINDOW + 1)]
 
 
+def windows_in(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every window of pieces that begin with the id before
+    their first; windows overlap by that one id."""
+    count = -(-(np.diff(off) - 1) // WINDOW)
+    first = np.concatenate([[0], np.cumsum(count)])
+    piece = np.repeat(np.arange(len(count)), count)
+    start = off[piece] + (np.arange(first[-1]) - first[piece]) * WINDOW
+    return start, np.minimum(start + WINDOW + 1, off[piece + 1])
+
+
 def first_windows(encoded: DataFrame, size: int, tokens: int, sample: int) -> np.ndarray:
     """About ``sample`` windows of training documents, PER_DOC of one at most."""
     share = min(1.0, sample * WINDOW / max(tokens, 1))
@@ -367,30 +382,43 @@ def first_windows(encoded: DataFrame, size: int, tokens: int, sample: int) -> np
 
 
 def changes(encoded: DataFrame, model: Attention, groups: int = CHUNKS_LEAST) -> np.ndarray:
-    """Sums of what ``groups`` local runs learn from one window in EVERY of all
-    training texts.  Windows, groups, their order and the order of the sums
-    follow hashes of the documents, so any layout gives the same model."""
+    """Sums of what ``groups`` local runs learn from all windows of all training
+    texts, each window once.  Texts are dealt in pieces of PIECE windows;
+    pieces, groups, the order of windows and the order of the sums follow hashes
+    of the documents, so any layout gives the same model."""
     shared, size = encoded.sparkSession.sparkContext.broadcast(model), model.size
 
-    def windows(batches):
+    def pieces(batches):
+        kind, step = id_type(size + 2), WINDOW * PIECE
         for b in fl.slices(batches, "ids", IDS_BYTES):
             ids, off = stored_ids(b.column("ids"), size)
-            who, number, rows = [], [], []
+            who, number, parts = [], [], []
             for h, x, y in zip(b.column("h").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
-                first = h % EVERY
-                if first < -(-(y - x) // WINDOW):
-                    w = windows_of(ids[x:y], size + 1, lambda s: s[first::EVERY])
-                    who += [h] * len(w)
-                    number += range(len(w))
-                    rows += [r.tobytes() for r in w.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(number, pa.int64()), pa.array(rows, pa.binary())], ["h", "number", "w"])
+                line = np.concatenate([[size + 1], ids[x:y]]).astype(kind)
+                some = range(0, y - x, step)
+                who += [h] * len(some)
+                number += range(len(some))
+                parts += [line[k: k + step + 1].tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(number, pa.int64()), pa.array(parts, pa.binary())], ["h", "number", "piece"])
 
     def learn(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([("h", "ascending"), ("number", "ascending"), ("w", "ascending")])
-        rows = np.frombuffer(b"".join(t.column("w").to_pylist()), np.int32).reshape(-1, WINDOW + 1).astype(np.int64)
+        t = t.sort_by([("h", "ascending"), ("number", "ascending"), ("piece", "ascending")])
+        buf, off = fl.flat(t.column("piece").combine_chunks())
+        kind = np.dtype(id_type(size + 2))
+        ids, off = buf.view(kind), off // kind.itemsize
+        start, end = windows_in(ids, off)
+        order = np.random.default_rng(len(start)).permutation(len(start))  # a batch mixes texts
+
+        def batches():
+            for k in range(0, len(order), BATCH):
+                w = order[k: k + BATCH]
+                at = start[w, None] + np.arange(WINDOW + 1)
+                yield np.where(at < end[w, None], ids[np.minimum(at, len(ids) - 1)].astype(np.int64), -1)
+
         mine = copy.copy(shared.value)
         mine.p = {k: v.copy() for k, v in mine.p.items()}
-        total = mine.go_on(rows[k: k + BATCH] for k in range(0, len(rows), BATCH)).astype(np.float32)
+        total = mine.go_on(batches()).astype(np.float32)
+        pa.default_memory_pool().release_unused()
         at = [k for k in range(0, len(total), PART) if total[k: k + PART].any()]
         return pa.table([pa.array(at, pa.int64()), pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array([total[k: k + PART].tobytes() for k in at], pa.binary())],
                         names=["at", "bucket", "sums"])
@@ -404,9 +432,9 @@ def changes(encoded: DataFrame, model: Attention, groups: int = CHUNKS_LEAST) ->
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.tobytes()], pa.binary())], ["at", "sums"])
 
     h = F.xxhash64("doc_id", "ids")
-    picked = encoded.where("not held_out").select(h.alias("h"), "ids").mapInArrow(windows, "h long, number long, w binary")
-    picked = picked.withColumn("bucket", F.pmod(F.xxhash64("h", "number", F.lit(7)), F.lit(groups)))  # a long text's windows go to all groups
-    learned = picked.groupBy("bucket").applyInArrow(learn, "at long, bucket long, sums binary")
+    dealt = encoded.where("not held_out").select(h.alias("h"), "ids").mapInArrow(pieces, "h long, number long, piece binary")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", "number", F.lit(7)), F.lit(groups)))  # a long text's pieces go to all groups
+    learned = dealt.groupBy("bucket").applyInArrow(learn, "at long, bucket long, sums binary")
     out = np.zeros(sum(v.size for v in model.p.values()) + size + 2)
     for r in learned.repartition("at").sortWithinPartitions("at", "bucket").mapInArrow(add, "at long, sums binary").collect():
         x = np.frombuffer(r["sums"])
@@ -481,6 +509,7 @@ def score(docs: DataFrame, vocabulary=None, fold: int = 7, held: int = 2) -> Dat
         if not out:
             return pa.table({"doc_id": pa.array([], left.schema.field("doc_id").type), **{x: pa.array([], pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")},
                              "base_score": pa.array([], pa.float64()), "ids": pa.array([], pa.binary())})
+        pa.default_memory_pool().release_unused()  # a worker waits beside the next stages'
         return pa.Table.from_batches(out)
 
     held_out = (crc_remainder(F.col("doc_id"), fold) == held).alias("held_out")
