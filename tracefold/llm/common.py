@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.session import scratch_path
+from tracefold.session import stored  # noqa: F401
 
 #: A table is broadcast only when it has at most this many narrow rows (about 32 MB).
 BROADCAST_ROWS = 1_000_000
@@ -15,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Spark then removes an execution's shuffle files when it ends.
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and a lost
-    executor costs no recomputation.  The frame is executed only this once,
-    so its shuffle files go as soon as the table is written."""
-    spark = df.sparkSession
-    path, before = scratch_path(spark, name), spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count (of a stored table: from its file
     footers); larger tables are joined by a shuffle."""

@@ -71,7 +71,9 @@ def variant_keys(df: DataFrame, row: str, earlier: str, args: str, pos: str = "d
     a = F.col(args)
     n = F.size(a)
     moved = [F.aggregate(F.transform(a, lambda x, i: _token_hash(i - 1, x, s)), F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(x)) for s in _SEEDS]
-    rows = df.where(n >= 2).select(row, F.col(earlier).alias("_earlier"), n.alias("_n"), *[m.alias(f"_all{s}") for s, m in zip(_SEEDS, moved)], F.posexplode(a).alias(pos, "_token"))
+    # the sums of a row before its tokens are spread: beside the generator they would be computed for each token
+    rows = df.where(n >= 2).select(row, F.col(earlier).alias("_earlier"), n.alias("_n"), *[m.alias(f"_all{s}") for s, m in zip(_SEEDS, moved)], a.alias("_args"))
+    rows = rows.select(row, "_earlier", "_n", *[f"_all{s}" for s in _SEEDS], F.posexplode("_args").alias(pos, "_token"))
     before = Window.partitionBy(row).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
     through = Window.partitionBy(row).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select(row, pos, "_earlier", "_n", *[f"_all{s}" for s in _SEEDS],

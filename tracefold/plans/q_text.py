@@ -15,6 +15,7 @@ from tracefold.plans import fixtures as V
 from tracefold.plans import sqlfrag as Q
 from tracefold.plans.fmt import r6
 from tracefold.plans.registry import register
+from tracefold.session import stored
 from tracefold.sources.tables import table
 
 # ------------------------------------------------------------------ SQL helpers
@@ -284,12 +285,14 @@ def q_context_redundancy(spark, sf):
 
 def _sequences(spark, sf):
     """(seq, earlier, args): each trace's whole command sequence as the
-    digest of its earlier commands and the tokens of its last one."""
+    digest of its earlier commands and the tokens of its last one.  Stored
+    before any filter: a filter on these columns would be pushed below and cut
+    up every text again."""
     flat = F.regexp_replace("input", f"{A.WS_CLASS}+", " ")
     cmds = F.filter(F.transform(F.split(flat, ";"), lambda c: F.trim(c)), lambda c: c != "")
     t = V.traces(spark, sf).select("seq", cmds.alias("_cmds"))
     earlier, args = R.sequence_parts(F.col("_cmds"))
-    return t.select("seq", earlier.alias("earlier"), args.alias("args")).where("args is not null")
+    return stored(t.select("seq", earlier.alias("earlier"), args.alias("args")), "sequences").where("args is not null")
 
 
 _SQL_SEQUENCES = f"""
@@ -309,28 +312,29 @@ def q_leave_one_out(spark, sf):
     return v.select("seq", "dropped_pos", "earlier", F.array_join("variant", " ").alias("key"))
 
 
-def _memo(spark, sf):
+def _memo(sequences):
     """The memo of known runs: every trace is a stored run of its whole
     sequence."""
-    return _sequences(spark, sf).select(R.sequence_key("earlier", "args").alias("key"), F.col("seq").alias("run_no"))
+    return sequences.select(R.sequence_key("earlier", "args").alias("key"), F.col("seq").alias("run_no"))
 
 
-def _variant_text(found, spark, sf):
+def _variant_text(found, sequences):
     """Add the texts to rows with (seq, dropped_pos); 0: nothing dropped."""
     p, n = F.col("dropped_pos"), F.size("args")
     short = F.concat(F.slice("args", F.lit(1), p), F.slice("args", p + 2, n - p - 1))
     text = F.array_join(F.when(p == 0, F.col("args")).otherwise(short), " ")
-    return found.join(_sequences(spark, sf), "seq").withColumn("key", text).drop("args")
+    return found.join(sequences, "seq").withColumn("key", text).drop("args")
 
 
 @register("pending_runs", V.with_views("""
 SELECT DISTINCT earlier, key FROM v WHERE (earlier, key) NOT IN (SELECT (earlier, key) FROM memo)""", "traces",
                                        extra={"seqs": _SQL_SEQUENCES, "v": _SQL_VARIANTS, "memo": _SQL_WHOLE}))
 def q_pending_runs(spark, sf):
-    v = R.variant_keys(_sequences(spark, sf), "seq", "earlier", "args")
+    sequences = _sequences(spark, sf)
+    v = R.variant_keys(sequences, "seq", "earlier", "args")
     first = v.groupBy("key").agg(F.min(F.struct("seq", "dropped_pos")).alias("_v")).select("key", "_v.*")
-    todo = join_same(first, _memo(spark, sf), ["key"], "left_anti")
-    return _variant_text(todo.select("seq", "dropped_pos"), spark, sf).select("earlier", "key")
+    todo = join_same(first, _memo(sequences), ["key"], "left_anti")
+    return _variant_text(todo.select("seq", "dropped_pos"), sequences).select("earlier", "key")
 
 
 @register("memo_lookup", V.with_views("""
@@ -341,14 +345,15 @@ GROUP BY req, key""", "traces", extra={"seqs": _SQL_SEQUENCES, "v": _SQL_VARIANT
 SELECT * FROM whole QUALIFY row_number() OVER (PARTITION BY earlier, key ORDER BY seq DESC) <= 5"""}))
 def q_memo_lookup(spark, sf):
     """Requests: every whole sequence and each of its variants."""
-    whole = _memo(spark, sf)
-    v = R.variant_keys(_sequences(spark, sf), "seq", "earlier", "args")
+    sequences = _sequences(spark, sf)
+    whole = _memo(sequences)
+    v = R.variant_keys(sequences, "seq", "earlier", "args")
     v = v.unionByName(whole.select(F.col("run_no").alias("seq"), F.lit(0).alias("dropped_pos"), "key"))
     v = v.withColumn("req", F.concat_ws(":", F.col("seq").cast("string"), F.col("dropped_pos").cast("string")))
     m = R.memo_lookup(v.select("req", "key"), bounded_history(whole, "key", "run_no", n=5), key="key", req_id="req", seed=7).select("req", "run_no")
     at = F.split("req", ":")
     m = m.withColumn("seq", at[0].cast("long")).withColumn("dropped_pos", at[1].cast("int"))
-    return _variant_text(m, spark, sf).select("req", "key", "run_no")
+    return _variant_text(m, sequences).select("req", "key", "run_no")
 
 
 @register("exclude_known_inputs", V.with_views("""
