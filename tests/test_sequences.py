@@ -120,3 +120,12 @@ def test_watermark_expires_keys_and_drops_late_rows(spark, tmp_path):
     # a again on day 2 is a copy; b on day 3 is late (watermark 8); c again is a copy
     assert got == [("a", day(1)), ("b", day(1)), ("c", day(10)), ("d", day(9)), ("e", day(30))]
     assert held[0] == 2 and held[-1] <= 2  # the keys of the first days have expired
+
+
+def test_sums_of_a_row_come_before_its_tokens(spark):
+    """Beside the generator they would be computed again for each token."""
+    from tracefold.operators.redundancy import variant_keys
+    df = spark.createDataFrame([(1, "e", ["a", "b", "c"])], "seq long, earlier string, args array<string>").repartition(2)
+    plan = variant_keys(df, "seq", "earlier", "args")._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate ", 1)
+    assert "aggregate(" not in above and "aggregate(" in below

@@ -258,9 +258,9 @@ class Attention:
             self.learn(windows[rng.integers(0, len(windows), batch)], m, r, step, rate * min(1.0, 2 * (1 - step / (steps + 1))))
         return self
 
-    def learn(self, rows: np.ndarray, m: dict, r: dict, step: int, now: float) -> None:
-        """One step of Adam; m and r are its means.  Of the embeddings only the
-        rows of this step's ids move, so a step costs what it reads."""
+    def learn(self, rows: np.ndarray, m: dict, r: dict, step: int, now: float, sparse: bool = False) -> None:
+        """One step of Adam; m and r are its means.  ``sparse``: of the embeddings
+        only the rows of this step's ids move, so a step costs what it reads."""
         p, d = self.p, WIDTH
         x, goal = np.where(rows[:, :-1] < 0, self.end, rows[:, :-1]), rows[:, 1:].ravel()
         e, q, k, v, s, total, o, h, z = self._forward(x, WINDOW)
@@ -285,9 +285,14 @@ class Attention:
         order = np.argsort(x, axis=None, kind="stable")
         ids = x.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        rows_of = ids[first]
         g["emb"] = np.add.reduceat(de.reshape(-1, d)[order], first)
+        if not sparse:
+            whole = np.zeros_like(p["emb"])
+            whole[rows_of] = g["emb"]
+            g["emb"] = whole
         for name, grad in g.items():
-            at = ids[first] if name == "emb" else slice(None)
+            at = rows_of if sparse and name == "emb" else slice(None)
             m[name][at] = mean = 0.9 * m[name][at] + 0.1 * grad
             r[name][at] = square = 0.99 * r[name][at] + 0.01 * grad * grad
             p[name][at] -= now * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -302,7 +307,7 @@ class Attention:
         for step, rows in enumerate(batches, 1):
             x = rows[:, :-1]
             seen += np.bincount(x[x >= 0], minlength=len(seen))
-            self.learn(rows, m, r, step, rate)
+            self.learn(rows, m, r, step, rate, sparse=True)
         n = seen.sum()
         change = [((self.p[k] - old[k]) * (seen[:, None] if k == "emb" else n)).ravel() for k in sorted(old)]
         return np.concatenate([*change, seen])
