@@ -4,8 +4,9 @@ Each job is an incremental query on a file source with a checkpoint;
 ``trigger(availableNow=True)`` processes what has arrived and stops, so a
 scheduler can run it after every drop and state carries over.
 
-* dedupe / flush: keyed state, first occurrence (min order) per key; flush
-  writes each batch into its own partitions, so a replay rewrites them.
+* dedupe / flush: foreachBatch; first occurrence (min order) per key by a
+  native aggregate, earlier keys by an anti-join on digests; each batch has
+  its own partitions, so a replay rewrites them.
   ``stream_dedupe_watermark``: state that expires with the watermark.
 * cwd: foreachBatch over the block scan of cwd_track; the state is a table
   with each session's directory after each batch.
@@ -20,7 +21,7 @@ import json
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -34,26 +35,47 @@ def stream_dedupe(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
                   key: str = "input", order: str = "seq", max_files_per_trigger: int | None = None) -> None:
     """Incremental first-wins dedupe by ``key`` as files arrive.
 
-    Keyed streaming state (one "seen" flag per key, in the state store):
-    a micro-batch touches only its own keys, never the keys written so
-    far; the first row of a new key (min ``order`` within the batch) is
-    emitted once.  The checkpointed file sink makes output exactly-once.
+    A micro-batch is reduced to the first row (min ``order``, null ones last)
+    of each of its keys by a native aggregate, and keys of earlier batches go
+    by an anti-join on digests: 32 bytes of state a key, no Python call a key.
     State grows with the number of distinct keys (no TTL: a key must stay
-    deduplicated forever)."""
-    cols = [f.name for f in schema.fields]
-    first_unseen = _first_unseen_fn(order, cols)
-
+    deduplicated forever).  Rows and digests are the batch's own partitions
+    (``<out_dir>/batch=<id>``), so a replay rewrites them."""
+    state_dir = f"{checkpoint.rstrip('/')}-keys"
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    out = r.json(in_dir).groupBy(key).applyInPandasWithState(
-        first_unseen, schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    q = (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    q = (r.json(in_dir).writeStream.foreachBatch(lambda df, bid: dedupe_batch(df, out_dir, state_dir, bid, key, order))
+          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def digest(key: str) -> Column:
+    """A key as 32 bytes (null stays null)."""
+    return F.unhex(F.sha2(F.col(key).cast("string"), 256))
+
+
+def first_rows(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of least ``order`` (null ones last) of each key, and its
+    ``_digest``; a null key is a key."""
+    best = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.col(order).isNull(), F.col(order)))
+    return df.groupBy(digest(key).alias("_digest")).agg(best.alias("_row")).select("_digest", "_row.*")
+
+
+def dedupe_batch(df: DataFrame, out_dir: str, state_dir: str, batch_id: int, key: str, order: str) -> None:
+    """One micro-batch: its keys' first rows, without the keys of earlier batches."""
+    spark, out = df.sparkSession, f"{out_dir.rstrip('/')}/batch={batch_id}"
+    new = first_rows(df, key, order)
+    if batch_id:
+        before = spark.read.schema("_digest binary, batch long").parquet(state_dir).where(F.col("batch") < batch_id)
+        new = join_same(new, before, ["_digest"], "left_anti")
+    new.drop("_digest").write.mode("overwrite").parquet(out)
+    done = spark.read.schema(df.schema).parquet(out)
+    done.select(digest(key).alias("_digest")).write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+
+
 def _first_unseen_fn(order: str, cols: list[str]):
+    """The same for applyInPandasWithState: one call a key."""
     def first_unseen(k, pdfs, state):
         best = None  # running minimum: one row is held, however many the batch has
         for pdf in pdfs:
@@ -98,39 +120,42 @@ def flush_write(df: DataFrame, out_dir: str, registry: str, name: str, key: str
     """Write one flush: the traces and their keys, each into the partition
     of that name, overwritten as a whole, so replaying a batch rewrites the
     same files instead of appending twice."""
-    df = df.persist()
-    df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch={name}")
-    df.select(key).write.mode("overwrite").parquet(f"{registry.rstrip('/')}/flush={name}")
-    df.unpersist()
+    out = f"{out_dir.rstrip('/')}/batch={name}"
+    df.write.mode("overwrite").parquet(out)
+    done = df.sparkSession.read.schema(df.schema).parquet(out)
+    done.select(key).write.mode("overwrite").parquet(f"{registry.rstrip('/')}/flush={name}")
 
 
-def registered_before(spark: SparkSession, registry: str, tag: str, key: str = "input") -> DataFrame:
-    """Keys in the registry that the streaming query ``tag`` did not write
-    itself.  A replayed batch must not meet its own keys here: it would be
-    emptied and then overwritten with nothing."""
+def registered_before(spark: SparkSession, registry: str, tag: str, batch_id: int, key: str = "input") -> DataFrame:
+    """Keys in the registry without those of batch ``batch_id`` of the streaming
+    query ``tag`` or its later ones.  A replayed batch must not meet its own
+    keys here: it would be emptied and then overwritten with nothing."""
     known = load_registry(spark, registry, [key, "flush"])
-    return known.where(~F.col("flush").cast("string").startswith(tag + "-")).select(key)
+    name = F.col("flush").cast("string")
+    number = F.when(name.startswith(tag + "-"), F.substring_index(name, "-", -1).cast("long"))
+    return known.where(number.isNull() | (number < batch_id)).select(key)
 
 
 def stream_flush(spark: SparkSession, in_dir: str, out_dir: str, registry: str, checkpoint: str,
                  schema: T.StructType, key: str = "input", order: str = "seq",
                  max_files_per_trigger: int | None = None) -> None:
     """Every micro-batch (bounded by maxFilesPerTrigger, the flush size):
-    inputs registered by anyone else are dropped by a stream-static
-    anti-join; inputs already seen while streaming are dropped by keyed
-    state; the first row of each new input is flushed together with its
-    registry key (``flush_write``).  Registry layout: ``<registry>/flush=<name>/``
-    partitions, named by query and batch (read with load_registry)."""
+    its keys' first rows, less those registered by anyone else or by an
+    earlier batch (an anti-join on digests), are flushed together with
+    their registry keys (``flush_write``), so the registry is the state.
+    Registry layout: ``<registry>/flush=<name>/`` partitions, named by query
+    and batch (read with load_registry)."""
     tag = run_tag(checkpoint)
-    known = registered_before(spark, registry, tag, key)
     r = spark.readStream.schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    cols = [f.name for f in schema.fields]
-    fresh = join_same(r.json(in_dir), known, [key], "left_anti").groupBy(key).applyInPandasWithState(
-        _first_unseen_fn(order, cols), schema, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    q = (fresh.writeStream.foreachBatch(lambda df, bid: flush_write(df, out_dir, registry, f"{tag}-{bid}", key))
-              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+    def flush(df: DataFrame, batch_id: int) -> None:
+        known = registered_before(spark, registry, tag, batch_id, key).select(digest(key).alias("_digest"))
+        fresh = join_same(first_rows(df, key, order), known, ["_digest"], "left_anti").drop("_digest")
+        flush_write(fresh, out_dir, registry, f"{tag}-{batch_id}", key)
+
+    q = (r.json(in_dir).writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
