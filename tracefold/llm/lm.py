@@ -220,11 +220,13 @@ class Attention:
         self.p["bias"] = np.log(first / first.sum()).astype(np.float32)
         return self
 
-    def _forward(self, x: np.ndarray, w: int):
+    def _forward(self, x: np.ndarray, w: int, new: int = 0):
         """Scores and logits are held within LIMIT, so their exponentials
-        need no maximum; attention to later ids is multiplied away."""
+        need no maximum; attention to later ids is multiplied away.  Logits
+        begin at place ``new`` of each window."""
         p, d = self.p, WIDTH
-        e = p["emb"][x] + p["pos"][:w]
+        e = p["emb"].take(x, 0)
+        e += p["pos"][:w]
         qkv = (e.reshape(-1, d) @ p["qkv"]).reshape(len(x), w, 3 * d)
         q, k, v = qkv[..., :d], qkv[..., d: 2 * d], qkv[..., 2 * d:]
         s = np.matmul(q, k.transpose(0, 2, 1))
@@ -232,9 +234,11 @@ class Attention:
         np.clip(s, -LIMIT, LIMIT, out=s)
         np.exp(s, out=s)
         s *= self.mask[:w, :w]
-        total = np.matmul(s, np.ones((w, 1), s.dtype))
+        total = (s.reshape(-1, w) @ np.ones(w, s.dtype)).reshape(len(x), w, 1)
         o = np.matmul(s, v)
         o /= total
+        if new:  # places of the context have no output
+            e, o = e[:, new:], o[:, new:]
         h = (o.reshape(-1, d) @ p["out"]).reshape(o.shape)
         h += e
         z = h.reshape(-1, d) @ p["top"]
@@ -244,8 +248,9 @@ class Attention:
 
     @staticmethod
     def _log_share(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """log softmax of each row at its goal."""
-        return z[np.arange(len(z)), goal] - np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+        """log softmax of each row at its goal; z is used up."""
+        at = z[np.arange(len(z)), goal]
+        return at - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
     def fit(self, windows: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "Attention":
         """windows: rows of WINDOW + 1 ids (begin, then the text; padded by -1)."""
@@ -264,38 +269,54 @@ class Attention:
         p, d = self.p, WIDTH
         x, goal = np.where(rows[:, :-1] < 0, self.end, rows[:, :-1]), rows[:, 1:].ravel()
         e, q, k, v, s, total, o, h, z = self._forward(x, WINDOW)
-        s = s / total
-        y = np.exp(z)
+        s /= total
+        y = np.exp(z, out=z)
         real = goal >= 0
         share = real.astype(y.dtype) / max(int(real.sum()), 1)  # a padded place counts nothing
         y *= (share / (y @ np.ones(y.shape[1], y.dtype)))[:, None]
         y[np.arange(len(y)), self.of[goal]] -= share
-        g = {"top": h.reshape(-1, d).T @ y, "bias": y.sum(0)}
+        g = {"top": h.reshape(-1, d).T @ y, "bias": np.ones(len(y), y.dtype) @ y}
         dh = (y @ p["top"].T).reshape(h.shape)
         g["out"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
         do = (dh.reshape(-1, d) @ p["out"].T).reshape(o.shape)
         ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", ds, s)[..., None]
+        ds -= np.einsum("ijk,ijk->ij", do, o)[..., None]  # the mean of a row of ds by its weights
         ds *= s
         ds *= d**-0.5
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], -1)
+        dqkv = np.empty((*x.shape, 3 * d), y.dtype)
+        np.matmul(ds, k, out=dqkv[..., :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d: 2 * d])
+        np.matmul(s.transpose(0, 2, 1), do, out=dqkv[..., 2 * d:])
         g["qkv"] = e.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
         de = dh + (dqkv.reshape(-1, 3 * d) @ p["qkv"].T).reshape(e.shape)
         g["pos"] = de.sum(0)
-        order = np.argsort(x, axis=None, kind="stable")
-        ids = x.ravel()[order]
+        flat = x.astype(id_type(self.size + 2)).ravel()
+        order = np.argsort(flat, kind="stable")  # of short ids: a radix sort
+        ids = flat[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows_of = ids[first]
-        g["emb"] = np.add.reduceat(de.reshape(-1, d)[order], first)
+        rows_of = ids[first].astype(np.intp)
+        g["emb"] = np.add.reduceat(de.reshape(-1, d).take(order, 0), first)
         if not sparse:
             whole = np.zeros_like(p["emb"])
             whole[rows_of] = g["emb"]
             g["emb"] = whole
+        fade, far = now / (1 - 0.9**step), 1 / (1 - 0.99**step)
         for name, grad in g.items():
-            at = rows_of if sparse and name == "emb" else slice(None)
-            m[name][at] = mean = 0.9 * m[name][at] + 0.1 * grad
-            r[name][at] = square = 0.99 * r[name][at] + 0.01 * grad * grad
-            p[name][at] -= now * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+            some = sparse and name == "emb"
+            mean, square, value = (a[name].take(rows_of, 0) if some else a[name] for a in (m, r, p))
+            mean *= 0.9
+            mean += 0.1 * grad
+            grad *= grad
+            grad *= 0.01
+            square *= 0.99
+            square += grad
+            np.sqrt(square * far, out=grad)
+            grad += 1e-8
+            np.divide(mean, grad, out=grad)
+            grad *= fade
+            value -= grad
+            if some:
+                m[name][rows_of], r[name][rows_of], p[name][rows_of] = mean, square, value
 
     def go_on(self, batches, rate: float = 0.001) -> np.ndarray:
         """Learn from batches of windows; the changes by weight, each times
@@ -322,7 +343,7 @@ class Attention:
             at += v.size
         return self
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 256) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 64) -> np.ndarray:
         """log10 probability of each text; ids hold each text's end id."""
         n = np.diff(off)
         step = WINDOW - OVERLAP
@@ -332,20 +353,22 @@ class Attention:
         start = (np.arange(first[-1]) - first[doc]) * step
         total = np.add.reduceat(np.append(self.inside[ids], 0.0), off[:-1]) * (n > 0) if len(n) else np.zeros(0)
         before = np.append(ids, self.end)
-        order = np.argsort(np.minimum(n[doc] - start, WINDOW), kind="stable")  # short windows together
-        for a in range(0, len(order), batch):
-            w = order[a: a + batch]
-            wide = int(min(WINDOW, (n[doc[w]] - start[w]).max()))
+        wide_of, later = np.minimum(n[doc] - start, WINDOW), start > 0
+        order = np.argsort(wide_of + 2 * WINDOW * later, kind="stable")  # short windows together, first ones before later ones
+        firsts = int(len(order) - later.sum())
+        for a in [*range(0, firsts, batch), *range(firsts, len(order), batch)]:
+            w = order[a: min(a + batch, firsts) if a < firsts else a + batch]
+            wide, new = int(wide_of[w].max()), 0 if a < firsts else OVERLAP
             at = start[w, None] + np.arange(wide)
             real = at < n[doc[w], None]
             at = np.where(real, off[doc[w], None] + at, len(ids))
             x = before[at - 1]
-            x[start[w] == 0, 0] = self.begin
-            z = self._forward(x, wide)[-1]
-            goal = self.of[before[at]].ravel()
-            logp = self._log_share(z, goal)
-            mine = real & ((np.arange(wide) >= OVERLAP) | (start[w] == 0)[:, None])
-            total += np.bincount(doc[w], (logp.reshape(real.shape) * mine).sum(1) / np.log(10), len(n))
+            if not new:
+                x[:, 0] = self.begin
+            z = self._forward(x, wide, new)[-1]
+            real = real[:, new:]
+            logp = self._log_share(z, self.of[before[at[:, new:]]].ravel())
+            total += np.bincount(doc[w], (logp.reshape(real.shape) * real).sum(1) / np.log(10), len(n))
         return total
 
 
