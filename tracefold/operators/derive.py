@@ -94,9 +94,7 @@ def derive_commands(grammar: DataFrame, requests: DataFrame, repeats: DataFrame,
     rep = repeats.select("nonterminal", F.lit(True).alias("is_rep")).distinct()
     info = nts.join(rep, "nonterminal", "left").withColumn("is_rep", F.coalesce("is_rep", F.lit(False)))
     info = cut_lineage(info.withColumnRenamed("nonterminal", "_head"))
-    prods = grammar.select(F.col("nonterminal").alias("_head"), F.col("ordinal").alias("_idx"),
-                           split_placeholders("production").alias("_pieces"))
-    prods = cut_lineage(prods)
+    prods = grammar.select(F.col("nonterminal").alias("_head"), F.col("ordinal").alias("_idx"), F.col("production").alias("_production"))
     state = requests.select("id", "seed", F.array(F.lit(start)).alias("stack"),
                             F.array().cast("array<string>").alias("out"), F.lit(0).alias("n_args"),
                             F.lit(0).alias("rounds"))
@@ -126,7 +124,8 @@ def derive_commands(grammar: DataFrame, requests: DataFrame, repeats: DataFrame,
         n_choice = F.col("n_prod") + F.when(F.col("is_rep"), 1).otherwise(0)
         idx = F.when(at_limit, F.col("n_prod")).otherwise(F.col("_hash") % n_choice)
         live = live.withColumn("_idx", F.when(F.col("n_prod").isNotNull(), idx.cast("int")))
-        live = live.join(prods, ["_head", "_idx"], "left")
+        # only the chosen productions are cut up
+        live = live.join(prods, ["_head", "_idx"], "left").withColumn("_pieces", split_placeholders("_production"))
         key = F.col("n_prod").isNotNull()
         terminal_action = key & F.col("_pieces").isNull()            # idx == n_prod: stop repeating
         expand_rep = key & F.col("is_rep") & F.col("_pieces").isNotNull()
