@@ -1,15 +1,15 @@
 """Language-model scores: a smoothed word-unigram base and a causal
 self-attention model on subword ids, trained in numpy.
 
-Corpus statistics.  Every task counts its distinct words; the counts meet by
-the word's hash, and each distinct word is cut into subword ids once.  So
+Corpus statistics.  Every chunk (below) counts its distinct words; the counts
+meet by the word's hash, and each distinct word is cut into subword ids once.  So
 counts, vocabulary and subword frequencies cover all training documents, and
 what is gathered grows with the corpus.
 
-Encoding.  Documents are dealt into chunks of about CHUNK_BYTES.  Each chunk
-asks for the counts and ids of its distinct words (joins by hash, no
-broadcast), and is encoded as a whole against this lexicon without a Python
-loop over words.  Ids and base scores are stored; the model is fitted and
+Encoding.  Documents are dealt into chunks of about CHUNK_BYTES.  The counts
+and ids of a word go to the chunks that have it (no join, no broadcast), and
+a chunk is encoded as a whole against this lexicon without a Python loop over
+words.  Ids and base scores are stored; the model is fitted and
 applied on them.
 
 Model.  p(id | before) = p(class | before) * p(id | class).  Classes are
@@ -42,7 +42,7 @@ from tracefold.llm import flat as fl
 from tracefold.llm.common import crc_remainder, stored
 
 CHUNK_BYTES, CHUNKS_LEAST = 20 << 20, 24
-FLUSH_WORDS = 600_000
+LEXICON_ROWS = 10_000
 WINDOW, OVERLAP, WIDTH, CLASSES, LIMIT = 32, 8, 16, 64, 30.0
 SAMPLE, PER_DOC = 24_000, 64
 HEADS, BATCH, PART, PIECE = 256, 64, 4096, 64
@@ -84,33 +84,43 @@ class _Words:
         self.__init__()
 
 
-def word_counts(docs: DataFrame, fold: int, held: int) -> DataFrame:
-    """(h, word, c): every distinct word of the corpus with its count in the
-    training documents."""
-    def run(batches):
-        words = _Words()
-        for b in fl.slices(batches):
+def word_counts(dealt: DataFrame) -> DataFrame:
+    """(chunk, h, word, n): every distinct word of a chunk with its count in the
+    chunk's training documents."""
+    def run(t: pa.Table) -> pa.Table:
+        words, chunk = _Words(), t.column("chunk")[0]
+        for b in fl.slices(t.to_batches()):
             buf, off = fl.flat(b.column("text"))
             starts, ends, woff, wh = fl.words(buf, off, lower=True)
             use = np.repeat(~b.column("held_out").to_numpy(zero_copy_only=False), np.diff(woff))
             words.add(buf, starts, ends, wh, use.astype(np.float64))
-            if len(words.h) > FLUSH_WORDS:
-                yield from words.batches()
-        yield from words.batches()
+        out = pa.Table.from_batches(words.batches(), pa.schema([("h", pa.int64()), ("word", pa.string()), ("n", pa.int64())]))
+        return out.add_column(0, "chunk", pa.repeat(chunk, len(out)))
 
-    src = docs.select((crc_remainder(F.col("doc_id"), fold) == held).alias("held_out"), "text")
-    return src.mapInArrow(run, "h long, word string, n long").groupBy("h").agg(F.min("word").alias("word"), F.sum("n").alias("c"))
+    return dealt.groupBy("chunk").applyInArrow(run, "chunk long, h long, word string, n long")
 
 
-def lexicon(docs: DataFrame, shared, fold: int, held: int) -> DataFrame:
-    """(h, c, ids binary), stored: counts and subword ids of each word."""
+def lexicon(counts: DataFrame, shared, parts: int) -> DataFrame:
+    """(h, c, ids binary, chunks), stored: count and subword ids of each word of
+    the corpus and the chunks that have it.  A word's rows meet in one of ``parts``
+    tasks, as many as there are chunks, so a task holds as much as a chunk has."""
     def run(batches):
         enc = shared.value
-        for b in batches:
+        t = pa.Table.from_batches(batches, pa.schema([("chunk", pa.int64()), ("h", pa.int64()), ("word", pa.string()), ("n", pa.int64())]))
+        h = t.column("h").to_numpy()
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1])[: len(h)])
+        c, chunk = (t.column(x).to_numpy()[order] for x in ("n", "chunk"))
+        c = np.add.reduceat(c, first) if len(first) else c
+        word, to = t.column("word").take(pa.array(order[first])), np.append(first, len(h))
+        for k in range(0, len(first), LEXICON_ROWS):
             enc.forget()  # each word comes once
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(enc.encode_bytes(b.column("word").to_pylist()), pa.binary())], ["h", "c", "ids"])
+            m = min(k + LEXICON_ROWS, len(first))
+            where = pa.ListArray.from_arrays(pa.array((to[k: m + 1] - to[k]).astype(np.int32)), pa.array(chunk[to[k]: to[m]]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[first[k:m]]), pa.array(c[k:m]), pa.array(enc.encode_bytes(word[k:m].to_pylist()), pa.binary()), where], ["h", "c", "ids", "chunks"])
 
-    return stored(word_counts(docs, fold, held).mapInArrow(run, "h long, c long, ids binary"), "lm-lexicon")
+    return stored(counts.repartition(parts, "h").mapInArrow(run, "h long, c long, ids binary, chunks array<long>"), "lm-lexicon")
 
 
 def subword_counts(words: DataFrame, size: int) -> np.ndarray:
@@ -220,90 +230,130 @@ class Attention:
         self.p["bias"] = np.log(first / first.sum()).astype(np.float32)
         return self
 
-    def _forward(self, x: np.ndarray, w: int, new: int = 0):
-        """Scores and logits are held within LIMIT, so their exponentials
-        need no maximum; attention to later ids is multiplied away.  Logits
-        begin at place ``new`` of each window."""
-        p, d = self.p, WIDTH
-        e = p["emb"].take(x, 0)
-        e += p["pos"][:w]
-        qkv = (e.reshape(-1, d) @ p["qkv"]).reshape(len(x), w, 3 * d)
-        q, k, v = qkv[..., :d], qkv[..., d: 2 * d], qkv[..., 2 * d:]
+    def _weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights as they are used: the root of WIDTH goes into those of the
+        queries, the bias is a last row of ``top``."""
+        qkv = self.p["qkv"].copy()
+        qkv[:, :WIDTH] *= WIDTH**-0.5
+        return qkv, np.concatenate([self.p["top"], self.p["bias"][None]])
+
+    def _attend(self, t: np.ndarray, new: int = 0):
+        """t: queries, keys, values and a one for each place of the windows; the
+        ones sum the weights.  Scores are held within LIMIT, so their exponentials
+        need no maximum; attention to later ids is multiplied away.  Queries begin
+        at place ``new``."""
+        d, w = WIDTH, t.shape[1]
+        q, k, v = t[:, new:, :d], t[..., d: 2 * d], t[..., 2 * d: 3 * d + 1]
         s = np.matmul(q, k.transpose(0, 2, 1))
-        s *= d**-0.5
         np.clip(s, -LIMIT, LIMIT, out=s)
         np.exp(s, out=s)
-        s *= self.mask[:w, :w]
-        total = (s.reshape(-1, w) @ np.ones(w, s.dtype)).reshape(len(x), w, 1)
-        o = np.matmul(s, v)
-        o /= total
-        if new:  # places of the context have no output
-            e, o = e[:, new:], o[:, new:]
-        h = (o.reshape(-1, d) @ p["out"]).reshape(o.shape)
-        h += e
-        z = h.reshape(-1, d) @ p["top"]
-        z += p["bias"]
+        s *= self.mask[new:w, :w]
+        return q, k, v, s, np.matmul(s, v)
+
+    def _forward(self, x: np.ndarray, w: int, weights=None):
+        """Logits are held within LIMIT, too."""
+        p, d = self.p, WIDTH
+        qkv, top = weights or self._weights()
+        e = p["emb"].take(x, 0)
+        e += p["pos"][:w]
+        t = np.empty((len(x), w, 3 * d + 1), e.dtype)
+        np.matmul(e.reshape(-1, d), qkv, out=t.reshape(-1, 3 * d + 1)[:, :-1])
+        t[..., -1] = 1
+        q, k, v, s, o = self._attend(t)
+        total = o[..., d:]
+        o = o[..., :d] / total
+        h = np.ones((*o.shape[:2], d + 1), o.dtype)
+        np.add((o.reshape(-1, d) @ p["out"]).reshape(o.shape), e, out=h[..., :d])
+        z = h.reshape(-1, d + 1) @ top
         np.clip(z, -LIMIT, LIMIT, out=z)
         return e, q, k, v, s, total, o, h, z
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For scoring, where weights stay: what each id and each place adds to
+        queries, keys, values (through ``out``), the one, h and its one."""
+        p, d = self.p, WIDTH
+        qkv, top = self._weights()
+        qkv[:, 2 * d:] = qkv[:, 2 * d:] @ p["out"]
+        of_id, of_place = (np.zeros((len(p[k]), 4 * d + 2), p[k].dtype) for k in ("emb", "pos"))
+        for t, k in ((of_id, "emb"), (of_place, "pos")):
+            np.matmul(p[k], qkv, out=t[:, : 3 * d])
+            t[:, 3 * d + 1: -1] = p[k]
+        of_id[:, 3 * d] = 1
+        return of_id, of_place, top
+
     @staticmethod
     def _log_share(z: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """log softmax of each row at its goal; z is used up."""
         at = z[np.arange(len(z)), goal]
         return at - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
+    def _joined(self) -> np.ndarray:
+        """All weights but the embeddings, made views of one array."""
+        names = [k for k in self.p if k != "emb"]
+        line = np.concatenate([self.p[k].ravel() for k in names])
+        at = np.cumsum([0, *(self.p[k].size for k in names)]).tolist()
+        self.p.update({k: line[a:b].reshape(self.p[k].shape) for k, a, b in zip(names, at, at[1:])})
+        return line
+
     def fit(self, windows: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "Attention":
         """windows: rows of WINDOW + 1 ids (begin, then the text; padded by -1)."""
         if not len(windows):
             return self
         rng = np.random.default_rng(seed)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        r = {k: np.zeros_like(v) for k, v in self.p.items()}
+        state = [(v, np.zeros_like(v), np.zeros_like(v)) for v in (self._joined(), self.p["emb"])]
         for step in range(1, steps + 1):
-            self.learn(windows[rng.integers(0, len(windows), batch)], m, r, step, rate * min(1.0, 2 * (1 - step / (steps + 1))))
+            self.learn(windows[rng.integers(0, len(windows), batch)], state, step, rate * min(1.0, 2 * (1 - step / (steps + 1))))
         return self
 
-    def learn(self, rows: np.ndarray, m: dict, r: dict, step: int, now: float, sparse: bool = False) -> None:
-        """One step of Adam; m and r are its means.  ``sparse``: of the embeddings
-        only the rows of this step's ids move, so a step costs what it reads."""
+    def learn(self, rows: np.ndarray, state: list, step: int, now: float, sparse: bool = False) -> None:
+        """One step of Adam; ``state`` has its means, for _joined() and for the
+        embeddings.  ``sparse``: of the embeddings only the rows of this step's ids
+        move, so a step costs what it reads."""
         p, d = self.p, WIDTH
         x, goal = np.where(rows[:, :-1] < 0, self.end, rows[:, :-1]), rows[:, 1:].ravel()
-        e, q, k, v, s, total, o, h, z = self._forward(x, WINDOW)
-        s /= total
+        qkv, top = self._weights()
+        e, q, k, v, s, total, o, h, z = self._forward(x, WINDOW, weights=(qkv, top))
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        # a row's factors (softmax, attention's weights) go into the narrow side of each product
         y = np.exp(z, out=z)
+        whole = y @ np.ones(y.shape[1], y.dtype)
         real = goal >= 0
-        share = real.astype(y.dtype) / max(int(real.sum()), 1)  # a padded place counts nothing
-        y *= (share / (y @ np.ones(y.shape[1], y.dtype)))[:, None]
-        y[np.arange(len(y)), self.of[goal]] -= share
-        g = {"top": h.reshape(-1, d).T @ y, "bias": np.ones(len(y), y.dtype) @ y}
-        dh = (y @ p["top"].T).reshape(h.shape)
-        g["out"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
-        do = (dh.reshape(-1, d) @ p["out"].T).reshape(o.shape)
+        share = real.astype(y.dtype) / (max(int(real.sum()), 1) * whole)  # a padded place counts nothing
+        np.subtract.at(y.reshape(-1), np.arange(0, y.size, y.shape[1]) + self.of[goal], whole)
+        dh = y @ p["top"].T
+        dh *= share[:, None]
+        h = flat(h)
+        h *= share[:, None]
+        g_top = (y.T @ h).T  # the bias is its last row
+        g_out = flat(o).T @ dh
+        do = np.empty((*x.shape, d + 1), y.dtype)
+        np.divide((dh @ p["out"].T).reshape(o.shape), total, out=do[..., :d])
+        np.negative(np.einsum("ijk,ijk->ij", do[..., :d], o), out=do[..., d])  # the mean of a row of ds by its weights
         ds = np.matmul(do, v.transpose(0, 2, 1))
-        ds -= np.einsum("ijk,ijk->ij", do, o)[..., None]  # the mean of a row of ds by its weights
         ds *= s
-        ds *= d**-0.5
         dqkv = np.empty((*x.shape, 3 * d), y.dtype)
         np.matmul(ds, k, out=dqkv[..., :d])
         np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., d: 2 * d])
-        np.matmul(s.transpose(0, 2, 1), do, out=dqkv[..., 2 * d:])
-        g["qkv"] = e.reshape(-1, d).T @ dqkv.reshape(-1, 3 * d)
-        de = dh + (dqkv.reshape(-1, 3 * d) @ p["qkv"].T).reshape(e.shape)
-        g["pos"] = de.sum(0)
-        flat = x.astype(id_type(self.size + 2)).ravel()
-        order = np.argsort(flat, kind="stable")  # of short ids: a radix sort
-        ids = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows_of = ids[first].astype(np.intp)
-        g["emb"] = np.add.reduceat(de.reshape(-1, d).take(order, 0), first)
-        if not sparse:
-            whole = np.zeros_like(p["emb"])
-            whole[rows_of] = g["emb"]
-            g["emb"] = whole
+        np.matmul(s.transpose(0, 2, 1), do[..., :d], out=dqkv[..., 2 * d:])
+        g_qkv = (flat(dqkv).T @ flat(e)).T
+        g_qkv[:, :d] *= d**-0.5
+        de = flat(dqkv) @ qkv.T
+        de += dh
+        g = {"pos": de.reshape(x.shape[0], -1).sum(0), "qkv": g_qkv, "out": g_out, "top": g_top[:-1], "bias": g_top[-1]}
+        ids = x.astype(id_type(self.size + 2)).ravel()
+        order = np.argsort(ids, kind="stable")  # of short ids: a radix sort
+        line = ids[order]
+        new = np.concatenate([[True], line[1:] != line[:-1]])
+        rows_of = line[new].astype(np.intp)
+        place = np.empty(len(ids), np.intp)
+        place[order] = np.cumsum(new) - 1 if sparse else line
+        place *= d
+        g_emb = np.zeros((len(rows_of) if sparse else len(p["emb"])) * d, de.dtype)
+        np.add.at(g_emb, (place[:, None] + np.arange(d)).ravel(), de.ravel())
         fade, far = now / (1 - 0.9**step), 1 / (1 - 0.99**step)
-        for name, grad in g.items():
-            some = sparse and name == "emb"
-            mean, square, value = (a[name].take(rows_of, 0) if some else a[name] for a in (m, r, p))
+        for held, grad in zip(state, (np.concatenate([g[k].ravel() for k in p if k != "emb"]), g_emb.reshape(-1, d))):
+            some = sparse and grad.ndim == 2
+            value, mean, square = (a.take(rows_of, 0) if some else a for a in held)
             mean *= 0.9
             mean += 0.1 * grad
             grad *= grad
@@ -316,19 +366,23 @@ class Attention:
             grad *= fade
             value -= grad
             if some:
-                m[name][rows_of], r[name][rows_of], p[name][rows_of] = mean, square, value
+                for a, new in zip(held, (value, mean, square)):
+                    a[rows_of] = new
 
     def go_on(self, batches, rate: float = 0.001) -> np.ndarray:
         """Learn from batches of windows; the changes by weight, each times
         how often its id (or any id) was seen, and these numbers."""
         old = {k: v.copy() for k, v in self.p.items()}
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        r = {k: np.zeros_like(v) for k, v in self.p.items()}
-        seen = np.zeros(self.size + 2)
+        state = [(v, np.zeros_like(v), np.zeros_like(v)) for v in (self._joined(), self.p["emb"])]
+        seen, read = np.zeros(self.size + 2), []
         for step, rows in enumerate(batches, 1):
-            x = rows[:, :-1]
-            seen += np.bincount(x[x >= 0], minlength=len(seen))
-            self.learn(rows, m, r, step, rate, sparse=True)
+            self.learn(rows, state, step, rate, sparse=True)
+            read.append(rows[:, :-1].ravel())
+            if step % 64 == 0:
+                seen += np.bincount(np.concatenate(read) + 1, minlength=len(seen) + 1)[1:]  # padding is -1
+                read = []
+        if read:
+            seen += np.bincount(np.concatenate(read) + 1, minlength=len(seen) + 1)[1:]
         n = seen.sum()
         change = [((self.p[k] - old[k]) * (seen[:, None] if k == "emb" else n)).ravel() for k in sorted(old)]
         return np.concatenate([*change, seen])
@@ -343,33 +397,43 @@ class Attention:
             at += v.size
         return self
 
-    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 64) -> np.ndarray:
+    def score(self, ids: np.ndarray, off: np.ndarray, batch: int = 128) -> np.ndarray:
         """log10 probability of each text; ids hold each text's end id."""
         n = np.diff(off)
-        step = WINDOW - OVERLAP
+        step, d = WINDOW - OVERLAP, WIDTH
         count = np.where(n > 0, 1 + np.maximum(-(-(n - WINDOW) // step), 0), 0)
         first = np.concatenate([[0], np.cumsum(count)])
         doc = np.repeat(np.arange(len(n)), count)
         start = (np.arange(first[-1]) - first[doc]) * step
         total = np.add.reduceat(np.append(self.inside[ids], 0.0), off[:-1]) * (n > 0) if len(n) else np.zeros(0)
         before = np.append(ids, self.end)
+        of, (of_id, of_place, top) = self.of[before], self._tables()
         wide_of, later = np.minimum(n[doc] - start, WINDOW), start > 0
+        start += off[doc]
         order = np.argsort(wide_of + 2 * WINDOW * later, kind="stable")  # short windows together, first ones before later ones
         firsts = int(len(order) - later.sum())
+        share = np.zeros(len(order))
         for a in [*range(0, firsts, batch), *range(firsts, len(order), batch)]:
             w = order[a: min(a + batch, firsts) if a < firsts else a + batch]
-            wide, new = int(wide_of[w].max()), 0 if a < firsts else OVERLAP
+            wide, new = int(wide_of[w[-1]]), 0 if a < firsts else OVERLAP
             at = start[w, None] + np.arange(wide)
-            real = at < n[doc[w], None]
-            at = np.where(real, off[doc[w], None] + at, len(ids))
+            full = wide_of[w[0]] == wide
+            if not full:
+                real = np.arange(wide) < wide_of[w, None]
+                at = np.where(real, at, len(ids))
             x = before[at - 1]
             if not new:
                 x[:, 0] = self.begin
-            z = self._forward(x, wide, new)[-1]
-            real = real[:, new:]
-            logp = self._log_share(z, self.of[before[at[:, new:]]].ravel())
-            total += np.bincount(doc[w], (logp.reshape(real.shape) * real).sum(1) / np.log(10), len(n))
-        return total
+            t = of_id.take(x, 0)
+            t += of_place[:wide]
+            h = self._attend(t, new)[-1]
+            h /= h[..., d:].copy()  # its last place, the sum of the weights, becomes the bias's one
+            h += t[:, new:, 3 * d + 1:]
+            z = h.reshape(-1, d + 1) @ top
+            np.clip(z, -LIMIT, LIMIT, out=z)
+            logp = self._log_share(z, of[at[:, new:]].ravel()).reshape(len(w), -1)
+            share[w] = (logp if full else logp * real[:, new:]).sum(1)
+        return total + np.bincount(doc, share / np.log(10), len(n))
 
 
 def windows_of(ids: np.ndarray, begin: int, chosen=None) -> np.ndarray:
@@ -485,24 +549,17 @@ def score(docs: DataFrame, vocabulary=None, fold: int = 7, held: int = 2) -> Dat
     spark = docs.sparkSession
     shared = vocabulary or bpe.load(spark)
     docs = docs.select("doc_id", "text")
-    words = lexicon(docs, shared, fold, held)
     about = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(crc_remainder(F.col("doc_id"), fold) != held, 1)).alias("ends")).first()
     ends = about["ends"]
-    seen = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
     size = len(shared.value.token)
     chunks = max(CHUNKS_LEAST, -(-(about["bytes"] or 0) // CHUNK_BYTES))
-    # dealt twice (words asked for, texts encoded): the chunk must be the row's own, whatever order rows come in
+    # dealt twice (words counted, texts encoded): the chunk must be the row's own, whatever order rows come in
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(chunks)))
-
-    def distinct(t: pa.Table) -> pa.Table:
-        chunk, parts = t.column("chunk")[0], []
-        for b in fl.slices(t.to_batches()):
-            parts.append(np.unique(fl.words(*fl.flat(b.column("text")), lower=True)[3]))
-        h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        return pa.table({"chunk": pa.repeat(chunk, len(h)), "h": pa.array(h.view(np.int64))})
-
-    asked = dealt.groupBy("chunk").applyInArrow(distinct, "chunk long, h long").join(words, "h").select("chunk", "h", "c", "ids")
+    held_out = (crc_remainder(F.col("doc_id"), fold) == held).alias("held_out")
+    words = lexicon(word_counts(dealt.select("chunk", held_out, "text")), shared, chunks)
+    seen = words.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
+    asked = words.select(F.explode("chunks").alias("chunk"), "h", "c", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -517,7 +574,8 @@ def score(docs: DataFrame, vocabulary=None, fold: int = 7, held: int = 2) -> Dat
         out = []
         for b in fl.slices(left.to_batches()):
             woff, wh = fl.words(*fl.flat(b.column("text")), lower=True)[2:]
-            w = np.searchsorted(h, wh)
+            u, back = np.unique(wh, return_inverse=True)
+            w = np.searchsorted(h, u)[back]  # in order, as a search of each word would miss the cache
             if len(wh) and (not len(h) or (h[np.minimum(w, len(h) - 1)] != wh).any()):
                 raise ValueError("a word of the chunk has no row in its lexicon")
             tokens = np.diff(woff) + 1
@@ -540,7 +598,6 @@ def score(docs: DataFrame, vocabulary=None, fold: int = 7, held: int = 2) -> Dat
         pa.default_memory_pool().release_unused()  # a worker waits beside the next stages'
         return pa.Table.from_batches(out)
 
-    held_out = (crc_remainder(F.col("doc_id"), fold) == held).alias("held_out")
     encoded = stored(dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(
         run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, ids binary").select("*", held_out), "lm-encoded")
     model = spark.sparkContext.broadcast(train(encoded, words, ends, size, chunks))  # a fixed size
