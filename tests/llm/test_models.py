@@ -379,3 +379,57 @@ def test_lm_scores_do_not_depend_on_the_layout(spark):
     for i, r in one.items():
         assert [r[c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")] == [two[i][c] for c in ("held_out", "n_tokens", "n_known", "train_tokens")]
         assert np.isclose(r["base_score"], two[i]["base_score"], rtol=1e-12) and np.isclose(r["score"], two[i]["score"], rtol=1e-5)
+
+
+def test_lexicon_sends_words_to_their_chunks(spark):
+    """One pass counts each chunk's words; a word's count and ids go to just the chunks that have it."""
+    rows = [(i % 5, i % 3 == 0, None if i == 7 else f"Shared w{i % 4} only{i} only{i}\tX") for i in range(40)]
+    dealt = spark.createDataFrame(rows, "chunk long, held_out boolean, text string").repartition(4)
+    got = [(r["c"], bytes(r["ids"]), sorted(r["chunks"])) for r in lm.lexicon(lm.word_counts(dealt), bpe.load(spark), 3).collect()]
+    want, where = Counter(), {}
+    for chunk, held, text in rows:
+        for w in (text or "").lower().split():
+            want[w] += not held
+            where.setdefault(w, set()).add(chunk)
+    ids = dict(zip(where, bpe.load(spark).value.encode_bytes(list(where))))
+    assert sorted(got) == sorted((want[w], bytes(ids[w]), sorted(where[w])) for w in where)
+    assert "Join" not in lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))._jdf.queryExecution().toString()
+
+
+def test_distinct_ids_of_a_step():
+    slot, rng = np.zeros(60, np.intp), np.random.default_rng(0)
+    for n in (1, 7, 300):  # what an earlier step left there doesn't matter
+        x = rng.integers(0, 60, n)
+        some, place = lm.distinct(x, slot)
+        assert len(some) == len(set(x.tolist())) and (some[place] == x).all()
+
+
+def test_learning_follows_the_gradient():
+    """After a first step, Adam's mean of each weight is a tenth of the loss's slope, found by differences."""
+    m = small_model()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    rng = np.random.default_rng(2)
+    w = rng.integers(0, 51, (3, lm.WINDOW + 1))
+    w[1, 9:] = -1
+
+    def loss():
+        x, goal = np.where(w[:, :-1] < 0, m.end, w[:, :-1]), w[:, 1:].ravel()
+        z, real = m._forward(x, lm.WINDOW)[-1], goal >= 0
+        return float(-(z[real, m.of[goal[real]]] - np.log(np.exp(z[real]).sum(1))).mean())
+
+    slopes = {}
+    for k, v in m.p.items():
+        for at in rng.integers(0, v.size, 12).tolist():
+            was, both = v.flat[at], []
+            for by in (1e-5, -1e-5):
+                v.flat[at] = was + by
+                both.append(loss())
+            v.flat[at] = was
+            slopes[k, at] = (both[0] - both[1]) / 2e-5
+    state = m._state()
+    m.learn(w, state, 1, 0.01, sparse=True)
+    at, means = 0, {"emb": state[1][1].ravel()}
+    for k, v in m.p.items():
+        if k != "emb":
+            means[k], at = state[0][1][at: at + v.size], at + v.size
+    assert all(np.isclose(means[k][i], 0.1 * s, rtol=1e-4, atol=1e-8) for (k, i), s in slopes.items())

@@ -287,28 +287,28 @@ class Attention:
         at = z[np.arange(len(z)), goal]
         return at - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
-    def _joined(self) -> np.ndarray:
-        """All weights but the embeddings, made views of one array."""
+    def _state(self) -> list:
+        """Weights with Adam's two means: all but the embeddings, made views of one
+        array, and the embeddings; then a place for each id, for distinct()."""
         names = [k for k in self.p if k != "emb"]
         line = np.concatenate([self.p[k].ravel() for k in names])
         at = np.cumsum([0, *(self.p[k].size for k in names)]).tolist()
         self.p.update({k: line[a:b].reshape(self.p[k].shape) for k, a, b in zip(names, at, at[1:])})
-        return line
+        return [*((v, np.zeros_like(v), np.zeros_like(v)) for v in (line, self.p["emb"])), np.zeros(self.size + 2, np.intp)]
 
     def fit(self, windows: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 7) -> "Attention":
         """windows: rows of WINDOW + 1 ids (begin, then the text; padded by -1)."""
         if not len(windows):
             return self
         rng = np.random.default_rng(seed)
-        state = [(v, np.zeros_like(v), np.zeros_like(v)) for v in (self._joined(), self.p["emb"])]
+        state = self._state()
         for step in range(1, steps + 1):
             self.learn(windows[rng.integers(0, len(windows), batch)], state, step, rate * min(1.0, 2 * (1 - step / (steps + 1))))
         return self
 
     def learn(self, rows: np.ndarray, state: list, step: int, now: float, sparse: bool = False) -> None:
-        """One step of Adam; ``state`` has its means, for _joined() and for the
-        embeddings.  ``sparse``: of the embeddings only the rows of this step's ids
-        move, so a step costs what it reads."""
+        """One step of Adam; ``state`` is _state().  ``sparse``: of the embeddings
+        only the rows of this step's ids move, so a step costs what it reads."""
         p, d = self.p, WIDTH
         x, goal = np.where(rows[:, :-1] < 0, self.end, rows[:, :-1]), rows[:, 1:].ravel()
         qkv, top = self._weights()
@@ -340,16 +340,13 @@ class Attention:
         de = flat(dqkv) @ qkv.T
         de += dh
         g = {"pos": de.reshape(x.shape[0], -1).sum(0), "qkv": g_qkv, "out": g_out, "top": g_top[:-1], "bias": g_top[-1]}
-        ids = x.astype(id_type(self.size + 2)).ravel()
-        order = np.argsort(ids, kind="stable")  # of short ids: a radix sort
-        line = ids[order]
-        new = np.concatenate([[True], line[1:] != line[:-1]])
-        rows_of = line[new].astype(np.intp)
-        place = np.empty(len(ids), np.intp)
-        place[order] = np.cumsum(new) - 1 if sparse else line
-        place *= d
-        g_emb = np.zeros((len(rows_of) if sparse else len(p["emb"])) * d, de.dtype)
-        np.add.at(g_emb, (place[:, None] + np.arange(d)).ravel(), de.ravel())
+        ids = x.ravel()
+        rows_of, place = distinct(ids, state[-1]) if sparse else (None, ids)
+        # added two at a time, as complex numbers
+        pairs = np.result_type(de, np.complex64)
+        g_emb = np.zeros((len(rows_of) if sparse else len(p["emb"])) * d // 2, pairs)
+        np.add.at(g_emb, (place[:, None] * (d // 2) + np.arange(d // 2)).ravel(), de.view(pairs).ravel())
+        g_emb = g_emb.view(de.dtype)
         fade, far = now / (1 - 0.9**step), 1 / (1 - 0.99**step)
         for held, grad in zip(state, (np.concatenate([g[k].ravel() for k in p if k != "emb"]), g_emb.reshape(-1, d))):
             some = sparse and grad.ndim == 2
@@ -373,7 +370,7 @@ class Attention:
         """Learn from batches of windows; the changes by weight, each times
         how often its id (or any id) was seen, and these numbers."""
         old = {k: v.copy() for k, v in self.p.items()}
-        state = [(v, np.zeros_like(v), np.zeros_like(v)) for v in (self._joined(), self.p["emb"])]
+        state = self._state()
         seen, read = np.zeros(self.size + 2), []
         for step, rows in enumerate(batches, 1):
             self.learn(rows, state, step, rate, sparse=True)
@@ -436,6 +433,16 @@ class Attention:
         return total + np.bincount(doc, share / np.log(10), len(n))
 
 
+def distinct(ids: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and each id's place among them; slot has room for every id
+    and needs no clearing."""
+    number = np.arange(len(ids))
+    slot[ids] = number  # one of an id's places stays
+    some = ids[slot[ids] == number]
+    slot[some] = number[: len(some)]
+    return some, slot[ids]
+
+
 def windows_of(ids: np.ndarray, begin: int, chosen=None) -> np.ndarray:
     """Windows of WINDOW + 1 ids of a text with its end id; chosen picks among
     their starts."""
