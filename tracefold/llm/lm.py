@@ -250,8 +250,8 @@ class Attention:
         s *= self.mask[new:w, :w]
         return q, k, v, s, np.matmul(s, v)
 
-    def _forward(self, x: np.ndarray, w: int, weights=None):
-        """Logits are held within LIMIT, too."""
+    def _forward(self, x: np.ndarray, w: int, new: int = 0, weights=None):
+        """Logits are held within LIMIT, too; they begin at place ``new``."""
         p, d = self.p, WIDTH
         qkv, top = weights or self._weights()
         e = p["emb"].take(x, 0)
@@ -259,11 +259,11 @@ class Attention:
         t = np.empty((len(x), w, 3 * d + 1), e.dtype)
         np.matmul(e.reshape(-1, d), qkv, out=t.reshape(-1, 3 * d + 1)[:, :-1])
         t[..., -1] = 1
-        q, k, v, s, o = self._attend(t)
+        q, k, v, s, o = self._attend(t, new)
         total = o[..., d:]
         o = o[..., :d] / total
         h = np.ones((*o.shape[:2], d + 1), o.dtype)
-        np.add((o.reshape(-1, d) @ p["out"]).reshape(o.shape), e, out=h[..., :d])
+        np.add((o.reshape(-1, d) @ p["out"]).reshape(o.shape), e[:, new:], out=h[..., :d])
         z = h.reshape(-1, d + 1) @ top
         np.clip(z, -LIMIT, LIMIT, out=z)
         return e, q, k, v, s, total, o, h, z
